@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, sharding, topk, urls
+from . import bpe, media, mixing, quality, sharding, topk, toxicity, urls
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, RANKS, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
 
 
+def _verdicts(scored: DataFrame, limit: float) -> DataFrame:
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _verdicts(toxicity.score(docs, *model, keep_text=False), 0.7)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return _verdicts(quality.score(docs, model, keep_text=False), 0.5)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -87,7 +103,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_mixing, op4_topk, op5_media, op6_urls, op7_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_mixing, op4_topk, op5_media, op6_urls, op7_sharding, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
