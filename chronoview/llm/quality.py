@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> np.ndarra
         y = rows["y"].to_numpy(np.int64)
         return pd.DataFrame({"theta": [fit(rows["text"].tolist(), y).tolist() if 0 < y.sum() < len(y) else []]})
 
-    found = texts.groupBy(F.lit(0)).applyInPandas(learn, "theta array<double>").collect()
+    found = texts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "theta array<double>").collect()
     width = Lines([""]).x.shape[1] + 5
     return np.array(found[0][0]) if found and found[0][0] else np.zeros(width)
 

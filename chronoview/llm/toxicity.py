@@ -73,7 +73,7 @@ def sample_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     return usable if n <= max_rows else usable.where(draw(f"sample-{label}", F.col("doc_id")) < max_rows / n)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, shards: int = 6) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, shards: int = 8) -> tuple[np.ndarray, float]:
     """Weights from a hash sample of about ``max_rows`` labelled texts (the bound of all that training
     moves). Each shard of the sample is learned by one task; the weights are the shards' means. Without
     labels of both kinds, all weights and the bias are 0."""
