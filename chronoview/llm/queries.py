@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, quality, sharding, topk, toxicity, urls
+from . import bpe, lines, media, minhash, mixing, quality, sharding, topk, toxicity, urls
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -102,8 +102,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs).select("doc_id", "text", "lines_removed")
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_mixing, op4_topk, op5_media, op6_urls, op7_sharding, op9_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_mixing, op4_topk, op5_media, op6_urls, op7_sharding, op8_lines, op9_quality, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
