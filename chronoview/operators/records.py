@@ -123,3 +123,14 @@ def reduce_named(metrics: DataFrame) -> DataFrame:
     """(name, value): the greatest of names with "max", the least of those with "min", else the mean."""
     name = F.col("name")
     return metrics.groupBy("name").agg(F.when(F.contains(name, F.lit("max")), F.max("value")).when(F.contains(name, F.lit("min")), F.min("value")).otherwise(F.avg("value")).alias("value"))
+
+
+def anchor_time(kind: Column, rules: Mapping[str, tuple[str, int] | None]) -> Column:
+    """The clock a row is placed and queried on, by its kind: a column and seconds added; null for static
+    kinds; "*" holds for all others."""
+    timed = lambda r: F.col(r[0]) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(r[1])) if r else F.lit(None).cast("timestamp_ntz")
+    out = timed(rules.get("*"))
+    for k, r in rules.items():
+        if k != "*":
+            out = F.when(kind == k, timed(r)).otherwise(out)
+    return out

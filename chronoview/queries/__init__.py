@@ -1,3 +1,3 @@
 """All queries of the package; importing a module registers its own."""
 
-from . import cleansing, joining, ranking, scoring  # noqa: F401
+from . import cleansing, joining, ranking, scoring, stores, texts  # noqa: F401

@@ -67,8 +67,9 @@ def read_manifest(spark: SparkSession, path: str, schema: str, keyed: bool = Fal
 
 def read_results(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON lines, and the number of lines that are no JSON."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.where("_bad is null").drop("_bad"), raw.agg(F.count("_bad").alias("malformed"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", f"{schema}, _bad string", options).alias("r")).select("r.*")
+    return lines.where("_bad is null").drop("_bad"), lines.agg(F.count("_bad").alias("malformed"))
 
 
 def seeded(seed: object, *keys: Column) -> Column:
