@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 from ..sources.io import seeded
 
 
+def few(df: DataFrame, most: int = 1000) -> DataFrame:
+    """A caller's own short list, checked to be one before it is broadcast."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    return F.broadcast(df)
+
+
+def global_rank(df: DataFrame, value: str, *ties: str, parts: int = 256) -> DataFrame:
+    """Adds rank from 0, by value from the highest down, without a window over all rows: approximate
+    quantiles cut the values into parts, rows are ranked within theirs and shifted by the parts above."""
+    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("_cuts"))
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(value)))).drop("_cuts")
+    above = placed.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(value), *ties)) - 1
+    return placed.withColumn("_own", own).join(F.broadcast(above), "_part").withColumn("rank", F.col("_own") + F.col("_above")).drop("_part", "_own", "_above")
+
+
 def latest_records(view: DataFrame, time: str, key: str = "qid") -> DataFrame:
     """All rows of each question that share its last time; rows without time never are."""
     last = view.groupBy(key).agg(F.max(time).alias("_t"))
@@ -79,11 +96,14 @@ def short_strata(df: DataFrame, stratum: str, n: int) -> DataFrame:
 
 
 def train_val_split(df: DataFrame, ratio: float, seed: int, group: str) -> DataFrame:
-    """Adds split: whole groups in seeded order go to validation until it has ``ratio`` of the rows."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
+    """Adds split: whole groups in seeded order go to validation until it has ``ratio`` of the rows. The
+    order is cut into 1,024 parts by the seeded number, so the running sum is over parts and within them."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("_size")).withColumn("_at", seeded(seed, F.col(group))).withColumn("_part", F.shiftright("_at", 22))
     quota = df.agg((F.count("*") * ratio).alias("_quota"))
-    w = Window.orderBy(seeded(seed, F.col(group)), group).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(w), F.lit(0))).crossJoin(quota)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("_part").agg(F.sum("_size").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(earlier(Window.orderBy("_part"))), F.lit(0)).alias("_earlier"))
+    within = F.coalesce(F.sum("_size").over(earlier(Window.partitionBy("_part").orderBy("_at", group))), F.lit(0))
+    placed = sizes.withColumn("_own", within).join(F.broadcast(parts), "_part").withColumn("_before", F.col("_own") + F.col("_earlier")).crossJoin(quota)
     return df.join(placed.select(group, F.when(F.col("_before") < F.col("_quota"), "val").otherwise("train").alias("split")), group)
 
 
@@ -126,7 +146,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 def fuzzy_top_k(vocab: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
     """keywords (keyword) are the caller's few; each distinct candidate is compared with each of them."""
-    scored = vocab.select("candidate").distinct().join(F.broadcast(keywords.limit(1000)), F.lit(True)).withColumn("score", edit_ratio(F.col("candidate"), F.col("keyword")))
+    scored = vocab.select("candidate").distinct().join(few(keywords), F.lit(True)).withColumn("score", edit_ratio(F.col("candidate"), F.col("keyword")))
     w = Window.partitionBy("keyword").orderBy(F.desc("score"), "candidate")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -138,7 +158,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def semantic_top_k(vocab: DataFrame, query_vectors: DataFrame, threshold: float = 0.5, k: int = 5) -> DataFrame:
     """query_vectors (query_id, q) are the caller's few; vocab (vec_id, v). Similarity to three decimals."""
-    scored = vocab.join(F.broadcast(query_vectors.limit(1000)), F.lit(True)).withColumn("score", F.round(cosine(F.col("v"), F.col("q")), 3)).where(F.col("score") >= threshold)
+    scored = vocab.join(few(query_vectors), F.lit(True)).withColumn("score", F.round(cosine(F.col("v"), F.col("q")), 3)).where(F.col("score") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -172,6 +192,5 @@ def rrf_merge(lists: Sequence[DataFrame], k: int, rrf_k: int = 100, ascending: S
 def balance_by_length(items: DataFrame, length: str, k: int, group: str) -> DataFrame:
     """Groups go to k bins, from the costliest down, in turns that reverse; cost is 24576 L + L^2."""
     cost = items.groupBy(group).agg(F.sum(24576 * F.col(length).cast("double") + F.col(length).cast("double") ** 2).alias("cost"))
-    rank = F.row_number().over(Window.orderBy(F.desc("cost"), group)) - 1
-    place, turn = F.pmod(rank, F.lit(k)), F.floor(rank / k)
-    return cost.withColumn("bin", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int"))
+    place, turn = F.pmod("rank", F.lit(k)), F.floor(F.col("rank") / k)
+    return global_rank(cost, "cost", group).withColumn("bin", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int")).drop("rank")
