@@ -110,7 +110,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, fan_in: int =
         for batch in batches:
             for qw, qi, qd, cw, ci, cd in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
                 q_ids, c_ids = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
-                part = tile(q_ids, np.frombuffer(qd, "<f8").reshape(-1, qw), c_ids, np.frombuffer(cd, "<f8").reshape(-1, cw), k)
+                part = tile(q_ids, np.frombuffer(qd, "<f8").reshape(len(q_ids), qw), c_ids, np.frombuffer(cd, "<f8").reshape(len(c_ids), cw), k)
                 found.append(part)
                 size += len(part[0])
                 if size > 1_000_000:
