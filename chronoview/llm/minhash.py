@@ -122,6 +122,19 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def elements(texts: DataFrame) -> DataFrame:
+    """(id, text) -> (id, h): the shingles of each text, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in slices(b, "text", 1 << 20)):
+            for part in (batch.slice(k, 1 << PASS_BITS) for k in range(0, batch.num_rows, 1 << PASS_BITS)):
+                doc, shingle, _ = shingles(part.column(1).to_pylist())
+                ids = np.array(part.column(0).to_pylist(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(shingle.view(np.int64))], names=["id", "h"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, h bigint")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (MD5 of the text), class_id.
 
@@ -145,7 +158,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         b = text.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return similar(pairs.join(a, "a").join(b, "b"), threshold).distinct()
 
-    roots = link(members, compare)
+    roots = link(members, compare, lambda ids: elements(ids.join(text, "id")).distinct(), threshold)
     of_text = texts.join(roots, "id", "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"))
     least = of_text.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.select("doc_id", "key").join(of_text.join(least, "root").select("key", "class_id"), "key").select("doc_id", "key", "class_id")

@@ -1,10 +1,14 @@
 """Near-duplicate classes from buckets: which pairs to compare, and distributed union-find.
 
-Rows that share a bucket are compared without ever emitting all pairs of a bucket. In each round a few
-rows of every open bucket lead; each other row of the bucket is compared with them unless union-find
-already joins the two. Leaders have then met their whole bucket and leave it. A bucket closes when what
-is left of it is in one class. So at the end any two rows that share a bucket were compared or are
-joined through others, and a large group of copies costs one comparison per copy.
+Rows that share a bucket are compared without emitting all pairs of a bucket. First each bucket has one
+leader, the row that meets most others in its buckets, and each other row is compared with it; union-find
+joins what is similar. In what is left, an element is rare if at most RARE rows have it. Pairs that share
+a rare element are made from these elements, at most RARE partners each. Any other pair has no more in
+common than the elements of either row that are not rare; so its smaller row must have few rare ones, and
+the larger not too many more. Rows without such a partner in their bucket leave it (``_possible``). Buckets whose rows are all in one class close.
+Should more be left, ever more rows lead, are compared with their whole bucket unless already joined to
+it, and leave it. So any two rows that share a bucket end up compared, joined through others, or proved
+too different, and a large group of copies costs a few comparisons per copy.
 """
 
 from __future__ import annotations
@@ -16,24 +20,28 @@ from pyspark.sql import functions as F
 
 from .common import cut, free
 
-#: Leaders of a bucket in the first rounds; the last number holds for all later ones.
-LEADERS = (1, 4, 16, 64, 256)
+#: Rows that have a rare element, at most.
+RARE = 4
+#: Leaders of a bucket after the first round; the last number holds for all later ones.
+LEADERS = (8, 64, 512)
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).collect()[0][:]
+def _stars(edges: DataFrame) -> bool:
+    """Whether every id hangs on one root and no root hangs on another."""
+    two = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    inner = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return not two.unionByName(inner).limit(1).count()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (id, root): every linked id with the least id of its component.
 
-    Alternates two steps until nothing changes: each node ties its larger neighbours, then its smaller
+    Alternates two steps until the links are stars: each node ties its larger neighbours, then its smaller
     ones, to the least node next to it. Rows stay of the order of the links; each step is joins and
     minima that Spark combines before the shuffle, and is written to the shared folder.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "uf")
-    last = _digest(edges)
-    while last[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -41,48 +49,91 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(nearest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         fresh = cut(small.select("e.*").where("u <> v").distinct(), "uf")
         free(edges)
-        edges, now = fresh, _digest(fresh)
-        if now == last:
-            break
-        last = now
+        edges = fresh
     leaf = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return leaf.unionByName(leaf.select(F.col("root").alias("id"), "root").distinct())
 
 
-def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """members: (bucket, id), each once. compare: (a, b) -> those of them that are near-duplicates.
+def _open(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of buckets whose rows are not all in one class."""
+    rooted = rest.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    return rest.join(mixed, "bucket", "left_semi")
+
+
+def _sizes(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """elements: (id, h), each once. (id, n, c): elements of each row, and how many of them are not rare;
+    and (id, h) of the rare ones."""
+    scarce = elements.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") <= RARE).select("h")
+    rare = cut(elements.join(scarce, "h").select("id", "h"), "near-rare")
+    n = elements.groupBy("id").agg(F.count("*").alias("n"))
+    p = rare.groupBy("id").agg(F.count("*").alias("p"))
+    return cut(n.join(p, "id", "left").select("id", "n", (F.col("n") - F.coalesce("p", F.lit(0))).alias("c")), "near-sizes"), rare
+
+
+def _through_rare(sizes: DataFrame, rare: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of different classes that share rare elements and may have similarity t: at most the
+    elements of either that are not rare are common, besides the rare ones they share."""
+    other = rare.select(F.col("id").alias("b"), "h")
+    shared = rare.withColumnRenamed("id", "a").join(other, "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("r"))
+    side = lambda x: sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
+    root = lambda x: classes.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+    sized = shared.join(side("a"), "a").join(side("b"), "b").where((F.least("c_a", "c_b") + F.col("r") + 1e-6) * (1 + t) >= t * (F.col("n_a") + F.col("n_b")))
+    rooted = sized.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _possible(rest: DataFrame, sizes: DataFrame, t: float) -> DataFrame:
+    """Rows that may have a partner of similarity t in their bucket without sharing a rare element with it.
+
+    Two rows of n1 <= n2 elements, c1 and c2 of them not rare, need t (n1 + n2) <= (1 + t) min(c1, c2). With
+    most = c (1 + t) / t - n this says n2 <= most1 and n1 <= most2. So the smaller row is a core row, one
+    with n <= most, and the larger has n and most not below the smaller's n.
+    """
+    most = F.col("c") * ((1 + t) / t) - F.col("n") + 1e-6
+    sized = rest.join(sizes, "id").select("bucket", "id", "n", most.alias("most"))
+    least = sized.where("n <= most").groupBy("bucket").agg(F.min("n").alias("least"))
+    return sized.join(least, "bucket").where(F.least("n", "most") >= F.col("least")).select("bucket", "id")
+
+
+def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """members: (bucket, id), each once. compare: (a, b) -> those of them that are near-duplicates, by the
+    Jaccard similarity of their sets. elements: (id) -> (id, h), the sets of these ids.
     Returns (id, root) of all ids with a near-duplicate."""
-    spark = members.sparkSession
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rest = cut(members.join(shared, "bucket"), "near-members")
-    links = compared = None
-    classes = spark.createDataFrame([], "id bigint, root bigint")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rest = cut(members.join(shared, "bucket").select("bucket", "id", "n"), "near-members")
+    fame = rest.groupBy("id").agg(F.sum("n").alias("fame"))
+    lead = cut(rest.join(fame, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("fame"), F.col("id"))).alias("s")).select("bucket", F.col("s.id").alias("lead")), "near-lead")
+    pairs = rest.join(lead, "bucket").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    compared = cut(pairs, "near-pairs")
+    links = cut(compare(compared), "near-links")
+    classes = cut(components(links), "near-classes")
+    without_lead = rest.select("bucket", "id").join(lead.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
+    rest = cut(_open(without_lead, classes), "near-members")
+    if not rest.limit(1).count():
+        return classes
+    sizes, rare = _sizes(cut(elements(rest.select("id").distinct()), "near-elements"))
+    pairs = cut(_through_rare(sizes, rare, classes, threshold).join(compared, ["a", "b"], "left_anti"), "near-pairs")
+    found = cut(compare(pairs), "near-links")
+    compared = compared.unionByName(pairs)
+    if found.limit(1).count():
+        links = links.unionByName(found)
+        classes = cut(components(links), "near-classes")
+    rest = cut(_open(_possible(rest, sizes, threshold), classes), "near-members")
     turn = 0
     while rest.limit(1).count():
-        n = LEADERS[min(turn, len(LEADERS) - 1)]
-        if n == 1:
-            lead = rest.groupBy("bucket").agg(F.min("id").alias("lead"))
-        else:
-            by = Window.partitionBy("bucket").orderBy("id")
-            lead = rest.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n).select("bucket", F.col("id").alias("lead"))
-        if turn:
-            lead = lead.join(classes.withColumnRenamed("root", "lead_root"), lead["lead"] == classes["id"], "left").select("bucket", "lead", F.coalesce("lead_root", "lead").alias("lead_root"))
-            own = rest.join(classes, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("own_root"))
-        else:
-            lead, own = lead.withColumn("lead_root", F.col("lead")), rest.withColumn("own_root", F.col("id"))
-        lead = cut(lead, "near-lead")
-        pairs = own.join(lead, "bucket").where("own_root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "near-pairs")
+        by = Window.partitionBy("bucket").orderBy("id")
+        lead = cut(rest.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= LEADERS[min(turn, len(LEADERS) - 1)]).select("bucket", F.col("id").alias("lead")), "near-lead")
+        root = lambda x, c=classes: c.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root"))
+        rooted = rest.join(root("id"), "id", "left").join(lead.join(root("lead"), "lead", "left"), "bucket")
+        pairs = rooted.where(F.coalesce("id_root", "id") != F.coalesce("lead_root", "lead")).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
         found = cut(compare(pairs), "near-links")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        classes = cut(components(links), "near-classes")
+        compared = compared.unionByName(pairs)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            classes = cut(components(links), "near-classes")
         left = rest.join(lead.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
-        left = left.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        following = cut(left.select("bucket", "id").join(open_, "bucket", "left_semi"), "near-members")
-        free(rest)
-        rest, turn = following, turn + 1
+        rest = cut(_open(left, classes), "near-members")
+        turn += 1
     return classes
