@@ -348,7 +348,7 @@ def test_line_dedup_equals_brute_force(spark):
         for k, x in enumerate(t.split("\n")):
             if len(x) >= lines.WIDTH:
                 found.setdefault(x, []).append((i, k))
-    sets = {x: ({x} if len(s := set(pattern.findall(x))) == 1 else s) for x in found}
+    sets = {x: ({x} if len(s := pattern.findall(x)) <= 1 else set(s)) for x in found}
     root = classes_of(sets)
     first = {}
     for x, where in found.items():
