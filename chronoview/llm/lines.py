@@ -1,42 +1,53 @@
 """Line dedup with DataFrame operations only: fuzzy lines by MinHash over character shingles.
 
-A shingle is ``WIDTH`` characters from an anchor on; anchors are the places before which there is no Latin
-letter, other than white space: starts of words, and every character of scripts that do not divide words.
-So they depend on the text around them and move with it. Signatures are minima of one hash under many
-masks, grouped to bands; lines that share a band are compared by the exact Jaccard similarity of their
-shingle sets, and union-find joins the similar ones. Of each class only the first line stays, in order of
-doc_id and place.
+A shingle is ``WIDTH`` characters from any character on, so shingles cover a line to its last character;
+a shorter line is its own shingle. Signatures are minima of one hash under many multipliers, grouped to
+bands; lines that share a band are compared by the exact Jaccard similarity of their shingle sets, and
+union-find joins the similar ones. Pairs of a bucket of up to SMALL lines are first held against sketches,
+one bit of each minimum, so that few texts are moved; larger buckets are left to ``near.link``. Of each
+class only the first line stays, in order of doc_id and place.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free, without
-from .near import link
-
-WIDTH = 16
-SHINGLE = r"(?s)(?<![A-Za-z\u00C0-\u024F])(?=(\S.{%d}))" % (WIDTH - 1)
-BANDS, ROWS = 8, 3
+from .near import components, link
+
+WIDTH = 5
+SHINGLE = r"(?s)(?=(.{%d}))." % WIDTH
+#: At a similarity of 0.8 no band is shared by 4 in 10,000 pairs.
+BANDS, ROWS = 20, 5
+#: Lines of a bucket whose pairs are all looked at.
+SMALL = 16
 #: Bits of the filter for lines that may be compared: 1 MB, whatever the number of lines.
 FILTER_BITS = 1 << 23
 
 
 def _found(line: Column) -> Column:
-    """The shingles as they come; a line with one anchor or none is its own shingle."""
+    """The shingles as they come."""
     found = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
-    return F.when(F.size(found) <= 1, F.array(line)).otherwise(found)
+    return F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(found)
 
 
 def shingles(line: Column) -> Column:
-    """The shingle set of a line of WIDTH characters or more."""
+    """The shingle set of a line that is not empty."""
     return F.array_distinct(_found(line))
 
 
-def _masks() -> list[int]:
-    """Spread evenly over 32 bits, so that near masks prefer different hashes."""
-    return [((i * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF) - (1 << 31) for i in range(BANDS * ROWS)]
+def _factors() -> list[int]:
+    """Odd numbers of 31 bits."""
+    return [((i + 1) * 0x9E3779B1 + 0x7F4A7C15 ^ (i * i * 0x85EBCA6B)) & 0x7FFFFFFF | 0x40000001 for i in range(BANDS * ROWS)]
+
+
+def _bits_needed(threshold: float) -> float:
+    """Equal sketch bits of a pair of that similarity, less 4.7 deviations."""
+    n, p = BANDS * ROWS, (1 + threshold) / 2
+    return n * p - 4.7 * (n * p * (1 - p)) ** 0.5
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -46,12 +57,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, k1, k2, bands) of each distinct line."""
-    each = lines.select("k1", "k2", F.explode(_found(F.col("line"))).alias("s")).select("k1", "k2", F.hash("s").alias("h"))
+    """(id, k1, k2, s1, s2, bands) of each distinct line; s1 and s2 are its sketch."""
+    once = lines.groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    each = once.select("k1", "k2", F.explode(_found(F.col("line"))).alias("s")).select("k1", "k2", F.hash("s").cast("bigint").alias("h"))
     names = [f"m{i}" for i in range(BANDS * ROWS)]
-    least = each.groupBy("k1", "k2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(n) for n, m in zip(names, _masks(), strict=True)])
+    least = each.groupBy("k1", "k2").agg(*[F.min((F.col("h") * F.lit(f)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias(n) for n, f in zip(names, _factors(), strict=True)])
     bands = [F.xxhash64(F.lit(b), *names[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
-    return least.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", F.array(*bands).alias("bands"))
+    bit = lambda n, i: F.shiftleft(F.shiftright(F.col(n), 12).bitwiseAND(F.lit(1)).cast("bigint"), i)
+    half = len(names) // 2
+    sketch = [reduce(Column.bitwiseOR, [bit(n, i) for i, n in enumerate(part)]) for part in (names[:half], names[half:])]
+    return least.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", sketch[0].alias("s1"), sketch[1].alias("s2"), F.array(*bands).alias("bands"))
 
 
 def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -65,13 +80,24 @@ def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).drop("_word", "_bit", "_map")
 
 
+def _alike(small: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of small buckets whose sketches allow the threshold."""
+    one, two = (small.select("bucket", F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
+    equal = BANDS * ROWS - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return one.join(two, "bucket").where((F.col("a") < F.col("b")) & (equal >= _bits_needed(threshold))).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(id, k1, k2, bands) of distinct lines, and (id, root) of those with a near-duplicate."""
+    """(id, k1, k2, s1, s2, bands) of distinct lines, and (id, root) of those with a near-duplicate."""
     lines = occurrences(docs)
     known = cut(signatures(lines), "line-signatures")
-    members = known.select("id", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    wanted = cut(members.join(shared, "bucket", "left_semi").select("id").distinct().join(known.select("id", "k1", "k2"), "id"), "line-wanted")
+    every = known.select("id", "s1", "s2", F.explode("bands").alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rest = cut(every.join(shared, "bucket"), "line-members")
+    pairs = cut(_alike(rest.where(F.col("n") <= SMALL), threshold), "line-pairs")
+    members = rest.where(F.col("n") > SMALL).select("bucket", "id")
+    ids = members.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = cut(ids.join(known.select("id", "k1", "k2"), "id"), "line-wanted")
     text = cut(_maybe(lines.select("k1", "k2", "line"), wanted).join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("id", "line").distinct(), "line-text")
     free(wanted)
 
@@ -85,7 +111,8 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
     def elements(ids: DataFrame) -> DataFrame:
         return ids.join(text, "id").select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
 
-    return known, link(members, compare, elements, threshold)
+    links = link(members, compare, elements, threshold).where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    return known, components(links.unionByName(compare(pairs)))
 
 
 def removals(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -357,3 +357,36 @@ def test_line_dedup_equals_brute_force(spark):
         assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < lines.WIDTH or first[root[x]] == (i, k))
     assert got[None] is None
     assert lines.dedup(table(spark, [])).count() == 0
+
+
+def line_classes(texts, width=5):
+    """Root of each line that is not empty, by its own shingling; and what the documents become."""
+    found = {}
+    for i, t in enumerate(texts):
+        for k, x in enumerate(t.split("\n")):
+            if x:
+                found.setdefault(x, []).append((i, k))
+    root = classes_of({x: {x[j : j + width] for j in range(len(x) - width + 1)} or {x} for x in found})
+    first = {}
+    for x, where in found.items():
+        first[root[x]] = min([first.get(root[x], (10**9, 0)), *where])
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if not x or first[root[x]] == (i, k)) for i, t in enumerate(texts)}
+
+
+def deduped(spark, texts):
+    return {r["doc_id"]: r["text"] for r in lines.dedup(table(spark, texts)).collect()}
+
+
+def test_lines_with_a_changed_word_are_near(spark):
+    """More lines in one bucket than SMALL, and pairs in small ones."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(400)]
+    made = []
+    for n in (12, 20, 40):
+        for copies in (1, 2, 30):
+            base = list(rng.choice(words, n))
+            for c in range(copies + 1):
+                at = int(rng.integers(0, n)) if c else None
+                made.append(" ".join("changed" if j == at else w for j, w in enumerate(base)))
+    texts = [made[i] for i in rng.permutation(len(made))]
+    assert deduped(spark, texts) == line_classes(texts)
