@@ -51,9 +51,9 @@ def _bits_needed(threshold: float) -> float:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Lines long enough to have shingles: doc_id, text_key, place, line and its 128-bit key (k1, k2)."""
+    """Lines that are not empty: doc_id, text_key, place, line and its 128-bit key (k1, k2)."""
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return base.where(F.length("line") >= WIDTH).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
+    return base.where(F.length("line") > 0).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def removals(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with repeated lines taken out of text, and lines_removed added.
 
-    Rows, order of lines, empty lines and lines under WIDTH characters stay; a document whose lines all
+    Rows, order of lines and empty lines stay; a document whose lines all
     repeat earlier ones keeps an empty text. A null text stays null. Equal rows are treated alike. An input
     column named lines_removed is replaced.
     """

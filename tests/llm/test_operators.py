@@ -390,3 +390,9 @@ def test_lines_with_a_changed_word_are_near(spark):
                 made.append(" ".join("changed" if j == at else w for j, w in enumerate(base)))
     texts = [made[i] for i in rng.permutation(len(made))]
     assert deduped(spark, texts) == line_classes(texts)
+
+
+def test_short_lines_repeat_too(spark):
+    texts = ["Menu\n\nab\n日本語の見出し", "ab\nMenu\n", "日本語の見出し\n\nabc\n \n ", "x\nabc\ny"]
+    want = line_classes(texts)
+    assert want[1] == "" and want[3] == "x\ny" and deduped(spark, texts) == want
