@@ -3,9 +3,9 @@
 A shingle is ``WIDTH`` characters from any character on, so shingles cover a line to its last character;
 a shorter line is its own shingle. Signatures are minima of one hash under many multipliers, grouped to
 bands; lines that share a band are compared by the exact Jaccard similarity of their shingle sets, and
-union-find joins the similar ones. Pairs of a bucket of up to SMALL lines are first held against sketches,
-one bit of each minimum, so that few texts are moved; larger buckets are left to ``near.link``. Of each
-class only the first line stays, in order of doc_id and place.
+union-find joins the similar ones. Pairs are first held against sketches, one bit of each minimum, so that
+few texts are moved: all pairs of buckets of up to SMALL lines, and of larger buckets those that
+``near.link`` asks for. Of each class only the first line stays, in order of doc_id and place.
 """
 
 from __future__ import annotations
@@ -80,11 +80,21 @@ def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).drop("_word", "_bit", "_map")
 
 
-def _alike(small: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of small buckets whose sketches allow the threshold."""
-    one, two = (small.select("bucket", F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
+def _alike(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches (id, s1, s2) allow the threshold."""
+    one, two = (sketches.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").where(_allowed(threshold)).select("a", "b")
+
+
+def _allowed(threshold: float) -> Column:
     equal = BANDS * ROWS - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return one.join(two, "bucket").where((F.col("a") < F.col("b")) & (equal >= _bits_needed(threshold))).select("a", "b").distinct()
+    return equal >= _bits_needed(threshold)
+
+
+def _small(rest: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of small buckets whose sketches allow the threshold."""
+    one, two = (rest.where(F.col("n") <= SMALL).select("bucket", F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
+    return one.join(two, "bucket").where((F.col("a") < F.col("b")) & _allowed(threshold)).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -94,17 +104,19 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
     every = known.select("id", "s1", "s2", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rest = cut(every.join(shared, "bucket"), "line-members")
-    pairs = cut(_alike(rest.where(F.col("n") <= SMALL), threshold), "line-pairs")
+    pairs = cut(_small(rest, threshold), "line-pairs")
     members = rest.where(F.col("n") > SMALL).select("bucket", "id")
     ids = members.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = cut(ids.join(known.select("id", "k1", "k2"), "id"), "line-wanted")
     text = cut(_maybe(lines.select("k1", "k2", "line"), wanted).join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("id", "line").distinct(), "line-text")
     free(wanted)
 
+    sketches = known.select("id", "s1", "s2")
+
     def compare(pairs: DataFrame) -> DataFrame:
         one = text.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
         two = text.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-        sets = pairs.join(one, "a").join(two, "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
+        sets = cut(_alike(pairs, sketches, threshold), "line-alike").join(one, "a").join(two, "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
         common = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("both"))
         return common.where(F.col("n") >= threshold * (F.col("both") - F.col("n"))).select("a", "b")
 

@@ -396,3 +396,9 @@ def test_short_lines_repeat_too(spark):
     texts = ["Menu\n\nab\n日本語の見出し", "ab\nMenu\n", "日本語の見出し\n\nabc\n \n ", "x\nabc\ny"]
     want = line_classes(texts)
     assert want[1] == "" and want[3] == "x\ny" and deduped(spark, texts) == want
+
+
+def test_lines_that_differ_at_the_end_stay(spark):
+    texts = ["Department organization electricity", "Department organization electronics", "Die Bundesregierung unterstützt Landwirtschaft", "Die Bundesregierung unterstützt Landesbehörden"]
+    want = line_classes(texts)
+    assert list(want.values()) == texts and deduped(spark, texts) == want
