@@ -114,13 +114,15 @@ def order_statistics(df: DataFrame, n: int, key: Sequence[str], score: str = "sc
 
 
 def expected_best_at_k(df: DataFrame, k: int, key: Sequence[str], order: str, score: str = "score") -> DataFrame:
-    """Unbiased expected best of k of n runs: the i-th lowest weighs C(i-1, k-1) / C(n, k), as a product."""
+    """Unbiased expected best of k of n runs: the i-th lowest weighs C(i-1, k-1) / C(n, k), as a product. A
+    key with fewer than k runs has k = n, which gives its maximum."""
     w = Window.partitionBy(*key)
     i, n = F.row_number().over(w.orderBy(score, order)), F.count("*").over(w)
-    weight = F.lit(1.0) * k / (n - k + 1)
+    most = F.least(F.lit(k), "_n")
+    weight = F.lit(1.0) * most / (F.col("_n") - most + 1)
     for j in range(k - 1):
-        weight = weight * (i - 1 - j) / (n - j)
-    return df.withColumn("_n", n).withColumn("_v", F.col(score) * weight).where(F.col("_n") >= k).groupBy(*key).agg(F.sum("_v").alias("best_at_k"))
+        weight = weight * F.when(most > j + 1, (F.col("_i") - 1 - j) / (F.col("_n") - j)).otherwise(1.0)
+    return df.withColumn("_i", i).withColumn("_n", n).groupBy(*key).agg(F.sum(F.col(score) * weight).alias("best_at_k"))
 
 
 def batch_stats(df: DataFrame, score: str, length: str, limit: int) -> DataFrame:

@@ -1,5 +1,8 @@
 """Small numeric cases of grouped scores, answers and streams."""
 
+from itertools import combinations
+from math import comb
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +36,14 @@ def test_expected_best_is_exact(spark):
     assert gr.order_statistics(df, 1, ["k"]).collect()[0]["best"] == pytest.approx(2.5)
 
 
+def test_expected_best_of_few_runs_is_their_maximum(spark):
+    scores = {"one": [7.0], "two": [5.0, 2.0], "four": [1.0, 2.0, 3.0, 4.0]}
+    df = spark.createDataFrame([(k, i, v) for k, x in scores.items() for i, v in enumerate(x)], "k string, i int, score double")
+    for k in (1, 2, 3, 5):
+        want = {q: sum(max(c) for c in combinations(x, min(k, len(x)))) / comb(len(x), min(k, len(x))) for q, x in scores.items()}
+        assert {r["k"]: r["best_at_k"] for r in gr.expected_best_at_k(df, k, ["k"], "i").collect()} == pytest.approx(want)
+
+
 def test_answers_and_lists(spark):
     df = spark.createDataFrame([("<answer>x</answer><answer>The  Cat.</answer>", ["cat"]), ("no tags", ["cat"])], "t string, g array<string>")
     assert [r[0] for r in df.select(tx.score_exact_match(F.col("t"), F.col("g"))).collect()] == [1.0, 0.0]
