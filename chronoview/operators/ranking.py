@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import seeded
+from .search import nearest
 
 
 def few(df: DataFrame, most: int = 1000) -> DataFrame:
@@ -151,16 +152,11 @@ def fuzzy_top_k(vocab: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Dot product of normalised vectors."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def semantic_top_k(vocab: DataFrame, query_vectors: DataFrame, threshold: float = 0.5, k: int = 5) -> DataFrame:
-    """query_vectors (query_id, q) are the caller's few; vocab (vec_id, v). Similarity to three decimals."""
-    scored = vocab.join(few(query_vectors), F.lit(True)).withColumn("score", F.round(cosine(F.col("v"), F.col("q")), 3)).where(F.col("score") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """query_vectors (query_id, q), as many as there are; vocab (vec_id, v). Similarity to three decimals."""
+    one = F.lit("").alias("task")
+    found = nearest(query_vectors.select(one, F.col("query_id").alias("id"), F.col("q").alias("v")), vocab.select(one, F.col("vec_id").alias("id"), "v"), k, threshold, 3)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
 def bm25(docs: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
