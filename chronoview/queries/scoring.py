@@ -88,7 +88,7 @@ def e17_paired_compare(t):
     a = o.select(F.concat_ws("/", "category", "qid").alias("qid"), "category", (F.col("hi") / 1000).alias("score"), F.col("qid").alias("k"))
     b = o.select(F.concat_ws("/", "category", "qid").alias("qid"), (F.col("lo") / 1000).alias("score"))
     numbered = a.join(b.withColumnRenamed("score", "_b"), "qid")
-    out = sc.paired_compare(numbered.select(F.struct("category", "k").alias("qid"), "category", "score"), numbered.select(F.struct("category", "k").alias("qid"), F.col("_b").alias("score")), 20, 5)
+    out = sc.paired_compare(numbered.select(F.struct("category", "k").alias("qid"), "category", "score"), numbered.select(F.struct("category", "k").alias("qid"), F.col("_b").alias("score")), 4000, 5)
     return out.select("category", "n", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")], "significant")
 
 
@@ -191,7 +191,7 @@ v AS (SELECT uid, d, pred, count(*) AS v, min(j) AS f, arg_min(score, j) AS s FR
 b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY uid, d ORDER BY v DESC, f) = 1) SELECT uid, round(avg(s), 6) AS majority FROM b GROUP BY 1""")
 def e28_majority(t):
     s = t.lineitem.select(F.col("l_orderkey").alias("uid"), F.col("l_returnflag").alias("pred"), F.col("l_quantity").alias("score"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"))
-    return gr.majority(s, ["uid"], "pred", "pos", "score", 4, 8, 3).select("uid", F.round("majority", 6).alias("majority"))
+    return gr.majority(s, ["uid"], "pred", "pos", "score", 4, 1000, 3).select("uid", F.round("majority", 6).alias("majority"))
 
 
 @query(f"""WITH {G}, k AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS i, count(*) OVER (PARTITION BY uid) AS n FROM g)
