@@ -1,15 +1,16 @@
 """Line dedup with DataFrame operations only: fuzzy lines by MinHash over character shingles.
 
 A shingle is ``WIDTH`` characters from any character on, so shingles cover a line to its last character;
-a shorter line is its own shingle. Signatures are minima of one hash under many multipliers, grouped to
-bands; lines that share a band are compared by the exact Jaccard similarity of their shingle sets, and
-union-find joins the similar ones. Pairs are first held against sketches, one bit of each minimum, so that
-few texts are moved: all pairs of buckets of up to SMALL lines, and of larger buckets those that
+a shorter line is its own shingle. Signatures are minima of one hash under many multipliers; a band is a
+choice of them, and lines that share a band are compared by the exact Jaccard similarity of their shingle
+sets; union-find joins the similar ones. Pairs are first held against sketches, some bits of each minimum,
+so that few texts are moved: all pairs of buckets of up to SMALL lines, and of larger buckets those that
 ``near.link`` asks for. Of each class only the first line stays, in order of doc_id and place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,35 +20,68 @@ from .common import cut, free, without
 from .near import components, link
 
 WIDTH = 5
-SHINGLE = r"(?s)(?=(.{%d}))." % WIDTH
-#: At a similarity of 0.8 no band is shared by 4 in 10,000 pairs.
-BANDS, ROWS = 20, 5
+#: Shingles that meet in one row before the minima of a line are updated.
+STEP = 16
+#: Minima of a line, bands, and minima in a band. Each minimum is in five bands; at a similarity of 0.8 one pair in
+#: a hundred shares no band, at 0.9 one in 5,000.
+MINIMA, BANDS, ROWS = 24, 24, 5
+#: Bits of each minimum in a sketch, whose numbers hold twelve minima each.
+BITS, PER_LONG = 5, 12
 #: Lines of a bucket whose pairs are all looked at.
-SMALL = 16
+SMALL = 64
 #: Bits of the filter for lines that may be compared: 1 MB, whatever the number of lines.
 FILTER_BITS = 1 << 23
 
 
-def _found(line: Column) -> Column:
-    """The shingles as they come."""
-    found = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
-    return F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(found)
+def _last(chars: Column) -> Column:
+    """The place of the last shingle of a line written with four bytes a character."""
+    return F.greatest((F.length(chars) / F.lit(4)).cast("int") - F.lit(WIDTH), F.lit(0))
+
+
+def _shingle(chars: Column, place: Column) -> Column:
+    return F.substring(chars, place * F.lit(4) + F.lit(1), F.lit(4 * WIDTH))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def shingles(line: Column) -> Column:
-    """The shingle set of a line that is not empty."""
-    return F.array_distinct(_found(line))
+    """The shingle set of a line that is not empty, as 64-bit hashes."""
+    places = lambda e: F.transform(F.sequence(F.lit(0), _last(e)), lambda i: F.xxhash64(_shingle(e, i)))
+    return F.array_distinct(_let(F.encode(line, "UTF-32"), places))
+
+
+def similar(one: Column, two: Column, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two lines' shingle sets is ``threshold`` or more."""
+    enough = lambda n, both: n >= threshold * (both - n)
+    of = lambda x, y: _let(F.size(F.array_intersect(x, y)), lambda n: enough(n, F.size(x) + F.size(y)))
+    return _let(shingles(one), lambda x: _let(shingles(two), lambda y: of(x, y)))
 
 
 def _factors() -> list[int]:
     """Odd numbers of 31 bits."""
-    return [((i + 1) * 0x9E3779B1 + 0x7F4A7C15 ^ (i * i * 0x85EBCA6B)) & 0x7FFFFFFF | 0x40000001 for i in range(BANDS * ROWS)]
+    return [((i + 1) * 0x9E3779B1 + 0x7F4A7C15 ^ (i * i * 0x85EBCA6B)) & 0x7FFFFFFF | 0x40000001 for i in range(MINIMA)]
+
+
+def band_rows() -> list[list[int]]:
+    """The minima of each band: all in turn, in steps that differ from pass to pass, so that few bands share
+    more than two."""
+    left = [at * step % MINIMA for step in (1, 5, 7, 11, 13) for at in range(MINIMA)]
+    bands = []
+    while left:
+        band = list(dict.fromkeys(left))[:ROWS]
+        for x in band:
+            left.remove(x)
+        bands.append(sorted(band))
+    return bands
 
 
-def _bits_needed(threshold: float) -> float:
-    """Equal sketch bits of a pair of that similarity, less 4.7 deviations."""
-    n, p = BANDS * ROWS, (1 + threshold) / 2
-    return n * p - 4.7 * (n * p * (1 - p)) ** 0.5
+def _equal_needed(threshold: float) -> float:
+    """Minima whose sketches are equal in a pair of that similarity, less 4.7 deviations."""
+    p = threshold + (1 - threshold) / (1 << BITS)
+    return MINIMA * p - 4.7 * (MINIMA * p * (1 - p)) ** 0.5
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -57,83 +91,107 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, k1, k2, s1, s2, bands) of each distinct line; s1 and s2 are its sketch."""
-    once = lines.groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    each = once.select("k1", "k2", F.explode(_found(F.col("line"))).alias("s")).select("k1", "k2", F.hash("s").cast("bigint").alias("h"))
-    names = [f"m{i}" for i in range(BANDS * ROWS)]
-    least = each.groupBy("k1", "k2").agg(*[F.min((F.col("h") * F.lit(f)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias(n) for n, f in zip(names, _factors(), strict=True)])
-    bands = [F.xxhash64(F.lit(b), *names[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
-    bit = lambda n, i: F.shiftleft(F.shiftright(F.col(n), 12).bitwiseAND(F.lit(1)).cast("bigint"), i)
-    half = len(names) // 2
-    sketch = [reduce(Column.bitwiseOR, [bit(n, i) for i, n in enumerate(part)]) for part in (names[:half], names[half:])]
-    return least.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", sketch[0].alias("s1"), sketch[1].alias("s2"), F.array(*bands).alias("bands"))
-
-
-def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Lines whose key may be wanted, by a bitmap of fixed size, so that few others are shuffled. The join
-    that follows decides."""
-    slot = F.pmod("k1", F.lit(FILTER_BITS))
+    """(id, k1, k2, times, s1, s2, m0, m1, ...) of each distinct line: how often it occurs, its sketch and minima."""
+    chars = lines.select("k1", "k2", F.encode("line", "UTF-32").alias("e")).withColumn("last", _last(F.col("e")))
+    steps = chars.select("k1", "k2", "e", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    some = [f"h{j}" for j in range(STEP)]
+    begins = (F.col("i") == 0).cast("bigint").alias("begins")
+    hashed = steps.select("k1", "k2", begins, *[F.hash(_shingle(F.col("e"), F.least(F.col("i") + j, F.col("last")))).cast("bigint").alias(h) for j, h in enumerate(some)])
+    under = lambda f: F.least(*[(F.col(h) * F.lit(f)).bitwiseAND(F.lit(0x7FFFFFFF)) for h in some])
+    least = hashed.groupBy("k1", "k2").agg(F.sum("begins").alias("times"), *[F.min(under(f)).cast("int").alias(f"m{i}") for i, f in enumerate(_factors())])
+    return least.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "times", *_sketch(), *[f"m{i}" for i in range(MINIMA)])
+
+
+def _sketch() -> list[Column]:
+    """s1, s2: BITS bits of each minimum."""
+    part = lambda i: F.shiftleft(F.shiftright(f"m{i}", 9).bitwiseAND(F.lit((1 << BITS) - 1)).cast("bigint"), BITS * (i % PER_LONG))
+    return [reduce(Column.bitwiseOR, [part(i) for i in range(k, k + PER_LONG)]).alias(f"s{n}") for n, k in ((1, 0), (2, PER_LONG))]
+
+
+def _buckets(known: DataFrame) -> DataFrame:
+    """(id, s1, s2, bucket): the bands of each line, with its sketch."""
+    bands = [F.xxhash64(F.lit(b), *[f"m{i}" for i in rows]) for b, rows in enumerate(band_rows())]
+    return known.select("id", "s1", "s2", F.explode(F.array(*bands)).alias("bucket"))
+
+
+def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose 64-bit key may be wanted, by a bitmap of fixed size, so that few others are shuffled. The
+    join that follows decides."""
+    slot = F.pmod(key, F.lit(FILTER_BITS))
     word, bit = F.floor(slot / 32768), slot % 32768
     maps = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    marked = lines.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(maps), "_word")
+    marked = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(maps), "_word")
     byte = F.conv(F.hex(F.substring("_map", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return marked.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).drop("_word", "_bit", "_map")
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sketches (id, s1, s2) allow the threshold."""
-    one, two = (sketches.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").where(_allowed(threshold)).select("a", "b")
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """(*more, name, name1, name2): ids and sketches under the name of one side of a pair."""
+    return rows.select(*more, F.col("id").alias(name), F.col("s1").alias(f"{name}1"), F.col("s2").alias(f"{name}2"))
 
 
 def _allowed(threshold: float) -> Column:
-    equal = BANDS * ROWS - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return equal >= _bits_needed(threshold)
+    """Whether the sketches of a and b are as equal as ``_equal_needed`` asks."""
+    lowest = sum(1 << (BITS * i) for i in range(PER_LONG))
+
+    def unequal(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
+        folded = reduce(Column.bitwiseOR, [bits] + [F.shiftright(bits, i) for i in range(1, BITS)])
+        return F.bit_count(folded.bitwiseAND(F.lit(lowest)))
+
+    return MINIMA - unequal(F.col("a1"), F.col("b1")) - unequal(F.col("a2"), F.col("b2")) >= _equal_needed(threshold)
 
 
 def _small(rest: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of small buckets whose sketches allow the threshold."""
-    one, two = (rest.where(F.col("n") <= SMALL).select("bucket", F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
+    one, two = (_side(rest.where(F.col("n") <= SMALL), x, "bucket") for x in "ab")
     return one.join(two, "bucket").where((F.col("a") < F.col("b")) & _allowed(threshold)).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(id, k1, k2, s1, s2, bands) of distinct lines, and (id, root) of those with a near-duplicate."""
+    """``signatures`` of the lines, and (id, root) of those with a near-duplicate."""
     lines = occurrences(docs)
     known = cut(signatures(lines), "line-signatures")
-    every = known.select("id", "s1", "s2", F.explode("bands").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rest = cut(every.join(shared, "bucket"), "line-members")
+    shared = cut(_buckets(known).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "line-buckets")
+    rest = cut(_maybe(_buckets(known), shared, "bucket").join(shared, "bucket"), "line-members")
+    free(shared)
     pairs = cut(_small(rest, threshold), "line-pairs")
     members = rest.where(F.col("n") > SMALL).select("bucket", "id")
     ids = members.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = cut(ids.join(known.select("id", "k1", "k2"), "id"), "line-wanted")
-    text = cut(_maybe(lines.select("k1", "k2", "line"), wanted).join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("id", "line").distinct(), "line-text")
+    text = cut(_maybe(lines.select("k1", "k2", "line"), wanted, "k1").join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("id", "line").distinct(), "line-text")
     free(wanted)
 
-    sketches = known.select("id", "s1", "s2")
-
-    def compare(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         one = text.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
         two = text.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-        sets = cut(_alike(pairs, sketches, threshold), "line-alike").join(one, "a").join(two, "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
-        common = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("both"))
-        return common.where(F.col("n") >= threshold * (F.col("both") - F.col("n"))).select("a", "b")
+        return pairs.join(one, "a").join(two, "b").where(similar(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        alike = pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_allowed(threshold)).select("a", "b")
+        return verified(cut(alike, "line-alike"))
 
     def elements(ids: DataFrame) -> DataFrame:
-        return ids.join(text, "id").select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+        return ids.join(text, "id").select("id", F.explode(shingles(F.col("line"))).alias("h"))
 
-    links = link(members, compare, elements, threshold).where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
-    return known, components(links.unionByName(compare(pairs)))
+    links = verified(pairs)
+    if members.limit(1).count():
+        joined = link(members, compare, elements, threshold)
+        links = links.unionByName(joined.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
+    return known, components(links)
 
 
 def removals(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, text_key, places): the lines of each document that repeat an earlier one of their class."""
     known, roots = classes(docs, threshold)
-    rooted = known.select("id", "k1", "k2").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("root"))
+    roots = cut(roots, "line-roots")
+    repeated = known.select("id", "k1", "k2", "times").join(roots, "id", "left").where("times > 1 or root is not null")
+    repeated = cut(repeated.select("k1", "k2", F.coalesce("root", "id").alias("root")), "line-repeated")
+    free(known)
     order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("place").cast("decimal(12,0)")
-    each = cut(occurrences(docs).select("doc_id", "text_key", "place", "k1", "k2", order.alias("at")).join(rooted, ["k1", "k2"]).select("doc_id", "text_key", "place", "root", "at"), "line-places")
-    first = each.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
+    places = _maybe(occurrences(docs).select("doc_id", "text_key", "place", "k1", "k2"), repeated, "k1")
+    each = cut(places.join(repeated, ["k1", "k2"]).select("doc_id", "text_key", "place", "root", order.alias("at")), "line-places")
+    first = each.groupBy("root").agg(F.min("at").alias("first"))
     later = each.join(first, "root").where(F.col("at") > F.col("first"))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
 

@@ -342,19 +342,8 @@ def test_line_dedup_equals_brute_force(spark):
     docs = table(spark, texts).withColumn("Lines_Removed", F.lit("x"))
     docs = docs.unionByName(docs.limit(0)).unionByName(spark.createDataFrame([(None, None, None, None, None, "y")], docs.schema))
     got = {r["doc_id"]: r["text"] for r in lines.dedup(docs).collect()}
-    pattern = re.compile(lines.SHINGLE)
-    found = {}
-    for i, t in enumerate(texts):
-        for k, x in enumerate(t.split("\n")):
-            if len(x) >= lines.WIDTH:
-                found.setdefault(x, []).append((i, k))
-    sets = {x: ({x} if len(s := pattern.findall(x)) <= 1 else set(s)) for x in found}
-    root = classes_of(sets)
-    first = {}
-    for x, where in found.items():
-        first[root[x]] = min([first.get(root[x], (10**9, 0)), *where])
-    for i, t in enumerate(texts):
-        assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < lines.WIDTH or first[root[x]] == (i, k))
+    want = line_classes(texts)
+    assert all(got[i] == want[i] for i in range(len(texts)))
     assert got[None] is None
     assert lines.dedup(table(spark, [])).count() == 0
 
@@ -377,6 +366,31 @@ def deduped(spark, texts):
     return {r["doc_id"]: r["text"] for r in lines.dedup(table(spark, texts)).collect()}
 
 
+def test_line_recall_on_documents(spark):
+    """All pairs of lines of sf0.01 at 0.8 or more, by an index of their shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known, roots = lines.classes(docs)
+    root = {(r["k1"], r["k2"]): r["root"] for r in known.join(roots, "id").collect()}
+    keyed = {(r["k1"], r["k2"]): r["line"] for r in lines.occurrences(docs).collect()}
+    keys, texts = list(keyed), list(keyed.values())
+    sets = [{x[j : j + 5] for j in range(len(x) - 4)} or {x} for x in texts]
+    index: dict[str, list[int]] = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            index.setdefault(x, []).append(i)
+    index = {x: np.array(v) for x, v in index.items()}
+    size, found, near_pairs = np.array([len(s) for s in sets]), 0, 0
+    for i, s in enumerate(sets):
+        common = np.zeros(len(sets), np.int32)
+        for x in s:
+            common[index[x]] += 1
+        for j in np.flatnonzero(common >= 0.8 * (size[i] + size - common)):
+            if j > i:
+                near_pairs += 1
+                found += keys[i] in root and root[keys[i]] == root.get(keys[j])
+    assert near_pairs > 100 and found >= 0.97 * near_pairs
+
+
 def test_lines_with_a_changed_word_are_near(spark):
     """More lines in one bucket than SMALL, and pairs in small ones."""
     rng = np.random.default_rng(8)
