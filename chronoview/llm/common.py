@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+#: Bits of the filter for rows that may be wanted: 1 MB, whatever the number of rows.
+FILTER_BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset (tests).
+    On a cluster a warehouse on a machine's own disk is no such folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and urlparse(warehouse).scheme in ("", "file"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_shared"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +65,17 @@ def draw(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose 64-bit key may be wanted, by a bitmap of fixed size, so that few others are shuffled. The
+    join that follows decides."""
+    slot = F.pmod(key, F.lit(FILTER_BITS))
+    word, bit = F.floor(slot / 32768), slot % 32768
+    maps = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    marked = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(maps), "_word")
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).drop("_word", "_bit", "_map")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``limit`` bytes in ``column`` each, so that what a task
     holds in Python does not depend on the rows that happened to share an Arrow batch."""

@@ -16,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, without
-from .near import components, link
+from .common import cut, free, maybe, without
+from .near import apart, components, link
 
 WIDTH = 5
 #: Shingles that meet in one row before the minima of a line are updated.
@@ -28,9 +28,7 @@ MINIMA, BANDS, ROWS = 24, 24, 5
 #: Bits of each minimum in a sketch, whose numbers hold twelve minima each.
 BITS, PER_LONG = 5, 12
 #: Lines of a bucket whose pairs are all looked at.
-SMALL = 64
-#: Bits of the filter for lines that may be compared: 1 MB, whatever the number of lines.
-FILTER_BITS = 1 << 23
+SMALL = 16
 
 
 def _last(chars: Column) -> Column:
@@ -60,6 +58,13 @@ def similar(one: Column, two: Column, threshold: float) -> Column:
     return _let(shingles(one), lambda x: _let(shingles(two), lambda y: of(x, y)))
 
 
+def difference(lead: Column, line: Column) -> Column:
+    """n: shingles of ``line``; d: those that only one of the two has, inverted where it is ``lead``."""
+    only = lambda x, y: F.concat(F.array_except(y, x), F.transform(F.array_except(x, y), F.bitwise_not))
+    told = lambda x, y: F.struct(F.size(y).alias("n"), only(x, y).alias("d"))
+    return _let(shingles(lead), lambda x: _let(shingles(line), lambda y: told(x, y)))
+
+
 def _factors() -> list[int]:
     """Odd numbers of 31 bits."""
     return [((i + 1) * 0x9E3779B1 + 0x7F4A7C15 ^ (i * i * 0x85EBCA6B)) & 0x7FFFFFFF | 0x40000001 for i in range(MINIMA)]
@@ -79,9 +84,9 @@ def band_rows() -> list[list[int]]:
 
 
 def _equal_needed(threshold: float) -> float:
-    """Minima whose sketches are equal in a pair of that similarity, less 4.7 deviations."""
+    """Minima whose sketches are equal in a pair of that similarity, less 3.7 deviations."""
     p = threshold + (1 - threshold) / (1 << BITS)
-    return MINIMA * p - 4.7 * (MINIMA * p * (1 - p)) ** 0.5
+    return MINIMA * p - 3.7 * (MINIMA * p * (1 - p)) ** 0.5
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -114,17 +119,6 @@ def _buckets(known: DataFrame) -> DataFrame:
     return known.select("id", "s1", "s2", F.explode(F.array(*bands)).alias("bucket"))
 
 
-def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose 64-bit key may be wanted, by a bitmap of fixed size, so that few others are shuffled. The
-    join that follows decides."""
-    slot = F.pmod(key, F.lit(FILTER_BITS))
-    word, bit = F.floor(slot / 32768), slot % 32768
-    maps = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    marked = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(maps), "_word")
-    byte = F.conv(F.hex(F.substring("_map", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return marked.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).drop("_word", "_bit", "_map")
-
-
 def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
     """(*more, name, name1, name2): ids and sketches under the name of one side of a pair."""
     return rows.select(*more, F.col("id").alias(name), F.col("s1").alias(f"{name}1"), F.col("s2").alias(f"{name}2"))
@@ -153,30 +147,35 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
     lines = occurrences(docs)
     known = cut(signatures(lines), "line-signatures")
     shared = cut(_buckets(known).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "line-buckets")
-    rest = cut(_maybe(_buckets(known), shared, "bucket").join(shared, "bucket"), "line-members")
+    rest = cut(maybe(_buckets(known), shared, "bucket").join(shared, "bucket"), "line-members")
     free(shared)
     pairs = cut(_small(rest, threshold), "line-pairs")
     members = rest.where(F.col("n") > SMALL).select("bucket", "id")
     ids = members.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = cut(ids.join(known.select("id", "k1", "k2"), "id"), "line-wanted")
-    text = cut(_maybe(lines.select("k1", "k2", "line"), wanted, "k1").join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("id", "line").distinct(), "line-text")
+    text = cut(maybe(lines.select("k1", "k2", "line"), wanted, "k1").join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("id", "line").distinct(), "line-text")
     free(wanted)
 
+    def texted(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        one = text.select(F.col("id").alias(x), F.col("line").alias("line_x"))
+        return pairs.join(one, x).join(text.select(F.col("id").alias(y), F.col("line").alias("line_y")), y)
+
     def verified(pairs: DataFrame) -> DataFrame:
-        one = text.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-        two = text.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-        return pairs.join(one, "a").join(two, "b").where(similar(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b")
+        return texted(pairs, "a", "b").where(similar(F.col("line_x"), F.col("line_y"), threshold)).select("a", "b")
 
     def compare(pairs: DataFrame) -> DataFrame:
         alike = pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_allowed(threshold)).select("a", "b")
         return verified(cut(alike, "line-alike"))
 
-    def elements(ids: DataFrame) -> DataFrame:
-        return ids.join(text, "id").select("id", F.explode(shingles(F.col("line"))).alias("h"))
+    def differ(pairs: DataFrame) -> DataFrame:
+        told = texted(pairs, "lead", "id").select("lead", "id", difference(F.col("line_x"), F.col("line_y")).alias("t"))
+        return told.select("lead", "id", "t.n", "t.d")
 
-    links = verified(pairs)
+    # Each line with one partner first: what these join needs no other comparison.
+    links = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "line-links")
+    links = links.unionByName(verified(cut(apart(pairs, cut(components(links), "line-classes")), "line-apart")))
     if members.limit(1).count():
-        joined = link(members, compare, elements, threshold)
+        joined = link(members, compare, differ, threshold)
         links = links.unionByName(joined.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
     return known, components(links)
 
@@ -189,7 +188,7 @@ def removals(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     repeated = cut(repeated.select("k1", "k2", F.coalesce("root", "id").alias("root")), "line-repeated")
     free(known)
     order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("place").cast("decimal(12,0)")
-    places = _maybe(occurrences(docs).select("doc_id", "text_key", "place", "k1", "k2"), repeated, "k1")
+    places = maybe(occurrences(docs).select("doc_id", "text_key", "place", "k1", "k2"), repeated, "k1")
     each = cut(places.join(repeated, ["k1", "k2"]).select("doc_id", "text_key", "place", "root", order.alias("at")), "line-places")
     first = each.groupBy("root").agg(F.min("at").alias("first"))
     later = each.join(first, "root").where(F.col("at") > F.col("first"))

@@ -9,15 +9,14 @@ exact Jaccard similarity of their sets of shingles.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, without
+from .common import cut, free, maybe, schema_of, slices, with_columns
 from .near import link
 from .words import U, Words, scramble
 
@@ -75,64 +74,67 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, key, bands): key is the MD5 of the text (null: empty); texts without words have no bands.
-    A shingle that occurs t times weighs 1 + ln t."""
+def text_key(text: Column) -> Column:
+    """The MD5 of a text; a null text counts as an empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, text, 1 << 20)):
-            for part in (batch.slice(k, 1 << PASS_BITS) for k in range(0, batch.num_rows, 1 << PASS_BITS)):
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                doc, shingle, times = shingles(texts)
-                found = bands(signatures(doc, shingle, 1 + np.log(times), len(texts)))
-                has = np.isin(np.arange(len(texts)), doc)
-                at = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
-                columns = [
-                    part.column(part.schema.get_field_index("doc_id")),
-                    pa.array([hashlib.md5((t or "").encode()).digest() for t in texts], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(found[has].ravel())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "bands"])
-
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>")
-
-
-def similar(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, text_a, text_b) -> (a, b) with Jaccard similarity of five-word shingles of at least threshold."""
+
+def _named(doc_id: str) -> Column:
+    """doc_id as text, so that null is a value as well."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_doc")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of batches (..., text) that one pass can take, and their texts."""
+    for batch in (x for b in batches for x in slices(b, "text", 1 << 20)):
+        for part in (batch.slice(k, 1 << PASS_BITS) for k in range(0, batch.num_rows, 1 << PASS_BITS)):
+            yield part, part.column(part.schema.get_field_index("text")).to_pylist()
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, bands): key is the MD5 of the text; texts without words have no bands. A shingle that
+    occurs t times weighs 1 + ln t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for batch in (x for b in batches for x in slices(b, "text_b", 1 << 20)):
-            a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b"))
-            texts = [dict(zip(ids, batch.column(batch.schema.get_field_index(c)).to_pylist(), strict=True)) for ids, c in ((a, "text_a"), (b, "text_b"))]
-            missing = {i: t for d in texts for i, t in d.items() if i not in known}
-            if len(known) > 1 << PASS_BITS:
-                known, missing = {}, texts[0] | texts[1]
-            ids = list(missing)
-            for k in range(0, len(ids), 256):
-                own = ids[k : k + 256]
-                doc, shingle, _ = shingles([missing[i] for i in own])
-                known.update(zip(own, np.split(shingle, np.searchsorted(doc, np.arange(1, len(own)))), strict=True))
-            keep = []
-            for i, j in zip(a, b, strict=True):
-                both = len(np.intersect1d(known[i], known[j], assume_unique=True))
-                keep.append(both > 0 and both >= threshold * (len(known[i]) + len(known[j]) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def elements(texts: DataFrame) -> DataFrame:
+        for part, texts in _parts(batches):
+            doc, shingle, times = shingles(texts)
+            found = bands(signatures(doc, shingle, 1 + np.log(times), len(texts)))
+            has = np.isin(np.arange(len(texts)), doc)
+            at = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(at), pa.array(found[has].ravel()))
+            yield with_columns(part, ["text"], bands=own)
+
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    return keyed.mapInArrow(run, f"{schema_of(keyed.drop('text'), 'bands array<bigint>')}")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
     """(id, text) -> (id, h): the shingles of each text, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, "text", 1 << 20)):
-            for part in (batch.slice(k, 1 << PASS_BITS) for k in range(0, batch.num_rows, 1 << PASS_BITS)):
-                doc, shingle, _ = shingles(part.column(1).to_pylist())
-                ids = np.array(part.column(0).to_pylist(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(shingle.view(np.int64))], names=["id", "h"])
+        for part, own in _parts(batches):
+            doc, shingle, _ = shingles(own)
+            at = np.searchsorted(doc, np.arange(len(own) + 1)).astype(np.int32)
+            order = np.argsort(doc, kind="stable")
+            yield with_columns(part, ["text"], h=pa.ListArray.from_arrays(pa.array(at), pa.array(shingle[order].view(np.int64))))
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, h array<bigint>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least threshold."""
+    one, two = (sets.select(F.col("id").alias(x), F.col("h").alias(f"h_{x}")) for x in "ab")
+    sized = pairs.join(one, "a").join(two, "b").where(F.least(F.size("h_a"), F.size("h_b")) >= threshold * F.greatest(F.size("h_a"), F.size("h_b")))
+    enough = F.transform(F.array(F.size(F.array_intersect("h_a", "h_b"))), lambda n: (n > 0) & (n >= threshold * (F.size("h_a") + F.size("h_b") - n)))
+    return sized.where(F.element_at(enough, 1)).select("a", "b")
+
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, h bigint")
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, id) -> (lead, id, n, d): shingles of id, and those that only one of the two has, inverted where
+    it is lead."""
+    both = pairs.join(sets.select(F.col("id").alias("lead"), F.col("h").alias("x")), "lead").join(sets.withColumnRenamed("h", "y"), "id")
+    only = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), F.bitwise_not))
+    return both.select("lead", "id", F.size("y").alias("n"), only.alias("d"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -141,24 +143,24 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     class_id is the least doc_id of the class. Equal texts are one class, whatever their length (a null
     text equals an empty one); different texts are in one class if a chain of pairs joins them whose sets
     of five-word shingles have a Jaccard similarity of ``threshold`` or more. Pairs of different texts are
-    candidates if they share a band, which at 0.8 fails for 4 in 10,000 pairs. Words are in lower case and
-    without punctuation. A class of rows without any doc_id has class_id null.
+    candidates if they share a band, which at a probability Jaccard of 0.8 fails for 4 in 10,000 pairs.
+    Words are in lower case and without punctuation. A class of rows without any doc_id has class_id null.
     """
     rows = cut(signed(docs), "near-rows")
     texts = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "near-texts")
-    one = rows.where(F.size("bands") > 0).select("key", F.col("doc_id").alias("_doc"), "bands").join(texts, "key").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
-    members = cut(one.select(F.explode("bands").alias("bucket"), "id").distinct(), "near-all")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    wanted = cut(members.join(shared, "bucket", "left_semi").select("id").distinct().join(texts, "id"), "near-wanted")
-    keyed = docs.select(F.col("doc_id").alias("_doc"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"))
-    text = cut(keyed.join(wanted.hint("shuffle_hash"), "key").where(F.col("_doc").eqNullSafe(F.col("doc_id"))).select("id", "text"), "near-text")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        a = text.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = text.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return similar(pairs.join(a, "a").join(b, "b"), threshold).distinct()
-
-    roots = link(members, compare, lambda ids: elements(ids.join(text, "id")).distinct(), threshold)
+    first = texts.select("key", _named("doc_id"), "id")  # one row of each text; its copies have other ids and so fall to other tasks
+    one = rows.where(F.size("bands") > 0).select("key", _named("doc_id"), "bands").join(first, ["key", "_doc"])
+    each = one.select("id", F.explode("bands").alias("bucket"))
+    shared = cut(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-shared")
+    members = cut(maybe(each, shared, "bucket").join(shared, "bucket").distinct().select("bucket", "id"), "near-all")
+    free(shared)
+    wanted = cut(members.select("id").distinct().join(first, "id").withColumn("k", F.xxhash64("key")), "near-wanted")
+    keyed = docs.select(_named("doc_id"), "text", text_key(F.col("text")).alias("key")).withColumn("k", F.xxhash64("key"))
+    texted = maybe(keyed, wanted, "k").drop("k").join(wanted.drop("k").hint("shuffle_hash"), ["key", "_doc"])
+    sets = cut(shingle_sets(texted.dropDuplicates(["key", "_doc"])), "near-sets")
+    free(wanted)
+
+    roots = link(members, lambda pairs: similar(pairs, sets, threshold), lambda pairs: differences(pairs, sets), threshold)
     of_text = texts.join(roots, "id", "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"))
     least = of_text.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.select("doc_id", "key").join(of_text.join(least, "root").select("key", "class_id"), "key").select("doc_id", "key", "class_id")
@@ -170,8 +172,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = cut(classes(docs, threshold), "near-classes-of-rows")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "key").agg(F.count("*").alias("_n"))
     stay = cut(stay.withColumnRenamed("doc_id", "_doc").withColumnRenamed("key", "_key"), "near-stay")
-    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_key")))
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key(F.col("text")) == F.col("_key")))
     if stay.where("_n > 1").limit(1).count():
         kept = kept.dropDuplicates(["_doc", "_key"])
     return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -1,14 +1,21 @@
 """Near-duplicate classes from buckets: which pairs to compare, and distributed union-find.
 
-Rows that share a bucket are compared without emitting all pairs of a bucket. First each bucket has one
-leader, the row that meets most others in its buckets, and each other row is compared with it; union-find
-joins what is similar. In what is left, an element is rare if at most RARE rows have it. Pairs that share
-a rare element are made from these elements, at most RARE partners each. Any other pair has no more in
-common than the elements of either row that are not rare; so its smaller row must have few rare ones, and
-the larger not too many more. Rows without such a partner in their bucket leave it (``_possible``). Buckets whose rows are all in one class close.
-Should more be left, ever more rows lead, are compared with their whole bucket unless already joined to
-it, and leave it. So any two rows that share a bucket end up compared, joined through others, or proved
-too different, and a large group of copies costs a few comparisons per copy.
+Rows that share a bucket are compared without emitting all pairs of a large bucket. Each has a leader, the row
+that meets most others in its buckets, and from the second turn on LEADERS more; each other row is compared with
+these, and union-find joins what is similar. A bucket whose rows are then all in one class is done. In what is left, each row is
+known by its difference from the leader: the elements that only one of the two has. Two rows that are similar,
+one of them not to the leader, have much of these differences in common:
+
+    With k = (1 - t) / (1 + t), two sets of x and y elements have Jaccard similarity t or more if their symmetric
+    difference has at most k (x + y) elements. It has a + b - 2 o, where a and b are the sizes of the differences
+    from the leader and o is what these have in common. So 2 o >= (a - k x) + (b - k y).
+
+An element of differences is rare if at most RARE rows of the leader have it. Pairs that share rare ones are
+made from these, at most RARE partners each. Any other pair has in common at most the elements of either
+difference that are not rare, and rows for which no partner can fulfil the bound leave the bucket. What still
+stays begins again, with new leaders and new differences; leaders leave, and buckets that are down to SMALL rows
+have all their pairs compared. So any two rows that share a bucket end up compared, joined through others, or
+proved too different, and the work of a turn is in proportion to the rows.
 """
 
 from __future__ import annotations
@@ -20,10 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, free
 
-#: Rows that have a rare element, at most.
-RARE = 4
-#: Leaders of a bucket after the first round; the last number holds for all later ones.
-LEADERS = (8, 64, 512)
+#: Rows of one leader that have a rare element, at most; further leaders of a bucket; rows of a small bucket.
+RARE, LEADERS, SMALL = 8, 7, 32
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -56,84 +61,102 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open(rest: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of buckets whose rows are not all in one class."""
-    rooted = rest.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    rooted = rest.join(classes, "id", "left").withColumn("_root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("bucket").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).where("x <> y").select("bucket")
     return rest.join(mixed, "bucket", "left_semi")
 
 
-def _sizes(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """elements: (id, h), each once. (id, n, c): elements of each row, and how many of them are not rare;
-    and (id, h) of the rare ones."""
-    scarce = elements.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") <= RARE).select("h")
-    rare = cut(elements.join(scarce, "h").select("id", "h"), "near-rare")
-    n = elements.groupBy("id").agg(F.count("*").alias("n"))
-    p = rare.groupBy("id").agg(F.count("*").alias("p"))
-    return cut(n.join(p, "id", "left").select("id", "n", (F.col("n") - F.coalesce("p", F.lit(0))).alias("c")), "near-sizes"), rare
-
-
-def _through_rare(sizes: DataFrame, rare: DataFrame, classes: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) of different classes that share rare elements and may have similarity t: at most the
-    elements of either that are not rare are common, besides the rare ones they share."""
-    other = rare.select(F.col("id").alias("b"), "h")
-    shared = rare.withColumnRenamed("id", "a").join(other, "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("r"))
-    side = lambda x: sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
-    root = lambda x: classes.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-    sized = shared.join(side("a"), "a").join(side("b"), "b").where((F.least("c_a", "c_b") + F.col("r") + 1e-6) * (1 + t) >= t * (F.col("n_a") + F.col("n_b")))
-    rooted = sized.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def _possible(rest: DataFrame, sizes: DataFrame, t: float) -> DataFrame:
-    """Rows that may have a partner of similarity t in their bucket without sharing a rare element with it.
-
-    Two rows of n1 <= n2 elements, c1 and c2 of them not rare, need t (n1 + n2) <= (1 + t) min(c1, c2). With
-    most = c (1 + t) / t - n this says n2 <= most1 and n1 <= most2. So the smaller row is a core row, one
-    with n <= most, and the larger has n and most not below the smaller's n.
-    """
-    most = F.col("c") * ((1 + t) / t) - F.col("n") + 1e-6
-    sized = rest.join(sizes, "id").select("bucket", "id", "n", most.alias("most"))
-    least = sized.where("n <= most").groupBy("bucket").agg(F.min("n").alias("least"))
-    return sized.join(least, "bucket").where(F.least("n", "most") >= F.col("least")).select("bucket", "id")
-
-
-def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, ...) that are not in one class."""
+    root = lambda x: classes.select(F.col("id").alias(x), F.col("root").alias(f"_root_{x}"))
+    rooted = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return rooted.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select(*pairs.columns)
+
+
+def _leaders(rest: DataFrame, more_leaders: int) -> DataFrame:
+    """(bucket, lead, rank): first the row that meets most others in its buckets, then some by hash."""
+    sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    fame = sized.groupBy("id").agg(F.sum("n").alias("fame"))
+    famed = cut(rest.join(fame, "id").select("bucket", "id", "fame"), "near-fame")
+    top = famed.groupBy("bucket").agg(F.max("fame").alias("fame"))
+    first = famed.join(top, ["bucket", "fame"]).groupBy("bucket").agg(F.min("id").alias("lead"))
+    by = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
+    more = rest.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= more_leaders).select("bucket", F.col("id").alias("lead"), "rank")
+    more = more.join(first, ["bucket", "lead"], "left_anti")
+    return first.select("bucket", "lead", F.lit(0).alias("rank")).unionByName(more)
+
+
+def _through_rare(told: DataFrame, elements: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """told: (lead, id, s, a): size of the difference and the bound's part; elements: (lead, id, h), the
+    differences. Returns (a, b), pairs of different classes that share rare elements and may be similar; and
+    (lead, id, s, c) of all rows, c being how many of the difference's elements are not rare."""
+    scarce = elements.groupBy("lead", "h").agg(F.count("*").alias("rows")).where(F.col("rows") <= RARE)
+    rare = cut(elements.join(scarce, ["lead", "h"]).select("lead", "id", "h", "rows"), "near-rare")
+    own = rare.groupBy("lead", "id").agg(F.count("*").alias("p"))
+    sized = cut(told.join(own, ["lead", "id"], "left").select("lead", "id", "s", (F.col("a") - F.coalesce("p", F.lit(0))).alias("c")), "near-sizes")
+    some = rare.where("rows > 1").select("lead", "h", "id")
+    shared = some.withColumnRenamed("id", "a").join(some.withColumnRenamed("id", "b"), ["lead", "h"]).where("a < b")
+    shared = shared.groupBy("lead", "a", "b").agg(F.count("*").alias("r"))
+    side = lambda x: sized.select("lead", F.col("id").alias(x), F.col("s").alias(f"s_{x}"), F.col("c").alias(f"c_{x}"))
+    maybe = shared.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"])
+    maybe = maybe.where(2 * (F.least("c_a", "c_b") + F.col("r")) >= F.col("s_a") + F.col("s_b") - 1e-6).select("a", "b").distinct()
+    return apart(maybe, classes), sized
+
+
+def _possible(sized: DataFrame) -> DataFrame:
+    """(lead, id): rows that may be similar to another of their leader's without a rare element in common.
+    That asks for s_a + s_b <= 2 min(c_a, c_b), so with g = 2 c - s for s_a <= g_b and s_b <= g_a."""
+    reach = sized.withColumn("g", 2 * F.col("c") - F.col("s") + 1e-6)
+    most = reach.groupBy("lead").agg(F.max("g").alias("top"), F.min("s").alias("least"))
+    return reach.join(most, "lead").where((F.col("s") <= F.col("top")) & (F.col("least") <= F.col("g"))).select("lead", "id")
+
+
+def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], differ: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """members: (bucket, id), each once. compare: (a, b) -> those of them that are near-duplicates, by the
-    Jaccard similarity of their sets. elements: (id) -> (id, h), the sets of these ids.
-    Returns (id, root) of all ids with a near-duplicate."""
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rest = cut(members.join(shared, "bucket").select("bucket", "id", "n"), "near-members")
-    fame = rest.groupBy("id").agg(F.sum("n").alias("fame"))
-    lead = cut(rest.join(fame, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("fame"), F.col("id"))).alias("s")).select("bucket", F.col("s.id").alias("lead")), "near-lead")
-    pairs = rest.join(lead, "bucket").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    compared = cut(pairs, "near-pairs")
-    links = cut(compare(compared), "near-links")
-    classes = cut(components(links), "near-classes")
-    without_lead = rest.select("bucket", "id").join(lead.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
-    rest = cut(_open(without_lead, classes), "near-members")
-    if not rest.limit(1).count():
-        return classes
-    sizes, rare = _sizes(cut(elements(rest.select("id").distinct()), "near-elements"))
-    pairs = cut(_through_rare(sizes, rare, classes, threshold).join(compared, ["a", "b"], "left_anti"), "near-pairs")
-    found = cut(compare(pairs), "near-links")
-    compared = compared.unionByName(pairs)
-    if found.limit(1).count():
-        links = links.unionByName(found)
-        classes = cut(components(links), "near-classes")
-    rest = cut(_open(_possible(rest, sizes, threshold), classes), "near-members")
-    turn = 0
-    while rest.limit(1).count():
-        by = Window.partitionBy("bucket").orderBy("id")
-        lead = cut(rest.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= LEADERS[min(turn, len(LEADERS) - 1)]).select("bucket", F.col("id").alias("lead")), "near-lead")
-        root = lambda x, c=classes: c.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root"))
-        rooted = rest.join(root("id"), "id", "left").join(lead.join(root("lead"), "lead", "left"), "bucket")
-        pairs = rooted.where(F.coalesce("id_root", "id") != F.coalesce("lead_root", "lead")).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
+    Jaccard similarity of their sets. differ: (lead, id) -> (lead, id, n, d): how many elements id has, and
+    the array of elements that only one of the two has, told apart by which. Returns (id, root) of all ids
+    with a near-duplicate."""
+    k = (1 - threshold) / (1 + threshold)
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    rest = cut(members.join(shared, "bucket", "left_semi").select("bucket", "id"), "near-members")
+    links = classes = None
+
+    def joined(pairs: DataFrame) -> None:
+        nonlocal links, classes
         found = cut(compare(pairs), "near-links")
-        compared = compared.unionByName(pairs)
-        if found.limit(1).count():
-            links = links.unionByName(found)
+        if classes is None or found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
             classes = cut(components(links), "near-classes")
-        left = rest.join(lead.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
-        rest = cut(_open(left, classes), "near-members")
-        turn += 1
-    return classes
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+
+    while True:
+        again = classes is not None
+        sized = rest.groupBy("bucket").agg(F.count("*").alias("n"))
+        small = rest.join(sized.where(F.col("n") <= (SMALL if again else 0)), "bucket", "left_semi")
+        if again:
+            rest = cut(rest.join(sized.where(F.col("n") > SMALL), "bucket", "left_semi"), "near-members")
+        lead = cut(_leaders(rest, LEADERS if again else 0), "near-lead")
+        pairs = ordered(rest.join(lead, "bucket").where("id <> lead"))
+        if again:
+            every = small.join(small.withColumnRenamed("id", "lead"), "bucket").where("id < lead")
+            pairs = apart(pairs.unionByName(ordered(every)).distinct(), classes)
+        joined(cut(pairs.distinct(), "near-pairs"))
+        led = rest.join(lead.where("rank = 0").select("bucket", "lead"), "bucket").join(lead.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
+        following = cut(_open(led, classes), "near-members")
+        free(rest)
+        rest = following
+        if not rest.limit(1).count():
+            return classes
+        told = cut(differ(rest.select("lead", "id").distinct()), "near-told")
+        elements = told.select("lead", "id", F.explode("d").alias("h"))
+        sizes = told.select("lead", "id", (F.size("d") - F.lit(k) * F.col("n")).alias("s"), F.size("d").alias("a"))
+        pairs, reach = _through_rare(sizes, elements, classes)
+        joined(cut(pairs, "near-pairs"))
+        following = cut(_open(rest.join(_possible(reach), ["lead", "id"], "left_semi").select("bucket", "id"), classes), "near-members")
+        free(told)
+        free(rest)
+        rest = following
+        if not rest.limit(1).count():
+            return classes
