@@ -2,7 +2,8 @@
 
 A rank file maps byte strings to ids. The library works on characters, so each byte is written as one
 printable character (``byte_characters``) and the ranks become a vocabulary and a list of merges. Text
-is first split by the tokenizer's pattern; each distinct piece of a task is encoded once and remembered.
+is first split by the tokenizer's pattern; pieces are remembered, up to MEMO_BYTES a worker. A worker
+loads the definition once and keeps it from task to task.
 """
 
 from __future__ import annotations
@@ -11,17 +12,19 @@ import base64
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .common import slices, schema_of, with_columns, without
 
-#: Pieces that a worker remembers at most; then it starts afresh.
-MEMO = 400_000
+#: What the pieces that a worker remembers may weigh, with about PIECE_BYTES of upkeep each; then it starts afresh.
+MEMO_BYTES, PIECE_BYTES = 32 << 20, 250
 #: Texts longer than this are split piece by piece, not all at once.
 LONG = 1 << 20
 
@@ -68,14 +71,20 @@ class Pieces:
         self.ascii = re.compile(plain, re.ASCII) if r"\p" not in plain else self.any
         self.letters = {b: c for b, c in byte_characters().items()}
         self.memo: dict[str, bytes] = {}
+        self.weight = 0
+        self.table = ByteTable(definition)
 
     def of_piece(self, piece: str) -> bytes:
         found = self.memo.get(piece)
         if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
             mapped = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.memo[piece] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            self.weight += PIECE_BYTES + 4 * len(piece) + len(found)
+            if self.weight > MEMO_BYTES:
+                self.memo.clear()
+                self.weight = PIECE_BYTES + 4 * len(piece) + len(found)
+            if self.weight <= MEMO_BYTES:
+                self.memo[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -88,14 +97,42 @@ class Pieces:
         return bytes(out)
 
 
-def byte_table(definition: str) -> list[bytes]:
+class ByteTable:
     """The bytes of each id: the character table read backwards."""
-    back = {c: b for b, c in byte_characters().items()}
-    vocab = json.loads(definition)["model"]["vocab"]
-    table = [b""] * (max(vocab.values()) + 1)
-    for token, i in vocab.items():
-        table[i] = bytes(back[c] for c in token)
-    return table
+
+    def __init__(self, definition: str):
+        back = {c: b for b, c in byte_characters().items()}
+        vocab = json.loads(definition)["model"]["vocab"]
+        self.known = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        self.bytes = [b""] * len(self.known)
+        for token, i in vocab.items():
+            self.bytes[i] = bytes(back[c] for c in token)
+            self.known[i] = True
+        self.lengths = np.array([len(t) for t in self.bytes], np.int64)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids; an id that the table does not hold is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise ValueError(f"unknown token id among {len(ids)} ids")
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
+
+#: What this worker process has loaded: the last definition and pattern.
+_loaded: dict[str, Pieces | ByteTable] = {}
+
+
+def _load(kind: type, definition: Broadcast, digest: str, *more: str):
+    key = f"{kind.__name__}:{digest}:{more}"
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = kind(zlib.decompress(definition.value).decode(), *more)
+    return _loaded[key]
+
+
+def _shared(df: DataFrame, ranks_path: str) -> tuple[Broadcast, str]:
+    """The definition, packed (a few MB, whatever the data), and its digest."""
+    packed = zlib.compress(tokenizer_json(ranks_path).encode())
+    return df.sparkSession.sparkContext.broadcast(packed), hashlib.sha256(packed).hexdigest()
 
 
 def character_spans(ids: np.ndarray, lengths: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -108,56 +145,62 @@ def character_spans(ids: np.ndarray, lengths: np.ndarray, data: bytes) -> tuple[
     return character[ends - lengths[ids]], character[ends - 1] + 1
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", offsets: bool = False, keep_text: bool = True) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", offsets: bool = False, keep_text: bool = True, keep_ids: bool = True, decoded: bool = False) -> DataFrame:
     """Adds token_ids array<int>, n_tokens bigint and ids_sha256 (of the ids as little-endian unsigned
-    32-bit integers); with ``offsets`` also token_spans array<struct<start,end>> in characters.
+    32-bit integers); with ``offsets`` also token_spans array<struct<start,end>> in characters, and with
+    ``decoded`` decoded_sha256, of the bytes that the ids give when they are decoded again.
 
-    A null or empty text has no tokens. Whole texts are encoded, whatever their length. Input columns of
-    the same names are replaced; all others stay.
+    A null or empty text has no tokens. Whole texts are encoded, whatever their length. Equal rows stay
+    apart and are treated alike; an empty table gives an empty one. Input columns of the same names are
+    replaced; all others stay.
     """
-    added = ["token_ids", "n_tokens", "ids_sha256"] + ["token_spans"] * offsets
+    added = {"token_ids": "array<int>"} if keep_ids else {}
+    added |= {"n_tokens": "bigint", "ids_sha256": "string"}
+    added |= {"token_spans": "array<struct<start:int,end:int>>"} if offsets else {}
+    added |= {"decoded_sha256": "string"} if decoded else {}
     source = without(df, *added)
-    ddl = "token_ids array<int>, n_tokens bigint, ids_sha256 string" + ", token_spans array<struct<start:int,end:int>>" * offsets
-    definition = df.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path))
+    shared, digest = _shared(df, ranks_path)
     dropped = [] if keep_text else [text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(definition.value, pattern)
-        lengths = np.array([len(t) for t in byte_table(definition.value)], np.int64) if offsets else None
+        pieces = _load(Pieces, shared, digest, pattern)
         for batch in (part for b in batches for part in slices(b, text)):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             encoded = [pieces.encode(t) for t in texts]
             counts = np.array([len(e) // 4 for e in encoded], np.int64)
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            flat = np.frombuffer(b"".join(encoded), "<i4")
-            more = {
-                "token_ids": pa.ListArray.from_arrays(at, pa.array(flat, pa.int32())),
-                "n_tokens": pa.array(counts),
-                "ids_sha256": pa.array([hashlib.sha256(e).hexdigest() for e in encoded], pa.string()),
-            }
+            more = {"n_tokens": pa.array(counts), "ids_sha256": pa.array([hashlib.sha256(e).hexdigest() for e in encoded], pa.string())}
+            if keep_ids:
+                more["token_ids"] = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32()))
             if offsets:
-                spans = [character_spans(np.frombuffer(e, "<i4"), lengths, t.encode()) for e, t in zip(encoded, texts, strict=True)]
+                spans = [character_spans(np.frombuffer(e, "<i4"), pieces.table.lengths, t.encode()) for e, t in zip(encoded, texts, strict=True)]
                 both = [pa.array(np.concatenate([s[k] for s in spans] or [[]]).astype(np.int32)) for k in (0, 1)]
                 more["token_spans"] = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(both, ["start", "end"]))
-            yield with_columns(batch, dropped, **more)
+            if decoded:
+                back = (hashlib.sha256(pieces.table.decode(np.frombuffer(e, "<u4"))) for e in encoded)
+                more["decoded_sha256"] = pa.array([h.hexdigest() for h in back], pa.string())
+            yield with_columns(batch, dropped, **{n: more[n] for n in added})
 
     kept = source if keep_text else without(source, text)
-    return source.mapInArrow(run, schema_of(kept, ddl))
+    return source.mapInArrow(run, schema_of(kept, ", ".join(f"{n} {t}" for n, t in added.items())))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", keep_ids: bool = True) -> DataFrame:
     """Adds decoded_bytes binary and decoded_text string (bytes that are no UTF-8 become U+FFFD there, as
-    happens when ids end inside a character). Null ids decode to nothing; an unknown id is an error."""
+    happens when ids end inside a character). A null or empty list decodes to nothing; an unknown, negative
+    or null id is an error. Input columns of the added names are replaced; an empty table gives an empty one."""
     source = without(df, "decoded_bytes", "decoded_text")
-    definition = df.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path))
+    shared, digest = _shared(df, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = byte_table(definition.value).__getitem__
+        table = _load(ByteTable, shared, digest)
         for batch in batches:
             rows = max(1, batch.num_rows // (1 + batch.nbytes // (8 << 20)))
             for part in (batch.slice(k, rows) for k in range(0, batch.num_rows, rows)):
                 column = part.column(part.schema.get_field_index(ids))
-                data = [b"".join(map(piece, v.values.to_numpy(zero_copy_only=False).tolist())) if v.is_valid else b"" for v in column]
+                if any(v.is_valid and v.values.null_count for v in column):
+                    raise ValueError("null token id")
+                data = [table.decode(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else b"" for v in column]
                 yield with_columns(
                     part,
                     [] if keep_ids else [ids],

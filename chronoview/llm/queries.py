@@ -14,8 +14,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep_text=False)
-    return bpe.decode(encoded, RANKS, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep_text=False, keep_ids=False, decoded=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def _verdicts(scored: DataFrame, limit: float) -> DataFrame:

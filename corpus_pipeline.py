@@ -40,9 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with hashes of the ids and of what they decode to."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN, keep_text=False)
-    decoded = bpe.decode(encoded, RANKS)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
+    texts = docs.select("doc_id", "lang", "source", "text")
+    encoded = bpe.encode(texts, RANKS, public_tokenizers.PATTERN, keep_text=False, decoded=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
