@@ -73,22 +73,21 @@ def sample_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     return usable if n <= max_rows else usable.where(draw(f"sample-{label}", F.col("doc_id")) < max_rows / n)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, shards: int = 8) -> tuple[np.ndarray, float]:
-    """Weights from a hash sample of about ``max_rows`` labelled texts (the bound of all that training
-    moves). Each shard of the sample is learned by one task; the weights are the shards' means. Without
-    labels of both kinds, all weights and the bias are 0."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> tuple[np.ndarray, float]:
+    """Weights from a hash sample of about ``max_rows`` labelled texts, which bounds what the one learning
+    task reads. Rows that repeat a doc_id count once, with the least text. Without labels of both kinds, as
+    of empty tables, all weights and the bias are 0."""
     chosen = cut(sample_labels(labels, "toxic", max_rows), "toxic-sample")
-    shards = max(1, min(shards, chosen.count() // 1500))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(order=scramble(rows["doc_id"].to_numpy().astype(np.int64).view(U))).sort_values(["order", "text"])
+        rows = rows.assign(order=scramble(rows["doc_id"].to_numpy().astype(np.int64).view(U))).sort_values("order")
         label = rows["y"].to_numpy(float)
         weights, bias = ftrl(features(rows["text"].tolist()), label) if 0 < label.sum() < len(label) else (np.zeros(1 << BITS), 0.0)
         k = np.flatnonzero(weights)
         return pd.DataFrame({"at": np.append(k, -1), "w": np.append(weights[k], bias)})
 
-    learned = texts.groupBy("shard").applyInPandas(learn, "at long, w double").groupBy("at").agg((F.sum("w") / shards).alias("w")).toPandas()
+    learned = texts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "at long, w double").toPandas()
     weights, own = np.zeros(1 << BITS), learned["at"] >= 0
     weights[learned["at"][own]] = learned["w"][own]
     return weights, float(learned["w"][~own].sum())
