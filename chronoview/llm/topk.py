@@ -1,8 +1,9 @@
 """Exact top-k search by inner product: tiles of queries and shards, partial selection, merged lists.
 
 Vectors are packed into blocks of a fixed number of rows. A tile is a block of queries with a block of
-candidates: one matrix product, then the k best of each row. A task merges the lists of its tiles as they
-come, the lists of tasks are merged by groups of tasks, and those per query.
+candidates: one matrix product, then the k best of each row. Tiles are dealt by cells of a grid, whose size
+does not depend on the tables. A task merges the lists of its tiles as they come and passes them on when they
+are long; the lists of tasks are merged by groups of tasks, and those per query.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES, CANDIDATES, LANES = 512, 4096, 256
+#: Rows of a block of queries and of candidates; a cell has one block of candidates, on average, and CELL of queries.
+QUERIES, CANDIDATES, CELL = 512, 4096, 64
+#: Entries that a task holds before it passes them on.
+HELD = 500_000
 LIST = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -91,14 +95,18 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, fan_in: int =
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query, all if there are fewer.
 
     Both sides are (vec_id, v). A query's own id is no candidate for it; equal candidate rows count each,
-    equal query ids once (with the least vector). A shorter vector counts as padded with zeros. The query
-    set is stated by the caller; each of its blocks goes to every lane, where it meets the lane's blocks of
-    candidates, so each candidate vector is moved once.
+    equal query ids once (with the least vector). A shorter vector counts as padded with zeros, and one of any
+    length is compared whole. Columns other than vec_id and v are not looked at. The query set is stated by
+    the caller. Cells of the grid have a row of query blocks and a column of candidate blocks; a block goes to
+    all cells of its row or column.
     """
-    lanes = max(1, min(LANES, math.ceil(candidates.count() / CANDIDATES)))
+    columns = max(1, math.ceil(candidates.count() / CANDIDATES))
     once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    q = _pack(once, QUERIES, "q_").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    c = _pack(candidates, CANDIDATES, "c_").withColumn("lane", F.pmod(F.xxhash64("c_ids"), F.lit(lanes)).cast("int"))
+    rows = max(1, math.ceil(once.count() / QUERIES / CELL))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
+    q = _pack(once, QUERIES, "q_").withColumn("row", one("q_ids", rows)).withColumn("column", every(columns))
+    c = _pack(candidates.select("vec_id", "v"), CANDIDATES, "c_").withColumn("column", one("c_ids", columns)).withColumn("row", every(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
@@ -107,19 +115,26 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, fan_in: int =
         def merged() -> list[tuple[np.ndarray, ...]]:
             return [best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)] if found else []
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for parts in found:
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for qw, qi, qd, cw, ci, cd in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
                 q_ids, c_ids = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
                 part = tile(q_ids, np.frombuffer(qd, "<f8").reshape(len(q_ids), qw), c_ids, np.frombuffer(cd, "<f8").reshape(len(c_ids), cw), k)
                 found.append(part)
                 size += len(part[0])
-                if size > 1_000_000:
+                if size > HELD:
                     found = merged()
                     size = len(found[0][0])
-        for query, vec, score in merged():
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+                    if size > HELD // 2:
+                        yield from out()
+                        found, size = [], 0
+        found = merged()
+        yield from out()
 
-    tiles = q.join(c, "lane")
+    tiles = q.join(c, ["row", "column"])
     lists = tiles.select("q_width", "q_ids", "q_data", "c_width", "c_ids", "c_data").mapInArrow(run, LIST)
     by = Window.partitionBy("query_id", "_group").orderBy(F.desc("score"), "vec_id")
     grouped = lists.withColumn("_group", (F.spark_partition_id() / fan_in).cast("int")).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= k)
