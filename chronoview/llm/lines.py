@@ -59,9 +59,9 @@ def similar(one: Column, two: Column, threshold: float) -> Column:
 
 
 def difference(lead: Column, line: Column) -> Column:
-    """n: shingles of ``line``; d: those that only one of the two has, inverted where it is ``lead``."""
+    """m, n: shingles of ``lead`` and of ``line``; d: those that only one of the two has, inverted where it is ``lead``."""
     only = lambda x, y: F.concat(F.array_except(y, x), F.transform(F.array_except(x, y), F.bitwise_not))
-    told = lambda x, y: F.struct(F.size(y).alias("n"), only(x, y).alias("d"))
+    told = lambda x, y: F.struct(F.size(x).alias("m"), F.size(y).alias("n"), only(x, y).alias("d"))
     return _let(shingles(lead), lambda x: _let(shingles(line), lambda y: told(x, y)))
 
 
@@ -169,7 +169,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
 
     def differ(pairs: DataFrame) -> DataFrame:
         told = texted(pairs, "lead", "id").select("lead", "id", difference(F.col("line_x"), F.col("line_y")).alias("t"))
-        return told.select("lead", "id", "t.n", "t.d")
+        return told.select("lead", "id", "t.m", "t.n", "t.d")
 
     # Each line with one partner first: what these join needs no other comparison.
     links = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "line-links")

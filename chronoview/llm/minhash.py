@@ -130,11 +130,11 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(lead, id) -> (lead, id, n, d): shingles of id, and those that only one of the two has, inverted where
-    it is lead."""
+    """(lead, id) -> (lead, id, m, n, d): shingles of lead and of id, and those that only one of the two has,
+    inverted where it is lead."""
     both = pairs.join(sets.select(F.col("id").alias("lead"), F.col("h").alias("x")), "lead").join(sets.withColumnRenamed("h", "y"), "id")
     only = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), F.bitwise_not))
-    return both.select("lead", "id", F.size("y").alias("n"), only.alias("d"))
+    return both.select("lead", "id", F.size("x").alias("m"), F.size("y").alias("n"), only.alias("d"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -12,7 +12,9 @@ one of them not to the leader, have much of these differences in common:
 
 An element of differences is rare if at most RARE rows of the leader have it. Pairs that share rare ones are
 made from these, at most RARE partners each. Any other pair has in common at most the elements of either
-difference that are not rare, and rows for which no partner can fulfil the bound leave the bucket. What still
+difference that are not rare, and rows for which no partner of another class can fulfil the bound leave the
+bucket. All this is for rows whose similarity to the leader is NEAR or more. Jaccard distance is a metric, so a
+row of SURE or more has all its partners among these; rows below SURE stay for another leader. What still
 stays begins again, with new leaders and new differences; leaders leave, and buckets that are down to SMALL rows
 have all their pairs compared. So any two rows that share a bucket end up compared, joined through others, or
 proved too different, and the work of a turn is in proportion to the rows.
@@ -29,6 +31,8 @@ from .common import cut, free
 
 #: Rows of one leader that have a rare element, at most; further leaders of a bucket; rows of a small bucket.
 RARE, LEADERS, SMALL = 8, 7, 32
+#: Similarity to the leader: a row and a partner of at least 0.8 are at most 0.2 apart from each other.
+NEAR, SURE = 0.3, 0.5
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -103,30 +107,41 @@ def _through_rare(told: DataFrame, elements: DataFrame, classes: DataFrame) -> t
     return apart(maybe, classes), sized
 
 
-def _possible(sized: DataFrame) -> DataFrame:
-    """(lead, id): rows that may be similar to another of their leader's without a rare element in common.
-    That asks for s_a + s_b <= 2 min(c_a, c_b), so with g = 2 c - s for s_a <= g_b and s_b <= g_a."""
-    reach = sized.withColumn("g", 2 * F.col("c") - F.col("s") + 1e-6)
-    most = reach.groupBy("lead").agg(F.max("g").alias("top"), F.min("s").alias("least"))
-    return reach.join(most, "lead").where((F.col("s") <= F.col("top")) & (F.col("least") <= F.col("g"))).select("lead", "id")
+def _possible(sized: DataFrame, classes: DataFrame) -> DataFrame:
+    """(lead, id): rows that may be similar to another of their leader's without a rare element in common, one of
+    the two not in the leader's class. That asks for s_a + s_b <= 2 min(c_a, c_b), so with g = 2 c - s for
+    s_a <= g_b and s_b <= g_a."""
+    root = lambda x: classes.select(F.col("id").alias(x), F.col("root").alias(f"_root_{x}"))
+    rooted = sized.join(root("id"), "id", "left").join(root("lead"), "lead", "left")
+    inside = F.coalesce("_root_id", "id") == F.coalesce("_root_lead", "lead")
+    reach = rooted.select("lead", "id", "s", (2 * F.col("c") - F.col("s") + 1e-6).alias("g"), inside.alias("inside"))
+    of = lambda f, c, where: f(F.when(where, F.col(c)))
+    most = reach.groupBy("lead").agg(
+        F.max("g").alias("top"), F.min("s").alias("least"), of(F.max, "g", ~F.col("inside")).alias("top_out"), of(F.min, "s", ~F.col("inside")).alias("least_out")
+    )
+    fits = lambda top, least: F.coalesce((F.col("s") <= F.col(top)) & (F.col(least) <= F.col("g")), F.lit(False))
+    return reach.join(most, "lead").where(F.when(F.col("inside"), fits("top_out", "least_out")).otherwise(fits("top", "least"))).select("lead", "id")
 
 
 def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], differ: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """members: (bucket, id), each once. compare: (a, b) -> those of them that are near-duplicates, by the
-    Jaccard similarity of their sets. differ: (lead, id) -> (lead, id, n, d): how many elements id has, and
-    the array of elements that only one of the two has, told apart by which. Returns (id, root) of all ids
-    with a near-duplicate."""
+    Jaccard similarity of their sets. differ: (lead, id) -> (lead, id, m, n, d): how many elements the two
+    have, and the array of elements that only one of them has, told apart by which. Returns (id, root) of all
+    ids with a near-duplicate. ``threshold`` is 0.8 or more, which NEAR and SURE are made for."""
     k = (1 - threshold) / (1 + threshold)
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     rest = cut(members.join(shared, "bucket", "left_semi").select("bucket", "id"), "near-members")
-    links = classes = None
+    classes = None
 
     def joined(pairs: DataFrame) -> None:
-        nonlocal links, classes
+        nonlocal classes
         found = cut(compare(pairs), "near-links")
         if classes is None or found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
+            before = classes
+            links = found if before is None else found.unionByName(before.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
             classes = cut(components(links), "near-classes")
+            free(before)
+        free(found)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
@@ -149,12 +164,14 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], differ:
         rest = following
         if not rest.limit(1).count():
             return classes
-        told = cut(differ(rest.select("lead", "id").distinct()), "near-told")
-        elements = told.select("lead", "id", F.explode("d").alias("h"))
-        sizes = told.select("lead", "id", (F.size("d") - F.lit(k) * F.col("n")).alias("s"), F.size("d").alias("a"))
-        pairs, reach = _through_rare(sizes, elements, classes)
+        alike = (F.col("m") + F.col("n") - F.size("d")) / (F.col("m") + F.col("n") + F.size("d"))
+        told = differ(rest.select("lead", "id").distinct()).select("lead", "id", "n", F.size("d").alias("a"), alike.alias("j"), F.when(alike >= NEAR, F.col("d")).alias("d"))
+        told = cut(told, "near-told")
+        near = told.where(F.col("j") >= NEAR)
+        pairs, reach = _through_rare(near.select("lead", "id", (F.col("a") - F.lit(k) * F.col("n")).alias("s"), "a"), near.select("lead", "id", F.explode("d").alias("h")), classes)
         joined(cut(pairs, "near-pairs"))
-        following = cut(_open(rest.join(_possible(reach), ["lead", "id"], "left_semi").select("bucket", "id"), classes), "near-members")
+        stay = _possible(reach, classes).unionByName(told.where(F.col("j") < SURE).select("lead", "id")).distinct()
+        following = cut(_open(rest.join(stay, ["lead", "id"], "left_semi").select("bucket", "id"), classes), "near-members")
         free(told)
         free(rest)
         rest = following
