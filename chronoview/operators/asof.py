@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleanse import before
+from ..functions.cleanse import before, normalize_id, parse_time, tri_state
 
 
 def attach(records: DataFrame, manifest: DataFrame, time: str | None = None, subject: str = "subject_id", columns: Sequence[str] = ("qid", "cutoff"), inclusive: bool = False) -> DataFrame:
@@ -73,13 +73,32 @@ def clamp_range(records: DataFrame, start: Column, end: Column, time: str = "eve
     return records.where(asked & (F.col(time) < F.col("cutoff")))
 
 
-def resolve_episode(manifest: DataFrame, episodes: DataFrame) -> DataFrame:
+def availability_states(rows: DataFrame, clocks: Sequence[str], key: str = "qid") -> tuple[DataFrame, DataFrame]:
+    """Rows with state: after if one of the clocks is proven to come after the cutoff, else before if one is known
+    to come before it, else unknown; and per question how many rows are in each state."""
+    states = F.array(*[tri_state(F.col(c), F.col("cutoff")) for c in clocks])
+    state = F.when(F.array_contains(states, "after"), "after").when(F.array_contains(states, "before"), "before").otherwise("unknown")
+    stated = rows.withColumn("state", state)
+    counts = stated.groupBy(key).agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("before", "after", "unknown")])
+    return stated, counts
+
+
+def drop_proven_late(stated: DataFrame, children: dict[str, tuple[DataFrame, Sequence[str]]], key: str = "qid") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Rows that are not proven late, and of each child table (rows, keys) those whose parent is not."""
+    late = stated.where("state = 'after'")
+    kept = {n: df.join(late.select(key, *keys).distinct(), [key, *keys], "left_anti") for n, (df, keys) in children.items()}
+    return stated.where("state <> 'after'"), kept
+
+
+def resolve_episode(manifest: DataFrame, episodes: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """manifest (qid, subject_id, cutoff, episode_id), episodes (subject_id, episode_id, end_time): the
     cutoff becomes the episode's end + 1 s where exactly one episode of that id ends on the cutoff's day;
-    else problem says why. A missing id is taken from the only episode that ends a second before the cutoff."""
+    else problem says why. A missing id is taken from the only one of ``notes`` (subject_id, episode_id,
+    charttime) written a second before the cutoff; without notes, from the only episode that ends then."""
     second = F.expr("INTERVAL 1 SECOND")
     ends = episodes.select("subject_id", F.col("episode_id").alias("_id"), "end_time")
-    guess = manifest.join(ends, "subject_id").where(F.col("end_time") == F.col("cutoff") - second)
+    hints = ends if notes is None else notes.select("subject_id", F.col("episode_id").alias("_id"), F.col("charttime").alias("end_time"))
+    guess = manifest.join(hints, "subject_id").where(F.col("end_time") == F.col("cutoff") - second)
     guess = guess.groupBy("qid").agg(F.count_distinct("_id").alias("_n"), F.min("_id").alias("_guess"))
     named = manifest.join(guess, "qid", "left").withColumn("resolved_id", F.coalesce("episode_id", F.when(F.col("_n") == 1, F.col("_guess"))))
     found = named.join(ends.withColumnRenamed("subject_id", "_s"), (F.col("subject_id") == F.col("_s")) & (F.col("resolved_id") == F.col("_id")), "left")
@@ -90,11 +109,29 @@ def resolve_episode(manifest: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def mask_target(view: DataFrame, manifest: DataFrame, key: str, enabled: bool = True) -> DataFrame:
-    """Without the rows of each question's target; or, if disabled, with would_mask in their place."""
-    targets = manifest.select("qid", F.col("target_id").alias(key)).where(F.col(key).isNotNull())
-    if enabled:
-        return view.join(targets, ["qid", key], "left_anti")
-    return view.join(targets.withColumn("_hit", F.lit(1)), ["qid", key], "left").withColumn("would_mask", F.col("_hit").isNotNull()).drop("_hit")
+    """Without the rows of each question's target; or, if disabled, with would_mask in their place. manifest has
+    the questions that need a mask, with target_id; one that is missing is an error of the query, as nothing
+    would hide its rows. Ids compare as texts: "123", 123 and "123.0" are one."""
+    if key not in view.columns:
+        raise ValueError(f"no column {key} to mask by")
+    missing = F.raise_error(F.concat(F.lit("no target for question "), F.col("qid").cast("string"))).cast("string")
+    target = F.coalesce(normalize_id(F.col("target_id")), missing)
+    targets = manifest.select("qid", target.alias("_target")).distinct()
+    marked = view.join(targets, "qid", "left").withColumn("_hit", F.coalesce(normalize_id(F.col(key)) == F.col("_target"), F.lit(False))).drop("_target")
+    return marked.where(~F.col("_hit")).drop("_hit") if enabled else marked.withColumnRenamed("_hit", "would_mask")
+
+
+def restore_note(view: DataFrame, notes: DataFrame, episodes: DataFrame, key: str = "episode_id", time: str = "charttime", stored: str = "storetime", derived: str = "episode_available_time") -> DataFrame:
+    """The note of each question's index episode, which is part of the task even where it was stored later.
+    episodes: (qid, cutoff, resolved_id), as from ``resolve_episode``. Such a note takes the place of the same
+    episode's notes in the view; a store time that is not before the cutoff is null, and ``derived`` has the
+    episode's end, a second before the cutoff."""
+    known = episodes.where(F.col("resolved_id").isNotNull() & F.col("cutoff").isNotNull()).select("qid", F.col("cutoff").alias("_cutoff"), normalize_id(F.col("resolved_id")).alias("_id"))
+    named = notes.withColumn("_id", normalize_id(F.col(key))).join(known, "_id").where(before(parse_time(F.col(time), time), F.col("_cutoff")))
+    own = {stored: F.when(before(parse_time(F.col(stored), stored), F.col("_cutoff")), F.col(stored))} if stored in notes.columns else {}
+    note = named.withColumns(own).withColumn("cutoff", F.col("_cutoff")).withColumn(derived, F.col("_cutoff") - F.expr("INTERVAL 1 SECOND")).drop("_cutoff", "_id")
+    others = view.withColumn("_id", normalize_id(F.col(key))).join(note.select("qid", normalize_id(F.col(key)).alias("_id")).distinct(), ["qid", "_id"], "left_anti").drop("_id")
+    return others.unionByName(note, allowMissingColumns=True)
 
 
 def modality_gate(manifest: DataFrame, modalities: str = "modalities") -> DataFrame:

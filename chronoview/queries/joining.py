@@ -240,7 +240,7 @@ def c5_point_in_time_view(t):
     r = t.records.where("event_type = 'purchase'").select("subject_id", "event_id", "event_time", "available_time", "value")
     tables = {"visits": r, "codes": r.select("event_id", F.col("value").alias("code_value"))}
     rules = {"visits": pol.TablePolicy(("event_time",), ("available_time",)), "codes": pol.ChildPolicy("visits", ("event_id",), "event_time", 86400)}
-    view = pol.point_in_time_view(tables, t.manifest, rules, {"codes": ["event_id", "code_value"]})
+    view = pol.point_in_time_view(tables, t.manifest, rules, {"visits": r.columns, "codes": ["event_id", "code_value"]})
     parts = [view["visits"].select(F.lit("visits").alias("table_name"), "qid", "value"), view["codes"].select(F.lit("codes").alias("table_name"), "qid", F.col("code_value").alias("value"))]
     return parts[0].unionByName(parts[1]).groupBy("table_name", "qid").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 

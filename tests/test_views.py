@@ -49,7 +49,7 @@ def test_child_follows_parent_with_offset_and_agreement(spark, manifest):
     stays = timed(frame(spark, [("s1", "1", "2200-01-01 08:00:00"), ("s2", "1", "2200-01-02 08:00:00"), ("s3", "1", "2200-01-01 01:00:00"), ("s3", "1", "2200-01-01 02:00:00")], ["stay_id", "subject_id", "outtime"]), "outtime")
     codes = frame(spark, [("s1", "A"), ("s2", "B"), ("s3", "C"), ("s4", "D")], ["stay_id", "code"])
     rules = {"stays": pol.TablePolicy(("outtime",)), "codes": pol.ChildPolicy("stays", ("stay_id",), "outtime", 86400)}
-    view = pol.point_in_time_view({"stays": stays, "codes": codes}, manifest, rules)
+    view = pol.point_in_time_view({"stays": stays, "codes": codes}, manifest, rules, {"stays": stays.columns, "codes": codes.columns})
     assert [r["code"] for r in view["codes"].collect()] == ["A"]
 
 
