@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleanse as cl
 from ..operators import asof
+from ..plans.image_views import image_view
 from ..plans.registry import BOTH, MANIFEST, RECORDS, query, stamp
 
 S = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -116,15 +117,15 @@ def b18_prune_list(t):
     return o.select("o_custkey", cl.prune_list(F.array_join(F.transform("ids", lambda x: x.cast("string")), "|"), even).alias("cell"))
 
 
-@query("""SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || ',"gone":null}' AS js, substr(n_name, 1, 4) AS cut FROM nation""")
+@query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_custkey":' || o_custkey || ',"gone":null}' AS js, substr(o_orderpriority, 1, 4) AS cut FROM orders""")
 def b19_b20_json_truncate(t):
-    n = t.nation.withColumn("gone", F.lit(None).cast("string"))
-    return n.select("n_nationkey", cl.row_json(n).alias("js"), cl.truncate_text(F.col("n_name"), 4).alias("cut"))
+    o = t.orders.select("o_orderkey", "o_orderpriority", "o_custkey", F.lit(None).cast("string").alias("gone"))
+    return o.select("o_orderkey", cl.row_json(o).alias("js"), cl.truncate_text(F.col("o_orderpriority"), 4).alias("cut"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def b21_drop_outcome_columns(t):
-    return t.orders.drop("o_orderstatus", "o_totalprice").select("o_orderkey", "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return cl.drop_columns(t.orders, ["o_orderstatus", "o_totalprice"]).select("o_orderkey", "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 @query(f"{BOTH} SELECT qid, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM r JOIN m USING (subject_id) WHERE event_time < cutoff GROUP BY qid")
@@ -160,6 +161,75 @@ def c7_c10_modality_view(t):
     return asof.as_of_inclusive(t.records, asof.modality_gate(m), "event_time").select("qid", "event_id")
 
 
+def _image_manifest(t):
+    scans = t.records.where("event_type = 'view' and event_id % 2 = 0").groupBy("subject_id").agg(F.collect_list(F.col("event_id").cast("string")).alias("study_ids"))
+    m = t.manifest.withColumn("modalities", F.when(F.col("task") == "first", F.array(F.lit("EHR"), F.lit("image"))).otherwise(F.array(F.lit("image"))))
+    return m.join(scans, "subject_id", "left")
+
+
+def _of_type(t, kind, **columns):
+    return t.records.where(F.col("event_type") == kind).select("subject_id", *[c.alias(n) for n, c in columns.items()])
+
+
+def _scans(t):
+    return _of_type(t, "view", study_id=F.concat(F.col("event_id").cast("string"), F.lit(".0")), studydatetime=stamp("event_time"))
+
+
+_SEES_SCANS = "event_type = 'view' AND event_id % 2 = 0 AND date_trunc('second', event_time) <= cutoff"
+
+
+@query(f"""{BOTH} SELECT 'events' AS table_name, qid, count(*) AS n, 0::BIGINT AS known FROM r JOIN m USING (subject_id) WHERE task = 'first' AND event_type = 'click' AND date_trunc('day', event_time) + INTERVAL '23:59:59' <= cutoff GROUP BY ALL
+UNION ALL SELECT 'stays', qid, count(*), 0 FROM r JOIN m USING (subject_id) WHERE task = 'first' AND event_type = 'purchase' AND date_trunc('second', event_time) <= cutoff GROUP BY ALL
+UNION ALL SELECT 'tb_cxr', qid, count(*), 0 FROM r JOIN m USING (subject_id) WHERE {_SEES_SCANS} GROUP BY ALL""")
+def c7_image_event_view(t):
+    tables = {
+        "events": _of_type(t, "click", id=F.col("event_id"), charttime=F.date_format("event_time", "yyyy-MM-dd")),
+        "stays": _of_type(t, "purchase", stay_id=F.col("event_id"), intime=stamp("event_time"), los=F.col("value")),
+        "tb_cxr": _scans(t),
+    }
+    return _counted(image_view(tables, _image_manifest(t)))
+
+
+def _counted(views, **known):
+    out = None
+    for name, view in views.items():
+        if {"los", "mortality"} & set(view.columns):
+            raise ValueError(f"{name} shows its outcome")
+        own = view.groupBy("qid").agg(F.count("*").alias("n"), F.count_if(known.get(name, F.lit(False))).alias("known")).select(F.lit(name).alias("table_name"), "qid", "n", "known")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""{BOTH}, x AS (SELECT *, date_trunc('second', event_time) <= cutoff AS seen, date_trunc('second', available_time) <= cutoff AS ended FROM r JOIN m USING (subject_id)), f AS (SELECT * FROM x WHERE task = 'first')
+SELECT 'admissions' AS table_name, qid, count(*) AS n, count(*) FILTER (ended) AS known FROM f WHERE event_type = 'purchase' AND seen GROUP BY ALL
+UNION ALL SELECT 'diagnoses_icd', qid, count(*), 0 FROM f WHERE event_type = 'purchase' AND ended GROUP BY ALL
+UNION ALL SELECT 'patients', qid, count(*), 0 FROM f WHERE event_type = 'signup' GROUP BY ALL
+UNION ALL SELECT 'tb_cxr', qid, count(*), 0 FROM r JOIN m USING (subject_id) WHERE {_SEES_SCANS} GROUP BY ALL""")
+def c8_image_hospital_view(t):
+    stay = {"hadm_id": F.concat(F.col("event_id").cast("string"), F.lit(".0"))}
+    tables = {
+        "admissions": _of_type(t, "purchase", **stay, admittime=stamp("event_time"), dischtime=stamp("available_time"), hospital_expire_flag=F.lit("1")),
+        "diagnoses_icd": _of_type(t, "purchase", hadm_id=F.col("event_id").cast("string"), icd_code=F.col("props")),
+        "patients": _of_type(t, "signup", gender=F.lit("f")),
+        "tb_cxr": _scans(t),
+    }
+    return _counted(image_view(tables, _image_manifest(t)), admissions=F.col("hospital_expire_flag").isNotNull())
+
+
+@query(f"""{BOTH}, x AS (SELECT qid, event_id, CASE WHEN event_id % 3 <> 0 AND date_trunc('second', event_time) > cutoff OR event_id % 4 <> 0 AND date_trunc('second', available_time) > cutoff THEN 'after'
+  WHEN event_id % 3 <> 0 OR event_id % 4 <> 0 THEN 'before' ELSE 'unknown' END AS state FROM r JOIN m USING (subject_id))
+SELECT qid, count(*) FILTER (state = 'before') AS before, count(*) FILTER (state = 'after') AS after, count(*) FILTER (state = 'unknown') AS unknown, count(*) FILTER (state <> 'after') AS kept,
+  count(*) FILTER (state <> 'after' AND event_id % 2 = 0) AS children FROM x GROUP BY 1""")
+def c16_availability_filter(t):
+    clock = lambda c, k: F.when(F.col("event_id") % k == 0, "n/a").otherwise(stamp(c))
+    rows = asof.attach(t.records, t.manifest).select("qid", "cutoff", "event_id", clock("event_time", 3).alias("charttime"), clock("available_time", 4).alias("storetime"))
+    stated, counts = asof.availability_states(rows, ["charttime", "storetime"])
+    kept, children = asof.drop_proven_late(stated, {"detail": (rows.where("event_id % 2 = 0").select("qid", "event_id"), ["event_id"])})
+    of = lambda df, n: df.groupBy("qid").agg(F.count("*").alias(n))
+    joined = counts.join(of(kept, "kept"), "qid", "left").join(of(children["detail"], "children"), "qid", "left")
+    return joined.select("qid", "before", "after", "unknown", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("children", F.lit(0)).alias("children"))
+
+
 @query(f"""{BOTH}, e AS (SELECT subject_id, event_id AS episode_id, date_trunc('second', event_time) AS end_time FROM r WHERE event_type = 'purchase'),
 q AS (SELECT m.qid, m.subject_id, x.episode_id, CASE WHEN m.task = 'first' THEN date_trunc('day', x.end_time) + INTERVAL 1 HOUR ELSE m.cutoff END AS cutoff
   FROM m JOIN (SELECT subject_id, min(episode_id) AS id FROM e GROUP BY 1) f USING (subject_id) JOIN e x ON x.episode_id = f.id)
