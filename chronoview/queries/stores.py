@@ -100,12 +100,13 @@ def a15_resume(t):
     return io.resume(m, results)
 
 
-@query("""WITH c AS (SELECT 't' || n_regionkey AS table_name, n_name AS column_name, 'd' || n_nationkey AS description FROM nation), l AS (SELECT 't' || r_regionkey AS a, 't' || ((r_regionkey + 1) % 5) AS b FROM region)
-SELECT table_name, column_name, description FROM c UNION ALL SELECT a, column_name, description FROM l JOIN c ON c.table_name = b""")
+@query("""WITH c AS (SELECT 't' || l_orderkey AS table_name, 'c' || l_linenumber || '_' || l_partkey AS column_name, max('d' || l_suppkey) AS description FROM lineitem GROUP BY ALL), l AS (SELECT 't' || o_orderkey AS a, 't' || (o_orderkey + 1) AS b FROM orders)
+SELECT table_name, column_name, description FROM c UNION ALL SELECT a, column_name, description FROM l JOIN c ON c.table_name = b WHERE NOT EXISTS (FROM c AS own WHERE own.table_name = a AND own.column_name = c.column_name)""")
 def a16_describe(t):
     tab = lambda k: F.concat(F.lit("t"), k.cast("string"))
-    columns = t.nation.select(tab(F.col("n_regionkey")).alias("table_name"), F.col("n_name").alias("column_name"), F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("description"))
-    links = t.region.select(tab(F.col("r_regionkey")).alias("table_name"), tab((F.col("r_regionkey") + 1) % 5).alias("link_table"))
+    named = F.concat(F.lit("c"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"))
+    columns = t.lineitem.groupBy(tab(F.col("l_orderkey")).alias("table_name"), named.alias("column_name")).agg(F.max(F.concat(F.lit("d"), F.col("l_suppkey").cast("string"))).alias("description"))
+    links = t.orders.select(tab(F.col("o_orderkey")).alias("table_name"), tab(F.col("o_orderkey") + 1).alias("link_table"))
     return io.describe(columns, links)
 
 

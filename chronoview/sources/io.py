@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    """A fresh path in the folder that all executors share: spark.checkpoint.dir, or in a local run the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        if not spark.sparkContext.master.startswith("local") and urlparse(base).scheme in ("", "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -25,14 +30,17 @@ def list_tables(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def scan_table_dir(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every table of the folder, all columns as text."""
-    return {name: spark.read.option("header", True).csv(where) for name, where in list_tables(spark, path).items()}
+    """Every table of the folder, all columns as text. Quoted cells may hold line breaks and doubled quotes."""
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+    return {name: spark.read.options(**options).csv(where) for name, where in list_tables(spark, path).items()}
 
 
 def subset_by_subject(tables: Mapping[str, DataFrame], ids: DataFrame, key: str = "subject_id", copy_others: bool = False) -> dict[str, DataFrame]:
-    """Rows of the given subjects; tables without the key are left out, or copied whole."""
+    """Rows of the given subjects; tables without the key are left out, or copied whole. No subjects at all
+    means no filter."""
     wanted = ids.select(key).distinct()
-    out = {n: df.join(wanted, key, "left_semi") for n, df in tables.items() if key in df.columns}
+    anyone = ids.limit(1).count() == 0
+    out = {n: df if anyone else df.join(wanted, key, "left_semi") for n, df in tables.items() if key in df.columns}
     return out | {n: df for n, df in tables.items() if copy_others and key not in df.columns}
 
 
@@ -40,18 +48,24 @@ def incremental_subjects(manifest: DataFrame, existing: DataFrame, key: str = "s
     return manifest.select(key).distinct().join(existing.select(key), key, "left_anti")
 
 
-def write_subject_store(tables: Mapping[str, DataFrame], path: str, key: str = "subject_id", buckets: int = 16, mode: str = "errorifexists") -> None:
-    """A folder per table and bucket of subjects; reading one subject prunes to its bucket."""
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_subject_store(tables: Mapping[str, DataFrame], path: str, key: str = "subject_id", buckets: int = 16, files: int = 4, mode: str = "errorifexists") -> None:
+    """A folder per table and bucket of subjects, with ``files`` files each; reading one subject prunes to its
+    bucket. Subjects are told apart by their text, whatever their type. buckets times files is the number of
+    tasks, for the caller to choose by the tables' size; the reader needs the same ``buckets``."""
     for name, df in tables.items():
-        bucketed = df.withColumn("subject_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        bucketed.repartition("subject_bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(4))).write.mode(mode).partitionBy("subject_bucket").parquet(f"{path}/{name}")
+        bucketed = df.withColumn("subject_bucket", _bucket(F.col(key), buckets))
+        bucketed.repartition(buckets * files, "subject_bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(files))).write.mode(mode).partitionBy("subject_bucket").parquet(f"{path}/{name}")
 
 
 def read_subject_tables(spark: SparkSession, path: str, names: Sequence[str], subject: object, key: str = "subject_id", buckets: int = 16) -> dict[str, DataFrame]:
     """All rows of one subject, tables by name."""
-    bucket = F.pmod(F.xxhash64(F.lit(subject).cast("bigint")), F.lit(buckets)).cast("int")
+    bucket = _bucket(F.lit(subject), buckets)
     read = {n: spark.read.parquet(f"{path}/{n}") for n in sorted(names)}
-    return {n: df.where((F.col("subject_bucket") == bucket) & (F.col(key) == F.lit(subject))).drop("subject_bucket") for n, df in read.items()}
+    return {n: df.where((F.col("subject_bucket") == bucket) & (F.col(key).cast("string") == F.lit(subject).cast("string"))).drop("subject_bucket") for n, df in read.items()}
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str, keyed: bool = False) -> DataFrame:
