@@ -119,11 +119,13 @@ def mentions(text: Column, official: Column) -> Column:
 
 
 def align(pred: Column, vocabulary: Column) -> Column:
-    """The official name that equals it after normalising, else the first that holds it or that it holds, else itself."""
+    """The official name that equals it after normalising, else the first that holds it or that it holds, else
+    itself. A text that normalises to nothing matches no name, on either side."""
     norm = normalize_text
+    vocabulary = F.filter(vocabulary, lambda v: norm(v) != "")
     same = F.filter(vocabulary, lambda v: norm(v) == norm(pred))
     near = F.filter(vocabulary, lambda v: F.contains(norm(v), norm(pred)) | F.contains(norm(pred), norm(v)))
-    return F.coalesce(F.try_element_at(same, F.lit(1)), F.try_element_at(near, F.lit(1)), pred)
+    return F.when(norm(pred) == "", pred).otherwise(F.coalesce(F.try_element_at(same, F.lit(1)), F.try_element_at(near, F.lit(1)), pred))
 
 
 def count_tool_calls(messages: Column) -> Column:
@@ -239,12 +241,13 @@ def replace_block(question: Column, old: Column, new: Column) -> Column:
 
 
 def fold_think(turns: DataFrame, key: str, order: str) -> DataFrame:
-    """turns (key, order, role, kind, text): turns of kind think and the tool replies to them vanish; their
+    """turns (key, order, role, kind, text): turns of kind think and all tool replies to them vanish; their
     text moves to the reasoning of the next assistant turn that acts."""
     w = Window.partitionBy(key).orderBy(order)
     think = (F.col("role") == "assistant") & (F.col("kind") == "think")
     acts = (F.col("role") == "assistant") & (F.col("kind") != "think")
-    marked = turns.withColumn("_think", think).withColumn("_reply", (F.col("role") == "tool") & F.lag(think).over(w))
+    asked = F.last(F.when(F.col("role") == "assistant", think), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = turns.withColumn("_think", think).withColumn("_reply", (F.col("role") == "tool") & asked)
     island = marked.withColumn("_i", F.coalesce(F.sum(acts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     thought = island.where("_think").groupBy(key, "_i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text"))), lambda s: s["text"]), "\n").alias("reasoning"))
     kept = island.where("not _think and not coalesce(_reply, false)").join(thought, [key, "_i"], "left")

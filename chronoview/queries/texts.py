@@ -98,7 +98,7 @@ def h21_h22_render_trajectory(t):
     return m.select("conv_id", F.array_join(F.transform("messages", lambda x: F.concat(F.upper(x["role"]), F.lit(": "), F.length(x["content"]).cast("string"))), "\n").alias("body"))
 
 
-@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS pos FROM conversations), a AS (SELECT *, CASE WHEN role = 'assistant' THEN CASE WHEN pos % 4 = 2 THEN 'think' ELSE 'act' END ELSE 'other' END AS kind, lag(role = 'assistant' AND pos % 4 = 2) OVER (PARTITION BY conv_id ORDER BY pos) AS after_think FROM k),
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS pos FROM conversations), a AS (SELECT *, CASE WHEN role = 'assistant' THEN CASE WHEN pos % 4 = 2 THEN 'think' ELSE 'act' END ELSE 'other' END AS kind, last_value(CASE WHEN role = 'assistant' THEN pos % 4 = 2 END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_think FROM k),
 i AS (SELECT *, coalesce(sum((role = 'assistant' AND kind = 'act')::INT) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM a),
 g AS (SELECT conv_id, i, string_agg(length(text)::VARCHAR, chr(10) ORDER BY pos) AS reasoning FROM i WHERE kind = 'think' GROUP BY ALL)
 SELECT i.conv_id, i.pos, i.role, length(text)::VARCHAR AS text, CASE WHEN role = 'assistant' THEN g.reasoning END AS reasoning FROM i LEFT JOIN g USING (conv_id, i) WHERE kind <> 'think' AND NOT (role = 'user' AND coalesce(after_think, false))""")
