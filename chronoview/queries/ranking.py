@@ -54,7 +54,7 @@ def f6_fuzzy_top_k(t):
     return rk.fuzzy_top_k(vocab, words).select("keyword", "rank", "candidate", "score")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / 1.0, 3) AS score FROM embeddings, q)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, floor(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) * 1000 + 0.5) / 1000 AS score FROM embeddings, q)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.2) WHERE rank <= 5""")
 def f7_semantic_top_k(t):
     e = t.embeddings
