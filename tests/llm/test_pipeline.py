@@ -47,6 +47,24 @@ def test_mix_and_tokens(stages):
     assert back.join(stages[4].select("doc_id", "text").distinct(), "doc_id").where("text <> decoded_text").count() == 0
 
 
+def test_stages_take_odd_rows_and_none(spark):
+    """Nulls in every column, empty and long texts, repeated rows, a further column; and an empty table."""
+    real = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    rows = [(None, None, None, None, None), (7001, None, "en", "s", 0), (7002, "", "en", None, 0), (7003, "\n\n", None, "s", 2), (7004, "word " * 20000, "en", "s", 100000), (7005, "same text here", "en", "s", 14), (7005, "same text here", "en", "s", 14)]
+    odd = real.unionByName(spark.createDataFrame(rows, real.schema)).withColumn("SCORE", F.lit("x"))
+    for docs in (odd, odd.where("false")):
+        start = docs
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            path = f"{spark.conf.get('spark.sql.warehouse.dir')}/odd-{k}-{docs is odd}"
+            stage(spark, start, SF).write.mode("overwrite").parquet(path)
+            following = spark.read.parquet(path)
+            assert k == 4 or following.columns == docs.columns
+            assert docs is odd or following.count() == 0
+            start = following
+        if docs is odd:
+            assert start.count() > 0
+
+
 def test_run_is_the_stages(spark, stages):
     assert pipeline.run(spark, SF).count() == stages[-1].count()
 
