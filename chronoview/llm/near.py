@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, free
 
 #: Rows of one leader that have a rare element, at most; further leaders of a bucket; rows of a small bucket.
-RARE, LEADERS, SMALL = 8, 7, 32
+RARE, LEADERS, SMALL = 8, 31, 128
 #: Similarity to the leader: a row and a partner of at least 0.8 are at most 0.2 apart from each other.
 NEAR, SURE = 0.3, 0.5
 
