@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, media, minhash, mixing, quality, sharding, topk, toxicity, urls
+from . import bpe, licenses, lines, media, minhash, mixing, phrases, quality, sharding, topk, toxicity, urls, whitening
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -111,9 +111,42 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+PHRASES_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+    SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS v(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (
+    SELECT *, unnest(generate_series(1, m - 1)) AS k FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1))),
+s AS (SELECT c.*, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f::HUGEINT + q.f))::BIGINT AS score
+    FROM c JOIN f p ON p.lang = c.lang AND p.phrase = c.x JOIN f q ON q.lang = c.lang AND q.phrase = c.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, array_to_string(ws[i:i + o - 1], ' ') AS phrase, max(f) AS most FROM (
+    SELECT *, unnest(generate_series(1, m - o + 1)) AS i FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f), (VALUES (2), (3)) AS v(o) WHERE m > o) GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.*, n.n, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b JOIN n ON n.lang = b.lang LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.most IS NULL OR 100 * h.most < 80 * a) WHERE rank <= 2000
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("detections")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_mixing, op4_topk, op5_media, op6_urls, op7_sharding, op8_lines, op9_quality, op10_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_mixing, op4_topk, op5_media, op6_urls, op7_sharding, op8_lines, op9_quality, op10_minhash, op11_phrases, op12_whitening, op13_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING_SQL, "op4_topk": TOPK_SQL, "op6_urls": URLS_SQL}
+    return {"op3_mixing": MIXING_SQL, "op4_topk": TOPK_SQL, "op6_urls": URLS_SQL, "op11_phrases": PHRASES_SQL}
