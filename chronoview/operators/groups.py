@@ -130,15 +130,41 @@ def batch_stats(df: DataFrame, score: str, length: str, limit: int) -> DataFrame
     return df.agg(*own, F.avg((F.col(length) >= limit).cast("int")).alias("clip_ratio"), F.avg((F.col(length) == 0).cast("int")).alias("aborted_ratio"))
 
 
-def majority(df: DataFrame, key: Sequence[str], answer: str, order: str, score: str, n: int, draws: int, seed: int) -> DataFrame:
-    """Mean score of the majority answer over ``draws`` seeded resamples of n; ties go to the answer seen first."""
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1).withColumn("_size", F.count("*").over(Window.partitionBy(*key)))
-    keys = ranked.select(*key, "_size").distinct()
-    drawn = keys.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = drawn.withColumn("_i", F.pmod(seeded(seed, *[F.col(k) for k in key], F.col("_d"), F.col("_j")), F.col("_size"))).drop("_size")
-    votes = drawn.join(ranked.select(*key, "_i", answer, score), [*key, "_i"]).groupBy(*key, "_d", answer).agg(F.count("*").alias("_v"), F.min("_j").alias("_f"), F.min_by(score, "_j").alias("_s"))
-    won = votes.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "_d").orderBy(F.desc("_v"), "_f"))).where("_r = 1")
-    return won.groupBy(*key).agg(F.avg("_s").alias("majority"))
+#: Rows of a key up to which its draws are taken inside one row.
+WITHIN = 4000
+
+
+def _majority_within(ranked: DataFrame, key: Sequence[str], answer: str, score: str, n: int, draws: int, seed: int) -> DataFrame:
+    """The mean of each key from the array of its rows; nothing is exploded."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(answer).alias("x"), F.col(score).alias("s")))), lambda r: F.struct(r.x.alias("x"), r.s.alias("s")))
+    listed = ranked.groupBy(*key).agg(rows.alias("_rows"))
+    own = [F.col(k) for k in key]
+    # The second argument of a lambda is a place, so the 32-bit draws are numbered as the exploded ones are.
+    one = lambda d, j: F.element_at("_rows", (F.pmod(seeded(seed, *own, d, j), F.size("_rows")) + 1).cast("int"))
+    votes = lambda a: F.transform(a, lambda r, i: F.struct(F.size(F.filter(a, lambda o: o.x.eqNullSafe(r.x))).alias("v"), (-i).alias("f"), r.s.alias("s")))
+    winner = lambda a: F.array_max(votes(a)).s
+    each = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.element_at(F.transform(F.array(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: one(d, j))), winner), 1))
+    known = F.filter(each, lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.when(F.size(known) > 0, F.size(known))
+    return listed.select(*key, mean.alias("majority"))
+
+
+def majority(df: DataFrame, key: Sequence[str], answer: str, order: str, score: str, n: int, draws: int, seed: int, within: int = WITHIN) -> DataFrame:
+    """Mean score of the majority answer over ``draws`` seeded resamples of n; ties go to the answer seen first.
+
+    A key of up to ``within`` rows is one row with an array of these, which holds its draws. A larger one has no
+    fewer rows than draws are made in all, so draws are exploded beside its rows; the join is a merge of both,
+    for Spark would take the exploded side for small. Both ways give the same.
+    """
+    w = Window.partitionBy(*key)
+    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_size", F.count("*").over(w))
+    small = _majority_within(ranked.where(F.col("_size") <= within), key, answer, score, n, draws, seed)
+    large = ranked.where(F.col("_size") > within)
+    points = large.where("_i = 0").select(*key, "_size").withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    drawn = points.withColumn("_i", F.pmod(seeded(seed, *[F.col(k) for k in key], F.col("_d"), F.col("_j")), F.col("_size"))).drop("_size")
+    votes = drawn.hint("merge").join(large.select(*key, "_i", answer, score), [*key, "_i"]).groupBy(*key, "_d", answer).agg(F.count("*").alias("_v"), F.min("_j").alias("_f"), F.min_by(score, "_j").alias("_s"))
+    won = votes.groupBy(*key, "_d").agg(F.max_by("_s", F.struct("_v", -F.col("_f"))).alias("_s"))
+    return small.unionByName(won.groupBy(*key).agg(F.avg("_s").alias("majority")))
 
 
 def resample_by_score(df: DataFrame, weight: Column, n: int, seed: int, order: str, key: Sequence[str]) -> DataFrame:

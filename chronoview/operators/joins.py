@@ -81,21 +81,6 @@ def restore_outcomes(stays: DataFrame, raw: DataFrame, key: str, end: str, colum
     return joined.select(*kept, *[F.when(F.col("_end") <= F.col("cutoff"), F.col(c)).alias(c) for c in columns])
 
 
-def link_reports(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: Sequence[str] = ()) -> DataFrame:
-    """The right text of highest word-token Jaccard for each left one, if it is above zero and unique.
-
-    left and right: (id, tokens array). Tokens are exploded and co-occurrences counted, so pairs without a
-    common token are never made.
-    """
-    lt = left.select(*block, left_id, F.size(F.array_distinct("tokens")).alias("_nl"), F.explode(F.array_distinct("tokens")).alias("_t"))
-    rt = right.select(*block, right_id, F.size(F.array_distinct("tokens")).alias("_nr"), F.explode(F.array_distinct("tokens")).alias("_t"))
-    common = lt.join(rt, [*block, "_t"]).groupBy(left_id, right_id, "_nl", "_nr").agg(F.count("*").alias("_c"))
-    scored = common.withColumn("score", F.col("_c") / (F.col("_nl") + F.col("_nr") - F.col("_c")))
-    w = Window.partitionBy(left_id)
-    best = scored.withColumn("_r", F.rank().over(w.orderBy(F.desc("score")))).where("_r = 1")
-    return best.withColumn("_ties", F.count("*").over(w)).where("_ties = 1").select(left_id, right_id, "score")
-
-
 def patient_offset(raw: DataFrame, shifted: DataFrame, keys: Sequence[str], subject: str, time: str) -> DataFrame:
     """The exact shift of each subject in seconds, where all witnesses agree."""
     seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))

@@ -95,19 +95,6 @@ def sql_on_view(views: Mapping[str, DataFrame], statement: str) -> DataFrame:
     return spark.sql(statement, **views)
 
 
-def leakage_levels(calls: DataFrame, unsafe: DataFrame, safe: DataFrame) -> DataFrame:
-    """calls (qid, call_id, event_type, n_seen); the views (qid, event_type): level 0 if the unsafe view of
-    the question has rows the safe one lacks, 1 if a call touched such a type, 2 if what it saw is the
-    unsafe count and not the safe one."""
-    count = lambda df, n: df.groupBy("qid", "event_type").agg(F.count("*").alias(n))
-    both = count(unsafe, "n_unsafe").join(count(safe, "n_safe"), ["qid", "event_type"], "left").withColumn("n_safe", F.coalesce("n_safe", F.lit(0)))
-    leaky = both.where("n_unsafe > n_safe")
-    touched = calls.join(leaky, ["qid", "event_type"])
-    level = F.when((F.col("n_seen") == F.col("n_unsafe")) & (F.col("n_seen") != F.col("n_safe")), 2).otherwise(1)
-    per = touched.groupBy("qid").agg(F.max(level).alias("level"))
-    return leaky.select("qid").distinct().join(per, "qid", "left").select("qid", F.coalesce("level", F.lit(0)).alias("level"))
-
-
 def length_report(df: DataFrame, length: str, caps: Sequence[int]) -> DataFrame:
     q = lambda p: F.percentile(length, F.lit(p))
     stats = [F.min(length).alias("min_len"), F.avg(length).alias("mean_len"), q(0.5).alias("median_len"), q(0.9).alias("p90_len"), F.max(length).alias("max_len")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, joins
+from ..operators import asof, joins, linking
 from ..plans import policies as pol
 from ..plans.registry import BOTH, RECORDS, query, stamp
 
@@ -116,8 +116,8 @@ s AS (SELECT item_id, doc_id, count(*)::DOUBLE / (bt.n + dt.n - count(*)) AS sco
 k AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY score DESC) AS r FROM s),
 o AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS c FROM k WHERE r = 1) SELECT item_id, doc_id, score FROM o WHERE c = 1""")
 def d12_link_reports(t):
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens")
-    return joins.link_reports(t.benchmark.select("item_id", tokens), t.documents.select("doc_id", tokens), "item_id", "doc_id")
+    tokens = linking.report_tokens(F.col("text"), None, "[a-z]+").alias("tokens")
+    return linking.link_reports(t.benchmark.select("item_id", tokens), t.documents.select("doc_id", tokens), "item_id", "doc_id")
 
 
 @query(f"{BOTH} SELECT subject_id, CASE WHEN subject_id % 4 > 0 THEN 86400 * (subject_id % 11) END AS shift_seconds, count(*) AS witnesses FROM r WHERE subject_id % 4 > 0 GROUP BY 1")

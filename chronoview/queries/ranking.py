@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, ranking as rk, records as rec
+from ..operators import asof, leakage as leak, ranking as rk, records as rec
 from ..plans.registry import BOTH, query, stamp
 
 SEEN = f"{BOTH}, v AS (SELECT m.qid, m.cutoff, r.* FROM r JOIN m USING (subject_id) WHERE event_time < cutoff)"
@@ -162,15 +162,59 @@ def e6_e7_e33_violations(t):
     return rec.violations(seen(t), rules)
 
 
-@query(f"""{BOTH}, u AS (SELECT qid, event_type, count(*) AS nu, count(*) FILTER (available_time < cutoff) AS ns FROM r JOIN m USING (subject_id) WHERE event_time < cutoff GROUP BY ALL), k AS (SELECT * FROM u WHERE nu > ns),
-c AS (SELECT qid, event_type, CASE WHEN event_type = 'click' THEN nu ELSE ns END AS n FROM u WHERE event_type IN ('click', 'view'))
-SELECT k.qid, coalesce(max(CASE WHEN c.n = k.nu AND c.n <> k.ns THEN 2 WHEN c.n IS NOT NULL THEN 1 END), 0)::INTEGER AS level FROM k LEFT JOIN c USING (qid, event_type) GROUP BY 1""")
+#: Records as a run could read them, what of them came too late, and five calls of each question.
+LEAK = f"""{SEEN}, w AS (SELECT v.*, available_time >= cutoff AS gone, event_type = 'purchase' AND event_time + INTERVAL 1 DAY >= cutoff AS late,
+  event_type = 'signup' AND event_time + INTERVAL 7 DAY >= cutoff AS plan FROM v),
+x AS (SELECT *, event_id || '|' || event_type || '|' || round(value * 100)::BIGINT || '|' || props AS ut,
+  event_id || '|' || event_type || '|' || CASE WHEN late THEN '' ELSE (round(value * 100)::BIGINT)::VARCHAR END || '|' || props AS st FROM w),
+c AS (SELECT qid, subject_id, cutoff - INTERVAL 3 DAY AS lo, cutoff - INTERVAL 1 DAY AS hi, k FROM m CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(k)),
+z AS (SELECT qid, max(event_time) AS lu, max(event_time) FILTER (NOT gone) AS ls FROM x GROUP BY 1),
+h AS (SELECT c.qid, k, ut, st, CASE k WHEN 1 THEN contains(lower(ut), 'view') WHEN 2 THEN event_type = 'click' WHEN 4 THEN event_time = lu ELSE event_time BETWEEN lo AND hi END AS hu,
+  NOT gone AND CASE k WHEN 1 THEN contains(lower(st), 'view') WHEN 2 THEN event_type = 'click' WHEN 4 THEN event_time = ls ELSE event_time BETWEEN lo AND hi END AS hs FROM c JOIN x USING (qid) JOIN z USING (qid)),
+g AS (SELECT qid, k, count(*) FILTER (hu) AS nu, count(*) FILTER (hs) AS ns, sum(('0x' || substr(md5(ut), 1, 8))::BIGINT) FILTER (hu) AS bu, sum(('0x' || substr(md5(st), 1, 8))::BIGINT) FILTER (hs) AS bs FROM h GROUP BY ALL),
+f AS (SELECT c.qid, c.k, subject_id, coalesce(nu, 0) AS nu, coalesce(ns, 0) AS ns, coalesce(nu, 0) || CASE WHEN c.k = 5 THEN '' ELSE ':' || coalesce(bu, 0) END AS u, coalesce(ns, 0) || CASE WHEN c.k = 5 THEN '' ELSE ':' || coalesce(bs, 0) END AS s FROM c LEFT JOIN g USING (qid, k)),
+o AS (SELECT *, CASE WHEN (subject_id + k) % 2 = 0 THEN u ELSE s END AS observed FROM f),
+l AS (SELECT qid, count(*) FILTER (gone) AS a, count(*) FILTER (late) AS b, count(*) FILTER (plan) AS p FROM w GROUP BY 1),
+e AS (SELECT o.*, coalesce(a + b, 0) > 0 AS touched, observed = u AND u <> s AS exposed FROM o LEFT JOIN l USING (qid))"""
+
+
+def leaking(t):
+    """Views, leaks and replayed calls, half of which observed the unsafe view."""
+    view = seen(t).select("qid", "cutoff", "event_time", "available_time", "event_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"), "props")
+    ends = lambda days: F.col("event_time") + F.make_dt_interval(F.lit(days)) >= F.col("cutoff")
+    rules = {
+        "events": [
+            leak.Leak("late_availability", "available_time", F.col("available_time") >= F.col("cutoff")),
+            leak.Leak("future_outcome", "cents", (F.col("event_type") == "purchase") & ends(1), "cents"),
+            leak.Leak("future_plan", "signup", (F.col("event_type") == "signup") & ends(7), confirmed=False),
+        ]
+    }
+    kinds = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(n).alias("kind"), F.lit(c).alias("column_name"), F.lit(a).alias("argument")) for i, (n, c, a) in enumerate([("keyword", None, "VIEW"), ("value", "event_type", " click "), ("range", None, None), ("latest", None, None), ("count", None, None)], 1)])
+    day = lambda n: F.col("cutoff") - F.make_dt_interval(F.lit(n))
+    calls = t.manifest.select("qid", "subject_id", day(3).alias("start"), day(1).alias("stop"), F.lit("events").alias("table_name"), F.explode(kinds).alias("c"))
+    calls = calls.select("*", "c.*").drop("c").withColumn("call_id", F.concat(F.lit("call"), F.col("k").cast("string")))
+    replayed = leak.replay(calls, {"events": view}, rules, {"events": ["event_id", "event_type", "cents", "props"]}, {"events": "event_time"})
+    observed = replayed.withColumn("observed", F.when((F.col("subject_id") + F.col("k")) % 2 == 0, F.col("unsafe")).otherwise(F.col("safe")))
+    leaks = leak.confirmed_leaks({"events": view}, rules)
+    return leaks, leak.call_levels(observed, leaks)
+
+
+@query(f"{LEAK} SELECT qid, 'call' || k AS call_id, nu AS n_unsafe, ns AS n_safe, u AS unsafe, s AS safe, touched, exposed FROM e")
+def e8_replay_calls(t):
+    return leaking(t)[1].select("qid", "call_id", "n_unsafe", "n_safe", "unsafe", "safe", "touched", "exposed")
+
+
+@query(f"{LEAK} SELECT qid, category, detail, confirmed, n FROM (SELECT qid, unnest([{{'category': 'late_availability', 'detail': 'available_time', 'confirmed': true, 'n': a}}, {{'category': 'future_outcome', 'detail': 'cents', 'confirmed': true, 'n': b}}, {{'category': 'future_plan', 'detail': 'signup', 'confirmed': false, 'n': p}}], recursive := true) FROM l) WHERE n > 0")
+def e8_confirmed_leaks(t):
+    return leaking(t)[0].drop("table_name")
+
+
+@query(f"""{LEAK}, t AS (SELECT qid, count(*) FILTER (touched) AS l1_calls, count(*) FILTER (exposed) AS l2_calls, count(*) FILTER (observed <> u) AS mismatches FROM e GROUP BY 1)
+SELECT m.qid, coalesce(a + b, 0) AS n_confirmed, coalesce(p, 0) AS n_other, l1_calls, l2_calls, mismatches, CASE WHEN l2_calls > 0 THEN 2 WHEN l1_calls > 0 THEN 1 WHEN coalesce(a + b, 0) > 0 THEN 0 END AS level
+FROM m LEFT JOIN l USING (qid) LEFT JOIN t USING (qid)""")
 def e8_leakage_levels(t):
-    unsafe = seen(t)
-    safe = unsafe.where(F.col("available_time") < F.col("cutoff"))
-    counts = unsafe.where("event_type in ('click', 'view')").groupBy("qid", "event_type").agg(F.count("*").alias("u"), F.count_if(F.col("available_time") < F.col("cutoff")).alias("s"))
-    calls = counts.select("qid", F.lit("c").alias("call_id"), "event_type", F.when(F.col("event_type") == "click", F.col("u")).otherwise(F.col("s")).alias("n_seen"))
-    return rec.leakage_levels(calls, unsafe, safe)
+    leaks, calls = leaking(t)
+    return leak.leakage_levels(t.manifest, leaks, calls)
 
 
 @query("SELECT count(*) AS n, min(x) AS min_len, avg(x) AS mean_len, quantile_cont(x, 0.5) AS median_len, quantile_cont(x, 0.9) AS p90_len, max(x) AS max_len, count(*) FILTER (x <= 500) AS within_500, count(*) FILTER (x <= 5000) AS within_5000 FROM (SELECT length(text)::BIGINT AS x FROM documents)")

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share: spark.checkpoint.dir, or in a local run the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-        if not spark.sparkContext.master.startswith("local") and urlparse(base).scheme in ("", "file"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .delimited import read_csv
+from .shared import work_path  # noqa: F401
 
 
 def list_tables(spark: SparkSession, path: str) -> dict[str, str]:
@@ -30,9 +21,9 @@ def list_tables(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def scan_table_dir(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every table of the folder, all columns as text. Quoted cells may hold line breaks and doubled quotes."""
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-    return {name: spark.read.options(**options).csv(where) for name, where in list_tables(spark, path).items()}
+    """Every table of the folder, all columns as text. Quoted cells may hold line breaks and doubled quotes, and a
+    large file is read by many tasks all the same (``delimited``)."""
+    return {name: read_csv(spark, where) for name, where in list_tables(spark, path).items()}
 
 
 def subset_by_subject(tables: Mapping[str, DataFrame], ids: DataFrame, key: str = "subject_id", copy_others: bool = False) -> dict[str, DataFrame]:

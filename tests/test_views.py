@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoview.functions import cleanse as cl
-from chronoview.operators import asof, joins, records
+from chronoview.operators import asof, joins, linking, records
 from chronoview.plans import policies as pol
 
 CUTOFF = "2200-01-02 10:00:00"
@@ -111,8 +111,8 @@ def test_audit_raises_on_violation(spark, manifest):
 def test_ambiguous_report_links_stay_open(spark):
     left = spark.createDataFrame([(1, ["a", "b"]), (2, ["z"])], "l int, tokens array<string>")
     right = spark.createDataFrame([(10, ["a", "b", "c"]), (11, ["b", "a", "d"]), (12, ["q"])], "r int, tokens array<string>")
-    assert joins.link_reports(left, right, "l", "r").count() == 0
-    assert joins.link_reports(left, right.where("r <> 11"), "l", "r").collect()[0]["r"] == 10
+    assert linking.link_reports(left, right, "l", "r").count() == 0
+    assert linking.link_reports(left, right.where("r <> 11"), "l", "r").collect()[0]["r"] == 10
 
 
 def test_route_and_sql_guard(spark):
