@@ -8,7 +8,8 @@ and the frequent groups are semi-joined with the relation before the next length
 shared folder in its turn.
 
 The semi-join goes by a bitmap of fixed size. It may let a place pass that is not frequent, which costs time,
-and never drops one that is; counts are those of whole phrases, so the result is exact.
+and never drops one that is; counts are those of whole phrases, so the result is exact. In the same way phrases
+are counted by a short hash first, for most of them are rare: only those whose hash is frequent are told apart by their words.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ LONGEST = 4
 #: What separates pieces; no word holds it.
 MARK = "."
 #: Bytes of a text cut into words at a time (at the end of a piece), and words that are counted at a time.
-BLOCK, WORDS = 4 << 20, 1 << 20
+BLOCK, WORDS = 4 << 20, 1 << 19
 #: Bits of the bitmap: 8 MB, whatever the number of phrases; the part of it that one row of the aggregate holds.
 BITS, PART = 1 << 26, 1 << 15
+#: Phrases of more than one word are first counted by a hash of so many bits.
+SLOTS = (1 << 40) - 1
 _TABLE = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -102,6 +105,10 @@ class Places:
         slot = self.hashed(k) & U(BITS - 1)
         return self.stand(k) & ((sieve[slot >> U(3)] >> (slot & U(7)).astype(np.uint8)) & 1).astype(bool)
 
+    def slots(self, k: int, sieve: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of phrases of k words and how often each occurs."""
+        return np.unique(self.hashed(k)[self.grown(k, sieve)] & U(SLOTS), return_counts=True)
+
     def grown(self, k: int, sieve: np.ndarray | None) -> np.ndarray:
         """Places of phrases of k words: two of k - 1 that the sieve lets pass, at adjacent positions."""
         if sieve is None:
@@ -109,9 +116,10 @@ class Places:
         shorter = self.frequent(k - 1, sieve)
         return shorter[:-1] & shorter[1:]
 
-    def counted(self, k: int, sieve: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
-        """Phrases of k words (joined by spaces) and how often each occurs."""
-        at = np.flatnonzero(self.grown(k, sieve))
+    def counted(self, k: int, sieve: np.ndarray | None, own: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
+        """Phrases of k words (joined by spaces) that ``own`` lets pass and how often each occurs."""
+        grown = self.grown(k, sieve)
+        at = np.flatnonzero(grown if own is None else grown & self.frequent(k, own))
         key, size = self.ids[at], len(self.words)
         for j in range(1, k):
             key, inverse = np.unique(key, return_inverse=True)
@@ -155,45 +163,61 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Places]:
     yield from map(out, list(held))
 
 
-def _bitmap(phrases: DataFrame, k: int) -> Broadcast[np.ndarray]:
-    """The hashes of phrases (lang, phrase) of k words as a bitmap of BITS."""
+def _bitmap(slots: DataFrame) -> Broadcast[np.ndarray]:
+    """Hashes (slot) as a bitmap of BITS."""
+    bit = F.col("slot").bitwiseAND(F.lit(BITS - 1))
+    parts = slots.groupBy(F.floor(bit / PART).alias("part")).agg(F.bitmap_construct_agg(bit % PART).alias("bits"))
+    out = np.zeros((BITS // PART, PART // 8), np.uint8)
+    for part, bits in parts.collect():  # BITS / PART rows at most
+        out[part] = np.frombuffer(bits, np.uint8)
+    return slots.sparkSession.sparkContext.broadcast(out.ravel())
+
+
+def _slots(phrases: DataFrame, k: int) -> DataFrame:
+    """The hashes of phrases (lang, phrase) of k words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seeds = _hashes(batch.column(0).to_pylist())
             words = _hashes([w for p in batch.column(1).to_pylist() for w in p.split(" ")]).reshape(-1, k)
-            slot = reduce(_joined, list(words.T), seeds) & U(BITS - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64))], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array((reduce(_joined, list(words.T), seeds) & U(SLOTS)).astype(np.int64))], names=["slot"])
 
-    slots = phrases.select("lang", "phrase").mapInArrow(run, "slot bigint")
-    parts = slots.groupBy(F.floor(F.col("slot") / PART).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % PART).alias("bits"))
-    out = np.zeros((BITS // PART, PART // 8), np.uint8)
-    for part, bits in parts.collect():  # BITS / PART rows at most
-        out[part] = np.frombuffer(bits, np.uint8)
-    return phrases.sparkSession.sparkContext.broadcast(out.ravel())
+    return phrases.select("lang", "phrase").mapInArrow(run, "slot bigint")
+
+
+def _frequent_slots(relation: DataFrame, k: int, least: int, sieve: Broadcast[np.ndarray]) -> DataFrame:
+    """The hashes that phrases of k words have ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for places in _gathered(batches):
+            slot, times = places.slots(k, sieve.value)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(times, pa.int64())], names=["slot", "f"])
+
+    counts = relation.select("lang", "words").mapInArrow(run, "slot bigint, f bigint")
+    return counts.groupBy("slot").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("slot")
 
 
-def frequent(relation: DataFrame, k: int, least: int, sieve: DataFrame | None) -> DataFrame:
-    """(lang, phrase, f) of phrases of k words that occur ``least`` times or more."""
-    bits = None if sieve is None else _bitmap(sieve, k - 1)
+def frequent(relation: DataFrame, k: int, least: int, sieve: Broadcast[np.ndarray] | None) -> DataFrame:
+    """(lang, phrase, f) of phrases of k words that occur ``least`` times or more; sieve: the phrases of k - 1 words
+    that may."""
+    own = None if sieve is None else _bitmap(_frequent_slots(relation, k, least, sieve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bits.value if bits else None
+        seen = [b and b.value for b in (sieve, own)]
         for places in _gathered(batches):
-            phrase, times = places.counted(k, seen)
+            phrase, times = places.counted(k, *seen)
             yield pa.RecordBatch.from_arrays([pa.array([places.lang] * len(times), pa.string()), phrase, pa.array(times, pa.int64())], names=["lang", "phrase", "f"])
 
     counts = relation.select("lang", "words").mapInArrow(run, "lang string, phrase string, f bigint")
     return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def semi_joined(relation: DataFrame, k: int, sieve: DataFrame) -> DataFrame:
+def semi_joined(relation: DataFrame, k: int, sieve: Broadcast[np.ndarray]) -> DataFrame:
     """The relation of length k without the places that no frequent phrase of k + 1 words can cover."""
-    bits = _bitmap(sieve, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for places in _gathered(batches):
-            words = places.cut_down(k, bits.value)
+            words = places.cut_down(k, sieve.value)
             yield pa.RecordBatch.from_arrays([pa.array([places.lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["lang", "words"])
 
     return relation.select("lang", "words").mapInArrow(run, "lang string, words array<string>").where(F.size("words") > k)
@@ -231,11 +255,12 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, share: int = 80) ->
     total = cut(relation.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrases-total")
     levels = [cut(frequent(relation, 1, least, None), "phrases-frequent")]
     for k in range(2, LONGEST + 1):
-        levels.append(cut(frequent(relation, k, least, levels[-1]), "phrases-frequent"))
-        if k < LONGEST:
-            following = cut(semi_joined(relation, k, levels[-1]), f"phrases-{k}")
+        sieve = _bitmap(_slots(levels[-1], k - 1))
+        if k > 2:
+            following = cut(semi_joined(relation, k - 1, sieve), f"phrases-{k - 1}")
             free(relation)
             relation = following
+        levels.append(cut(frequent(relation, k, least, sieve), "phrases-frequent"))
     free(relation)
     found = reduce(DataFrame.unionByName, [level.withColumn("m", F.lit(k)) for k, level in enumerate(levels, 1)])
     kept = scored(found).join(contained(found), ["lang", "phrase"], "left")

@@ -71,7 +71,7 @@ def test_small_buffers_and_a_full_sieve(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "lang string, text string")
     expected = brute(rows, 5)
     assert sorted(tuple(r) for r in phrases.mine(docs, 5).collect()) == expected
-    monkeypatch.setattr(phrases, "_bitmap", lambda found, k: spark.sparkContext.broadcast(phrases.np.full(phrases.BITS // 8, 255, phrases.np.uint8)))
+    monkeypatch.setattr(phrases, "_bitmap", lambda slots: spark.sparkContext.broadcast(phrases.np.full(phrases.BITS // 8, 255, phrases.np.uint8)))
     assert sorted(tuple(r) for r in phrases.mine(docs, 5).collect()) == expected
 
 
