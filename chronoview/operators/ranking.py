@@ -159,19 +159,6 @@ def semantic_top_k(vocab: DataFrame, query_vectors: DataFrame, threshold: float
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
-def bm25(docs: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs (doc_id, tokens), terms (query_id, term): (query_id, doc_id, score). Only asked-for terms are
-    counted past the first pass."""
-    n = docs.agg(F.count("*").alias("_n"), F.avg(F.size("tokens")).alias("_avg"))
-    each = docs.select("doc_id", F.size("tokens").alias("_len"), F.explode("tokens").alias("term"))
-    tf = each.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "_len", "term").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
-    j = tf.join(df, "term").join(terms, "term").crossJoin(n)
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    return j.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-
-
 def rrf_merge(lists: Sequence[DataFrame], k: int, rrf_k: int = 100, ascending: Sequence[bool] = ()) -> DataFrame:
     """Reciprocal rank fusion of (query_id, doc_id, score) lists; distance lists rank ascending."""
     parts = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, leakage as leak, ranking as rk, records as rec
+from ..operators import asof, leakage as leak, ranking as rk, records as rec, retrieval as ret
 from ..plans.registry import BOTH, query, stamp
 
 SEEN = f"{BOTH}, v AS (SELECT m.qid, m.cutoff, r.* FROM r JOIN m USING (subject_id) WHERE event_time < cutoff)"
@@ -94,13 +94,42 @@ s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 3""")
 def f13_bm25(t):
-    from pyspark.sql import Window
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    found = ret.bm25_top_k(t.documents.select("doc_id", words.alias("tokens")), ret.word_terms(t.benchmark, "item_id", words), 3)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) ** 2)), 5) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def f13_dense_l2(t):
+    v = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return ret.dense_top_k(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), v, 10, "l2", own=False, digits=5)
+
+
+#: Both retrievers answer the same queries: texts and vectors of every id that is divisible by 100.
+FUSED = f"""WITH d AS (SELECT doc_id, {_TOK} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+q AS (SELECT DISTINCT doc_id AS query_id, unnest(w) AS term FROM d WHERE doc_id % 100 = 0),
+tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), n WHERE doc_id <> query_id GROUP BY ALL),
+a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (
+  SELECT x.vec_id AS query_id, c.vec_id AS doc_id, floor(list_dot_product(x.v, c.v) * 1000000 + 0.5) / 1000000 AS score FROM v x JOIN v c ON x.vec_id <> c.vec_id WHERE x.vec_id % 100 = 0)),
+p AS (SELECT query_id, doc_id, 1.0::DOUBLE / (100 + r) AS p FROM a WHERE r <= 20 UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (100 + r) FROM b WHERE r <= 20),
+f AS (SELECT query_id, doc_id, sum(p) AS s FROM p GROUP BY ALL)"""
+
 
+@query(f"{FUSED} SELECT query_id, rank::INTEGER AS rank, doc_id, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, doc_id) AS rank FROM f) WHERE rank <= 10")
+def f13_fused_lists(t):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    terms = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(words)).alias("term"))
-    scored = rk.bm25(t.documents.select("doc_id", words.alias("tokens")), terms)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    asked = t.documents.where("doc_id % 100 = 0")
+    lexical = ret.bm25_top_k(t.documents.select("doc_id", words.alias("tokens")), ret.word_terms(asked, "doc_id", words), 20, own=False)
+    v = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    dense = ret.dense_top_k(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), v, 20, own=False)
+    fused = rk.rrf_merge([lexical.withColumn("score", F.round("score", 9)), dense], 20)
+    return fused.where("rank <= 10").select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS q, l_partkey AS d, max(l_quantity) AS s FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey AS q, l_partkey AS d, min(l_discount) AS s FROM lineitem GROUP BY ALL),
