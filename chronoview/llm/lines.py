@@ -58,13 +58,6 @@ def similar(one: Column, two: Column, threshold: float) -> Column:
     return _let(shingles(one), lambda x: _let(shingles(two), lambda y: of(x, y)))
 
 
-def difference(lead: Column, line: Column) -> Column:
-    """m, n: shingles of ``lead`` and of ``line``; d: those that only one of the two has, inverted where it is ``lead``."""
-    only = lambda x, y: F.concat(F.array_except(y, x), F.transform(F.array_except(x, y), F.bitwise_not))
-    told = lambda x, y: F.struct(F.size(x).alias("m"), F.size(y).alias("n"), only(x, y).alias("d"))
-    return _let(shingles(lead), lambda x: _let(shingles(line), lambda y: told(x, y)))
-
-
 def _factors() -> list[int]:
     """Odd numbers of 31 bits."""
     return [((i + 1) * 0x9E3779B1 + 0x7F4A7C15 ^ (i * i * 0x85EBCA6B)) & 0x7FFFFFFF | 0x40000001 for i in range(MINIMA)]
@@ -167,15 +160,14 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
         alike = pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_allowed(threshold)).select("a", "b")
         return verified(cut(alike, "line-alike"))
 
-    def differ(pairs: DataFrame) -> DataFrame:
-        told = texted(pairs, "lead", "id").select("lead", "id", difference(F.col("line_x"), F.col("line_y")).alias("t"))
-        return told.select("lead", "id", "t.m", "t.n", "t.d")
+    def sets(ids: DataFrame) -> DataFrame:
+        return cut(text.join(ids, "id", "left_semi").select("id", shingles(F.col("line")).alias("h")), "line-sets")
 
     # Each line with one partner first: what these join needs no other comparison.
     links = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "line-links")
     links = links.unionByName(verified(cut(apart(pairs, cut(components(links), "line-classes")), "line-apart")))
     if members.limit(1).count():
-        joined = link(members, compare, differ, threshold)
+        joined = link(members, compare, sets, threshold)
         links = links.unionByName(joined.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
     return known, components(links)
 

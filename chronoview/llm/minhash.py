@@ -129,14 +129,6 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return sized.where(F.element_at(enough, 1)).select("a", "b")
 
 
-def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(lead, id) -> (lead, id, m, n, d): shingles of lead and of id, and those that only one of the two has,
-    inverted where it is lead."""
-    both = pairs.join(sets.select(F.col("id").alias("lead"), F.col("h").alias("x")), "lead").join(sets.withColumnRenamed("h", "y"), "id")
-    only = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), F.bitwise_not))
-    return both.select("lead", "id", F.size("x").alias("m"), F.size("y").alias("n"), only.alias("d"))
-
-
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (MD5 of the text), class_id.
 
@@ -160,7 +152,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = cut(shingle_sets(texted.dropDuplicates(["key", "_doc"])), "near-sets")
     free(wanted)
 
-    roots = link(members, lambda pairs: similar(pairs, sets, threshold), lambda pairs: differences(pairs, sets), threshold)
+    roots = link(members, lambda pairs: similar(pairs, sets, threshold), lambda ids: sets.join(ids, "id", "left_semi"), threshold)
     of_text = texts.join(roots, "id", "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"))
     least = of_text.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.select("doc_id", "key").join(of_text.join(least, "root").select("key", "class_id"), "key").select("doc_id", "key", "class_id")

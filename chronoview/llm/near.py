@@ -1,38 +1,40 @@
 """Near-duplicate classes from buckets: which pairs to compare, and distributed union-find.
 
-Rows that share a bucket are compared without emitting all pairs of a large bucket. Each has a leader, the row
-that meets most others in its buckets, and from the second turn on LEADERS more; each other row is compared with
-these, and union-find joins what is similar. A bucket whose rows are then all in one class is done. In what is left, each row is
-known by its difference from the leader: the elements that only one of the two has. Two rows that are similar,
-one of them not to the leader, have much of these differences in common:
-
-    With k = (1 - t) / (1 + t), two sets of x and y elements have Jaccard similarity t or more if their symmetric
-    difference has at most k (x + y) elements. It has a + b - 2 o, where a and b are the sizes of the differences
-    from the leader and o is what these have in common. So 2 o >= (a - k x) + (b - k y).
-
-An element of differences is rare if at most RARE rows of the leader have it. Pairs that share rare ones are
-made from these, at most RARE partners each. Any other pair has in common at most the elements of either
-difference that are not rare, and rows for which no partner of another class can fulfil the bound leave the
-bucket. All this is for rows whose similarity to the leader is NEAR or more. Jaccard distance is a metric, so a
-row of SURE or more has all its partners among these; rows below SURE stay for another leader. What still
-stays begins again, with new leaders and new differences; leaders leave, and buckets that are down to SMALL rows
-have all their pairs compared. So any two rows that share a bucket end up compared, joined through others, or
-proved too different, and the work of a turn is in proportion to the rows.
+Rows that share a bucket are compared without emitting all pairs of a large bucket. Each bucket has a leader, the row
+that meets most others in its buckets; each other row is compared with it, and union-find joins what is
+similar. A bucket whose rows are then all in one class is done. What is left of the buckets of one leader is cut into
+smaller buckets, such that two similar rows still share one (or are compared at once), in two ways.
+
+Rows like the leader (NEAR or more) are known by their differences from it: the elements that only one of the two has.
+With k = (1 - t) / (1 + t), two sets of x and y elements have Jaccard similarity t or more if their symmetric
+difference has at most k (x + y) elements. It has a + b - 2 o, where a and b are the sizes of the differences
+from the leader and o is what these have in common. So 2 o >= (a - k x) + (b - k y). An element of differences
+is rare if at most RARE rows of the leader have it. Pairs that share rare ones are made from these, at most RARE
+partners each. Any other pair has its o elements in common among those that are not rare; rows for which no partner of
+another class can fulfil the bound drop out. Of c elements that are not rare, from the scarcest on, one of the first
+c - o + 1 is shared: each of these is a bucket of its own.
+
+Rows unlike the leader (below FAR) are known by their own elements, of which two similar sets of n and more share
+one of the first n - ceil(t n) + 1, from the scarcest on: scarce ones make pairs, the others are buckets.
+
+Jaccard distance is a metric: similar rows are at most 1 - t apart, so both are NEAR or both below FAR. A bucket of a turn
+holds only rows that share a scarce element of the bucket before and not its leader, so sizes fall by factors, not
+by rows; buckets that are down to SMALL rows have all their pairs compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free
 
-#: Rows of one leader that have a rare element, at most; further leaders of a bucket; rows of a small bucket.
-RARE, LEADERS, SMALL = 8, 31, 128
-#: Similarity to the leader: a row and a partner of at least 0.8 are at most 0.2 apart from each other.
-NEAR, SURE = 0.3, 0.5
+#: Rows of one leader that have a rare element, at most; rows of a small bucket.
+RARE, SMALL = 8, 32
+#: Similarity to the leader: of two rows that are at most 0.2 apart from each other, both are NEAR or both below FAR.
+NEAR, FAR = 0.3, 0.5
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -77,57 +79,102 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rooted.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select(*pairs.columns)
 
 
-def _leaders(rest: DataFrame, more_leaders: int) -> DataFrame:
-    """(bucket, lead, rank): first the row that meets most others in its buckets, then some by hash."""
+def _merged(rest: DataFrame) -> DataFrame:
+    """The same buckets, those of the same rows once."""
+    like = rest.groupBy("bucket").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("id")), F.sum(F.hash("id")), F.min("id"), F.max("id")).alias("_like"))
+    return rest.join(like, "bucket").select(F.col("_like").alias("bucket"), "id").distinct()
+
+
+def _leaders(rest: DataFrame) -> DataFrame:
+    """(bucket, lead): the row of each bucket that meets most others in its buckets, the least id of these."""
     sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     fame = sized.groupBy("id").agg(F.sum("n").alias("fame"))
-    famed = cut(rest.join(fame, "id").select("bucket", "id", "fame"), "near-fame")
-    top = famed.groupBy("bucket").agg(F.max("fame").alias("fame"))
-    first = famed.join(top, ["bucket", "fame"]).groupBy("bucket").agg(F.min("id").alias("lead"))
-    by = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
-    more = rest.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= more_leaders).select("bucket", F.col("id").alias("lead"), "rank")
-    more = more.join(first, ["bucket", "lead"], "left_anti")
-    return first.select("bucket", "lead", F.lit(0).alias("rank")).unionByName(more)
-
-
-def _through_rare(told: DataFrame, elements: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """told: (lead, id, s, a): size of the difference and the bound's part; elements: (lead, id, h), the
-    differences. Returns (a, b), pairs of different classes that share rare elements and may be similar; and
-    (lead, id, s, c) of all rows, c being how many of the difference's elements are not rare."""
-    scarce = elements.groupBy("lead", "h").agg(F.count("*").alias("rows")).where(F.col("rows") <= RARE)
-    rare = cut(elements.join(scarce, ["lead", "h"]).select("lead", "id", "h", "rows"), "near-rare")
-    own = rare.groupBy("lead", "id").agg(F.count("*").alias("p"))
-    sized = cut(told.join(own, ["lead", "id"], "left").select("lead", "id", "s", (F.col("a") - F.coalesce("p", F.lit(0))).alias("c")), "near-sizes")
-    some = rare.where("rows > 1").select("lead", "h", "id")
-    shared = some.withColumnRenamed("id", "a").join(some.withColumnRenamed("id", "b"), ["lead", "h"]).where("a < b")
-    shared = shared.groupBy("lead", "a", "b").agg(F.count("*").alias("r"))
-    side = lambda x: sized.select("lead", F.col("id").alias(x), F.col("s").alias(f"s_{x}"), F.col("c").alias(f"c_{x}"))
-    maybe = shared.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"])
+    return rest.join(fame, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("lead"))
+
+
+def _told(led: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, lead, id) -> (g, lead, id, n, a, j, d, h): elements of id and of the difference, similarity, the difference
+    of NEAR rows (inverted where only the leader has it) and the elements of rows that may be FAR."""
+    both = led.join(sets.select(F.col("id").alias("lead"), F.col("h").alias("x")), "lead").join(sets.withColumnRenamed("h", "y"), "id")
+    only = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), F.bitwise_not))
+    known = both.select("g", "lead", "id", F.size("x").alias("m"), F.size("y").alias("n"), only.alias("d"), "y")
+    alike = (F.col("m") + F.col("n") - F.size("d")) / (F.col("m") + F.col("n") + F.size("d"))
+    known = known.select("g", "lead", "id", "n", F.size("d").alias("a"), alike.alias("j"), "d", "y")
+    return known.select("g", "lead", "id", "n", "a", "j", F.when(F.col("j") >= NEAR, F.col("d")).alias("d"), F.when(F.col("j") < FAR + 0.2, F.col("y")).alias("h"))
+
+
+def _counted(elements: DataFrame) -> DataFrame:
+    """(g, id, h, ...) with rows, how many rows of the group have h; elements that one row has are left out."""
+    shared = elements.groupBy("g", "h").agg(F.count("*").alias("rows")).where("rows > 1")
+    return elements.join(shared, ["g", "h"])
+
+
+def _first(elements: DataFrame, kept: Column, *more: str) -> DataFrame:
+    """(g, id, h, rows) of the first ``kept`` elements of each row, from the scarcest on."""
+    listed = elements.groupBy("g", "id", *more).agg(F.sort_array(F.collect_list(F.struct("rows", "h"))).alias("e"))
+    some = listed.withColumn("_k", kept.cast("int")).where("_k > 0").select("g", "id", F.explode(F.slice("e", F.lit(1), F.col("_k"))).alias("e"))
+    return some.select("g", "id", "e.h", "e.rows")
+
+
+def _pairs(scarce: DataFrame) -> DataFrame:
+    """(g, a, b, r): rows of a group that share scarce elements, and how many."""
+    some = scarce.select("g", "h", "id")
+    shared = some.withColumnRenamed("id", "a").join(some.withColumnRenamed("id", "b"), ["g", "h"]).where("a < b")
+    return shared.groupBy("g", "a", "b").agg(F.count("*").alias("r"))
+
+
+def _smaller(first: DataFrame, kind: int) -> DataFrame:
+    """(bucket, id): a bucket for each element that is not scarce."""
+    return first.where(F.col("rows") > RARE).select(F.xxhash64("g", "h", F.lit(kind)).alias("bucket"), "id")
+
+
+def _near(told: DataFrame, classes: DataFrame, k: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b), pairs of different classes that share rare elements of their differences and may be similar; and
+    (bucket, id), smaller buckets for all other pairs that may be."""
+    near = told.where(F.col("j") >= NEAR).withColumn("s", F.col("a") - F.lit(k) * F.col("n"))
+    elements = cut(_counted(near.select("g", "id", F.explode("d").alias("h"))), "near-elements")
+    common = elements.where(F.col("rows") > RARE).groupBy("g", "id").agg(F.count("*").alias("c"))
+    sized = cut(near.select("g", "lead", "id", "s").join(common, ["g", "id"], "left").na.fill(0, ["c"]), "near-sizes")
+    side = lambda x: sized.select("g", F.col("id").alias(x), F.col("s").alias(f"s_{x}"), F.col("c").alias(f"c_{x}"))
+    maybe = _pairs(elements.where(F.col("rows") <= RARE)).join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
     maybe = maybe.where(2 * (F.least("c_a", "c_b") + F.col("r")) >= F.col("s_a") + F.col("s_b") - 1e-6).select("a", "b").distinct()
-    return apart(maybe, classes), sized
+    stay = _possible(sized, classes)
+    lowest = stay.groupBy("g").agg(F.min("s").alias("s_low"))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("s_low")) / 2 - 1e-6))
+    plenty = elements.where(F.col("rows") > RARE).join(stay.join(lowest, "g"), ["g", "id"])
+    return apart(maybe, classes), _smaller(_first(plenty, F.size("e") - needed + 1, "s", "s_low"), 1)
+
+
+def _far(told: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) and (bucket, id) as of ``_near``, for rows whose similarity to the leader is low."""
+    far = told.where("h is not null and size(h) > 0")
+    elements = _counted(far.select("g", "id", "n", F.explode("h").alias("h")))
+    # Elements that one row alone has come first, and are shared with none.
+    alone = F.col("n") - F.size("e")
+    first = cut(_first(elements, F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1 - alone, "n"), "near-first")
+    return apart(_pairs(first.where(F.col("rows") <= RARE)).select("a", "b").distinct(), classes), _smaller(first, 2)
 
 
 def _possible(sized: DataFrame, classes: DataFrame) -> DataFrame:
-    """(lead, id): rows that may be similar to another of their leader's without a rare element in common, one of
-    the two not in the leader's class. That asks for s_a + s_b <= 2 min(c_a, c_b), so with g = 2 c - s for
-    s_a <= g_b and s_b <= g_a."""
+    """(g, id, s): rows that may be similar to another of their group without a rare element in common, one of
+    the two not in the leader's class. That asks for s_a + s_b <= 2 min(c_a, c_b), so with gap = 2 c - s for
+    s_a <= gap_b and s_b <= gap_a."""
     root = lambda x: classes.select(F.col("id").alias(x), F.col("root").alias(f"_root_{x}"))
-    rooted = sized.join(root("id"), "id", "left").join(root("lead"), "lead", "left")
+    rooted = sized.where("c > 0").join(root("id"), "id", "left").join(root("lead"), "lead", "left")
     inside = F.coalesce("_root_id", "id") == F.coalesce("_root_lead", "lead")
-    reach = rooted.select("lead", "id", "s", (2 * F.col("c") - F.col("s") + 1e-6).alias("g"), inside.alias("inside"))
+    reach = rooted.select("g", "id", "s", (2 * F.col("c") - F.col("s") + 1e-6).alias("gap"), inside.alias("inside"))
     of = lambda f, c, where: f(F.when(where, F.col(c)))
-    most = reach.groupBy("lead").agg(
-        F.max("g").alias("top"), F.min("s").alias("least"), of(F.max, "g", ~F.col("inside")).alias("top_out"), of(F.min, "s", ~F.col("inside")).alias("least_out")
+    most = reach.groupBy("g").agg(
+        F.max("gap").alias("top"), F.min("s").alias("least"), of(F.max, "gap", ~F.col("inside")).alias("top_out"), of(F.min, "s", ~F.col("inside")).alias("least_out")
     )
-    fits = lambda top, least: F.coalesce((F.col("s") <= F.col(top)) & (F.col(least) <= F.col("g")), F.lit(False))
-    return reach.join(most, "lead").where(F.when(F.col("inside"), fits("top_out", "least_out")).otherwise(fits("top", "least"))).select("lead", "id")
+    fits = lambda top, least: F.coalesce((F.col("s") <= F.col(top)) & (F.col(least) <= F.col("gap")), F.lit(False))
+    return reach.join(most, "g").where(F.when(F.col("inside"), fits("top_out", "least_out")).otherwise(fits("top", "least"))).select("g", "id", "s")
 
 
-def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], differ: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """members: (bucket, id), each once. compare: (a, b) -> those of them that are near-duplicates, by the
-    Jaccard similarity of their sets. differ: (lead, id) -> (lead, id, m, n, d): how many elements the two
-    have, and the array of elements that only one of them has, told apart by which. Returns (id, root) of all
-    ids with a near-duplicate. ``threshold`` is 0.8 or more, which NEAR and SURE are made for."""
+    Jaccard similarity of their sets. sets: (id) -> (id, h), the array of elements of each. Returns (id, root) of all
+    ids with a near-duplicate. ``threshold`` is 0.8 or more, which NEAR and FAR are made for."""
     k = (1 - threshold) / (1 + threshold)
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     rest = cut(members.join(shared, "bucket", "left_semi").select("bucket", "id"), "near-members")
@@ -142,38 +189,42 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], differ:
             classes = cut(components(links), "near-classes")
             free(before)
         free(found)
+        free(pairs)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
 
-    while True:
+    while rest.limit(1).count():
         again = classes is not None
         sized = rest.groupBy("bucket").agg(F.count("*").alias("n"))
         small = rest.join(sized.where(F.col("n") <= (SMALL if again else 0)), "bucket", "left_semi")
         if again:
-            rest = cut(rest.join(sized.where(F.col("n") > SMALL), "bucket", "left_semi"), "near-members")
-        lead = cut(_leaders(rest, LEADERS if again else 0), "near-lead")
-        pairs = ordered(rest.join(lead, "bucket").where("id <> lead"))
+            large = cut(rest.join(sized.where(F.col("n") > SMALL), "bucket", "left_semi"), "near-members")
+        else:
+            large = rest
+        lead = cut(_leaders(large), "near-lead")
+        pairs = ordered(large.join(lead, "bucket").where("id <> lead"))
         if again:
             every = small.join(small.withColumnRenamed("id", "lead"), "bucket").where("id < lead")
             pairs = apart(pairs.unionByName(ordered(every)).distinct(), classes)
         joined(cut(pairs.distinct(), "near-pairs"))
-        led = rest.join(lead.where("rank = 0").select("bucket", "lead"), "bucket").join(lead.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
-        following = cut(_open(led, classes), "near-members")
-        free(rest)
-        rest = following
-        if not rest.limit(1).count():
+        # At first the buckets of one leader are one group, for many hold the same rows; later ones are alike only if equal.
+        led = _open(large, classes).join(lead, "bucket").where("id <> lead").select(F.col("bucket" if again else "lead").alias("g"), "lead", "id")
+        led = cut(led.distinct(), "near-led")
+        for done in {rest, large, lead}:
+            free(done)
+        if not led.limit(1).count():
             return classes
-        alike = (F.col("m") + F.col("n") - F.size("d")) / (F.col("m") + F.col("n") + F.size("d"))
-        told = differ(rest.select("lead", "id").distinct()).select("lead", "id", "n", F.size("d").alias("a"), alike.alias("j"), F.when(alike >= NEAR, F.col("d")).alias("d"))
-        told = cut(told, "near-told")
-        near = told.where(F.col("j") >= NEAR)
-        pairs, reach = _through_rare(near.select("lead", "id", (F.col("a") - F.lit(k) * F.col("n")).alias("s"), "a"), near.select("lead", "id", F.explode("d").alias("h")), classes)
-        joined(cut(pairs, "near-pairs"))
-        stay = _possible(reach, classes).unionByName(told.where(F.col("j") < SURE).select("lead", "id")).distinct()
-        following = cut(_open(rest.join(stay, ["lead", "id"], "left_semi").select("bucket", "id"), classes), "near-members")
+        ids = led.select("id").unionByName(led.select(F.col("lead").alias("id"))).distinct()
+        own = sets(ids)
+        told = cut(_told(led, own), "near-told")
+        free(own)
+        free(led)
+        near_pairs, near_buckets = _near(told, classes, k)
+        far_pairs, far_buckets = _far(told, classes, threshold)
+        buckets = cut(near_buckets.unionByName(far_buckets).distinct(), "near-buckets")
+        joined(cut(near_pairs.unionByName(far_pairs).distinct(), "near-pairs"))
+        rest = cut(_merged(_open(buckets, classes)), "near-members")
+        free(buckets)
         free(told)
-        free(rest)
-        rest = following
-        if not rest.limit(1).count():
-            return classes
+    return cut(components(members.sparkSession.createDataFrame([], "a bigint, b bigint")), "near-classes") if classes is None else classes
