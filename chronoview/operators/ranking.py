@@ -12,13 +12,6 @@ from ..sources.io import seeded
 from .search import nearest
 
 
-def few(df: DataFrame, most: int = 1000) -> DataFrame:
-    """A caller's own short list, checked to be one before it is broadcast."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows")
-    return F.broadcast(df)
-
-
 def global_rank(df: DataFrame, value: str, *ties: str, parts: int = 256) -> DataFrame:
     """Adds rank from 0, by value from the highest down, without a window over all rows: approximate
     quantiles cut the values into parts, rows are ranked within theirs and shifted by the parts above."""
@@ -130,28 +123,6 @@ def evidence_budget(calls: DataFrame, tokens: Column, budget: int, order: str, k
     return calls.withColumn("_t", tokens).withColumn("omitted", spent >= budget).drop("_t")
 
 
-def edit_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: twice the longest common subsequence over both lengths, of lower-cased texts."""
-    x, y = F.lower(a), F.lower(b)
-    letters = F.split(y, "")
-    start = F.transform(F.sequence(F.lit(0), F.length(y)), lambda _: F.lit(0))
-
-    def row(previous: Column, c: Column) -> Column:
-        grow = lambda acc, j: F.array_append(acc, F.when(F.element_at(letters, j) == c, F.element_at(previous, j) + 1).otherwise(F.greatest(F.element_at(acc, -1), F.element_at(previous, j + 1))))
-        return F.aggregate(F.sequence(F.lit(1), F.length(y)), F.array(F.lit(0)), grow)
-
-    common = F.element_at(F.aggregate(F.split(x, ""), start, row), -1)
-    both = F.length(x) + F.length(y)
-    return F.when(both == 0, 100.0).when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(F.round(200.0 * common / both))
-
-
-def fuzzy_top_k(vocab: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
-    """keywords (keyword) are the caller's few; each distinct candidate is compared with each of them."""
-    scored = vocab.select("candidate").distinct().join(few(keywords), F.lit(True)).withColumn("score", edit_ratio(F.col("candidate"), F.col("keyword")))
-    w = Window.partitionBy("keyword").orderBy(F.desc("score"), "candidate")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def semantic_top_k(vocab: DataFrame, query_vectors: DataFrame, threshold: float = 0.5, k: int = 5) -> DataFrame:
     """query_vectors (query_id, q), as many as there are; vocab (vec_id, v). Similarity to three decimals."""
     one = F.lit("").alias("task")
@@ -170,10 +141,3 @@ def rrf_merge(lists: Sequence[DataFrame], k: int, rrf_k: int = 100, ascending: S
     fused = parts.groupBy("query_id", "doc_id").agg(F.sum("_p").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def balance_by_length(items: DataFrame, length: str, k: int, group: str) -> DataFrame:
-    """Groups go to k bins, from the costliest down, in turns that reverse; cost is 24576 L + L^2."""
-    cost = items.groupBy(group).agg(F.sum(24576 * F.col(length).cast("double") + F.col(length).cast("double") ** 2).alias("cost"))
-    place, turn = F.pmod("rank", F.lit(k)), F.floor(F.col("rank") / k)
-    return global_rank(cost, "cost", group).withColumn("bin", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int")).drop("rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, leakage as leak, ranking as rk, records as rec, retrieval as ret
+from ..operators import asof, balance, fuzzy, leakage as leak, ranking as rk, records as rec, retrieval as ret
 from ..plans.registry import BOTH, query, stamp
 
 SEEN = f"{BOTH}, v AS (SELECT m.qid, m.cutoff, r.* FROM r JOIN m USING (subject_id) WHERE event_time < cutoff)"
@@ -51,7 +51,7 @@ SELECT keyword, rank::INTEGER AS rank, candidate, score::DOUBLE AS score FROM (S
 def f6_fuzzy_top_k(t):
     vocab = t.part.select(F.col("p_name").alias("candidate"))
     words = t.spark.createDataFrame([(x,) for x in ("red widget", "blue blot", "ring")], "keyword string")
-    return rk.fuzzy_top_k(vocab, words).select("keyword", "rank", "candidate", "score")
+    return fuzzy.fuzzy_top_k(vocab, words)
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, floor(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) * 1000 + 0.5) / 1000 AS score FROM embeddings, q)
@@ -152,10 +152,18 @@ def f14_streaks(t):
     return rk.streaks(c, "sig", "pos", "conv_id")
 
 
-@query("""WITH g AS (SELECT conv_id, sum(24576 * length(text)::DOUBLE + length(text)::DOUBLE ** 2) AS cost FROM conversations GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY cost DESC, conv_id) - 1 AS k FROM g)
-SELECT conv_id, cost, (CASE WHEN (k // 8) % 2 = 0 THEN k % 8 ELSE 7 - k % 8 END)::INTEGER AS bin FROM k""")
+@query()
 def f15_balance_by_length(t):
-    return rk.balance_by_length(t.conversations.withColumn("len", F.length("text")), "len", 8, "conv_id")
+    """Differencing has no SQL; tests hold it against the plain form and the deal in turns."""
+    return balance.balance_by_length(t.conversations.withColumn("len", F.length("text")), "len", 8, "conv_id")
+
+
+@query("""WITH g AS (SELECT conv_id, sum(24576 * length(text)::DOUBLE + length(text)::DOUBLE ** 2) AS cost FROM conversations GROUP BY 1), d AS (SELECT conv_id % 8 AS bin, sum(cost) AS c, count(*) AS n FROM g GROUP BY 1)
+SELECT count(*) AS bins, min(c) AS least, max(c) AS greatest, round(avg(c), 3) AS mean, max(c) - min(c) AS spread, round(max(c) / avg(c), 9) AS over_mean, min(n) AS fewest, max(n) AS most FROM d""")
+def f15_imbalance(t):
+    cost = t.conversations.groupBy("conv_id").agg(F.sum(balance.workload(F.length("text"))).alias("cost"))
+    report = balance.imbalance(cost.withColumn("bin", F.col("conv_id") % 8))
+    return report.withColumn("mean", F.round("mean", 3)).withColumn("over_mean", F.round("over_mean", 9))
 
 
 @query("""SELECT conv_id, turn, text_len, coalesce(sum(text_len // 4) OVER (PARTITION BY conv_id ORDER BY turn, text_len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 300 AS omitted FROM (SELECT conv_id, turn, length(text) AS text_len FROM conversations)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import names
 from ..plans.registry import BOTH, query, stamp
 
 
@@ -75,13 +76,34 @@ def h14_answer_items(t):
     return texts.select("l_orderkey", F.array_join(tx.answer_items(F.col("text")), ",").alias("items"))
 
 
-@query("""WITH v AS (SELECT list(n_name ORDER BY n_name) AS v FROM nation)
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NATION_' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'nothing' ELSE list_filter(v, lambda x: contains('the nation_' || c_nationkey || ' of', lower(x)))[1] END AS name FROM customer, v""")
-def h15_align(t):
-    v = t.nation.agg(F.array_sort(F.collect_list("n_name")).alias("v"))
-    k = F.col("c_nationkey").cast("string")
-    said = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" Nation_"), k, F.lit("  "))).when(F.col("c_custkey") % 3 == 1, "nothing").otherwise(F.concat(F.lit("the nation_"), k, F.lit(" of")))
-    return t.customer.crossJoin(F.broadcast(v)).select("c_custkey", tx.align(said, F.col("v")).alias("name"))
+#: What lines say of their parts, a third of it not as the part list has it.
+SAID = """v AS (SELECT p_name || ' ' || p_brand AS name, min(p_partkey) AS position FROM part GROUP BY 1),
+a AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN ' ' || upper(p_name) || '  ' || p_brand WHEN 1 THEN 'the ' || p_name || ' ' || p_brand || ' of' WHEN 2 THEN p_name ELSE 'nothing of ' || p_type END AS said FROM lineitem JOIN part ON p_partkey = l_partkey),
+d AS (SELECT said, count(*) AS n, lower(trim(regexp_replace(said, '\\s+', ' ', 'g'))) AS t FROM a GROUP BY 1),
+e AS (SELECT t, coalesce(arg_min(name, position) FILTER (lower(name) = t), arg_min(name, position)) AS m FROM (SELECT DISTINCT t FROM d) JOIN v ON contains(t, lower(name)) OR contains(lower(name), t) GROUP BY 1)"""
+
+
+def said_of_parts(t):
+    p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", F.col("p_type").alias("p_type"))
+    k, name = F.col("l_linenumber") % 4, F.concat_ws(" ", "p_name", "p_brand")
+    said = F.when(k == 0, F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "), F.col("p_brand"))).when(k == 1, F.concat(F.lit("the "), name, F.lit(" of"))).when(k == 2, F.col("p_name")).otherwise(F.concat(F.lit("nothing of "), F.col("p_type")))
+    vocabulary = t.part.groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name")).agg(F.min("p_partkey").alias("position"))
+    return t.lineitem.join(p, "l_partkey").select("l_orderkey", "l_linenumber", said.alias("said")), vocabulary
+
+
+@query(f"WITH {SAID} SELECT said, n, coalesce(m, said) AS aligned FROM d LEFT JOIN e USING (t)")
+def h15_align_to_official(t):
+    said, vocabulary = said_of_parts(t)
+    return names.align_to_official(said.groupBy("said").agg(F.count("*").alias("n")), "said", vocabulary, "name", "position")
+
+
+@query(r"""WITH v AS (SELECT array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:3], ' ') AS name, min(item_id) AS p FROM benchmark GROUP BY 1),
+d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents)
+SELECT doc_id, name, strpos(t, lower(name)) AS at, row_number() OVER (PARTITION BY doc_id ORDER BY strpos(t, lower(name)), p) AS place FROM d JOIN v ON contains(t, lower(name))""")
+def h13_mentions(t):
+    first = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 3), " ")
+    vocabulary = t.benchmark.groupBy(first.alias("name")).agg(F.min("item_id").alias("p"))
+    return names.mentions(t.documents.select("doc_id", "text"), "doc_id", "text", vocabulary, "name", "p")
 
 
 @query("""SELECT o_orderkey, lower(o_orderpriority) AS norm, 'ehr.get_' || o_orderstatus AS tool, CASE WHEN o_orderkey % 2 = 0 THEN 'q' || o_orderkey ELSE 'code_' || o_custkey || '_' || o_orderkey END AS qid,

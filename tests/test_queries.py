@@ -39,5 +39,9 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+#: What SQL does not express; tests of their own hold these against plain computations.
+WITHOUT_SQL = {"f15_balance_by_length"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) | WITHOUT_SQL
