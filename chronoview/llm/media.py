@@ -8,8 +8,10 @@ value; others give media to carve out.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,23 +25,53 @@ PAD = 64
 SAMPLE_RATE = 8000
 
 
-def _png(data: bytes, at: int) -> int | None:
-    pos, first = at + 8, True
+class Value:
+    """A binary value with what validators have found out about it: a walk that meets a place where another one was
+    ends as that one did, so many false starts take no longer than one."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._marks: dict[bytes, list[int]] = {}
+        self.walks: dict[tuple[str, int], tuple] = {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from ``at`` on; -1 where there is none. All places are found once."""
+        if mark not in self._marks:
+            self._marks[mark] = [m.start() for m in re.finditer(b"(?=" + re.escape(mark) + b")", self.data)]
+        places = self._marks[mark]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def settle(self, kind: str, visited: list[int], result: tuple) -> tuple:
+        for at in visited:
+            self.walks[kind, at] = result
+        return result
+
+
+def _png(value: Value, at: int) -> int | None:
+    data, pos, visited, end = value.data, at + 8, [], None
+    if data[pos : pos + 8] != b"\0\0\0\rIHDR":
+        return None
     while pos + 12 <= len(data):
+        if ("png", pos) in value.walks:
+            end = value.walks["png", pos][0]
+            break
+        visited.append(pos)
         size, kind = struct.unpack_from(">I4s", data, pos)
-        end = pos + 12 + size
-        if end > len(data) or first and kind != b"IHDR":
-            return None
-        if zlib.crc32(data[pos + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
-            return None
+        stop = pos + 12 + size
+        if stop > len(data) or zlib.crc32(memoryview(data)[pos + 4 : stop - 4]) != struct.unpack_from(">I", data, stop - 4)[0]:
+            break
         if kind == b"IEND":
-            return end - at
-        pos, first = end, False
-    return None
+            end = stop
+            break
+        pos = stop
+    value.settle("png", visited, (end,))
+    return end - at if end else None
 
 
-def _riff(data: bytes, at: int) -> int | None:
+def _riff(value: Value, at: int) -> int | None:
     """WAV: the outer length, a format chunk and a data chunk that lies within."""
+    data = value.data
     if at + 12 > len(data) or data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
@@ -53,53 +85,89 @@ def _riff(data: bytes, at: int) -> int | None:
     return end - at if {b"fmt ", b"data"} <= seen and pos >= end else None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(value: Value, at: int) -> int | None:
+    data = value.data
     if at + 13 > len(data):
         return None
     flags = data[at + 10]
     pos = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    images = 0
+    end, drawn = _gif_blocks(value, pos)
+    return end - at if end and drawn else None
+
+
+def _gif_blocks(value: Value, pos: int) -> tuple[int | None, bool]:
+    """Where the blocks from ``pos`` on end, and whether one of them is an image."""
+    data, steps, result = value.data, [], (None, False)
     while pos < len(data):
-        kind = data[pos]
+        if ("gif", pos) in value.walks:
+            result = value.walks["gif", pos]
+            break
+        kind, start = data[pos], pos
         if kind == 0x3B:
-            return pos + 1 - at if images else None
+            result = (pos + 1, False)
+            steps.append((start, False))
+            break
         if kind == 0x2C and pos + 10 < len(data):
             inner = data[pos + 9]
             pos += 11 + (3 << ((inner & 7) + 1) if inner & 0x80 else 0)
-            images += 1
         elif kind == 0x21:
             pos += 2
         else:
-            return None
-        while pos < len(data) and data[pos]:
-            pos += data[pos] + 1
-        pos += 1
-    return None
-
-
-def _jpeg(data: bytes, at: int) -> int | None:
-    pos = at + 2
-    while pos + 4 <= len(data) and data[pos] == 0xFF:
+            steps.append((start, False))
+            break
+        steps.append((start, kind == 0x2C))
+        pos = _gif_chain(value, pos)
+    end, drawn = result
+    for start, image in reversed(steps):
+        drawn = drawn or image
+        value.walks["gif", start] = (end, drawn)
+    return end, drawn
+
+
+def _gif_chain(value: Value, pos: int) -> int:
+    """The place after a chain of data blocks."""
+    data, visited = value.data, []
+    while pos < len(data) and data[pos]:
+        if ("chain", pos) in value.walks:
+            return value.settle("chain", visited, value.walks["chain", pos])[0]
+        visited.append(pos)
+        pos += data[pos] + 1
+    return value.settle("chain", visited, (pos + 1,))[0]
+
+
+def _jpeg(value: Value, at: int) -> int | None:
+    data, pos, visited, end = value.data, at + 2, [], None
+    while end is None and pos + 4 <= len(data) and data[pos] == 0xFF:
+        if ("jpeg", pos) in value.walks:
+            end = value.walks["jpeg", pos][0]
+            break
+        visited.append(pos)
         kind = data[pos + 1]
         pos += 2 + struct.unpack_from(">H", data, pos + 2)[0]
         if kind == 0xDA:
             while (pos := data.find(b"\xff", pos)) >= 0 and pos + 1 < len(data):
                 if data[pos + 1] == 0xD9:
-                    return pos + 2 - at
+                    end = pos + 2
+                    break
                 if data[pos + 1] and not 0xD0 <= data[pos + 1] <= 0xD7:
                     break
                 pos += 2
-    return None
+            if pos < 0:
+                break
+    value.settle("jpeg", visited, (end,))
+    return end - at if end else None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(value: Value, at: int) -> int | None:
+    data = value.data
     if at + 26 > len(data):
         return None
     size, spare, offset, header = struct.unpack_from("<IIII", data, at + 2)
     return size if not spare and header in (12, 40, 52, 56, 108, 124) and 14 + header <= offset <= size <= len(data) - at else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
+def _gzip(value: Value, at: int) -> int | None:
+    data = value.data
     inflate = zlib.decompressobj(31)
     pos = at
     try:
@@ -111,13 +179,13 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(pos, len(data)) - len(inflate.unused_data) - at if inflate.eof else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and data.find(b"startxref", at, end) > 0 else None
+def _pdf(value: Value, at: int) -> int | None:
+    end = value.after(b"%%EOF", at)
+    return end + 5 - at if end > 0 and 0 < value.after(b"startxref", at) <= end - 9 else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
+def _zip(value: Value, at: int) -> int | None:
+    data, end = value.data, value.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return None
     size, offset, note = struct.unpack_from("<IIH", data, end + 12)
@@ -125,7 +193,7 @@ def _zip(data: bytes, at: int) -> int | None:
 
 
 #: The magic bytes of each format, with its media type and its validator.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[Value, int], int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
     (b"GIF89a", "image/gif", _gif),
@@ -151,11 +219,11 @@ class Sniffer:
         """(type, offset, length) of confirmed media, in order: the outermost of nested ones, and those
         within a value that starts at 0."""
         out: list[tuple[str, int, int]] = []
-        covered = 0
+        value, covered = Value(data), 0
         for last, k in self.automaton.iter(data.decode("latin-1")):
             magic, kind, check = FORMATS[k]
             at = last - len(magic) + 1
-            if at >= covered and (size := check(data, at)):
+            if at >= covered and (size := check(value, at)):
                 out.append((kind, at, size))
                 covered = at + size if at else 0
         return out
