@@ -15,7 +15,8 @@ another class can fulfil the bound drop out. Of c elements that are not rare, fr
 c - o + 1 is shared: each of these is a bucket of its own.
 
 Rows unlike the leader (below FAR) are known by their own elements, of which two similar sets of n and more share
-one of the first n - ceil(t n) + 1, from the scarcest on: scarce ones make pairs, the others are buckets.
+one of the first n - ceil(t n) + 1 in any order that holds for all; here those that the leader lacks come first.
+Scarce ones make pairs, the others are buckets.
 
 Jaccard distance is a metric: similar rows are at most 1 - t apart, so both are NEAR or both below FAR. A bucket of a turn
 holds only rows that share a scarce element of the bucket before and not its leader, so sizes fall by factors, not
@@ -92,15 +93,16 @@ def _leaders(rest: DataFrame) -> DataFrame:
     return rest.join(fame, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("lead"))
 
 
-def _told(led: DataFrame, sets: DataFrame) -> DataFrame:
+def _told(led: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(g, lead, id) -> (g, lead, id, n, a, j, d, h): elements of id and of the difference, similarity, the difference
-    of NEAR rows (inverted where only the leader has it) and the elements of rows that may be FAR."""
+    of NEAR rows (inverted where only the leader has it) and the first elements of rows that may be FAR."""
     both = led.join(sets.select(F.col("id").alias("lead"), F.col("h").alias("x")), "lead").join(sets.withColumnRenamed("h", "y"), "id")
     only = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), F.bitwise_not))
-    known = both.select("g", "lead", "id", F.size("x").alias("m"), F.size("y").alias("n"), only.alias("d"), "y")
+    known = both.select("g", "lead", "id", F.size("x").alias("m"), F.size("y").alias("n"), only.alias("d"), "x", "y")
     alike = (F.col("m") + F.col("n") - F.size("d")) / (F.col("m") + F.col("n") + F.size("d"))
-    known = known.select("g", "lead", "id", "n", F.size("d").alias("a"), alike.alias("j"), "d", "y")
-    return known.select("g", "lead", "id", "n", "a", "j", F.when(F.col("j") >= NEAR, F.col("d")).alias("d"), F.when(F.col("j") < FAR + 0.2, F.col("y")).alias("h"))
+    known = known.select("g", "lead", "id", "n", F.size("d").alias("a"), alike.alias("j"), "d", "x", "y")
+    first = F.slice(F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_intersect("y", "x"))), F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1).cast("int"))
+    return known.select("g", "lead", "id", "n", "a", "j", F.when(F.col("j") >= NEAR, F.col("d")).alias("d"), F.when(F.col("j") < FAR + 0.2, first).alias("h"))
 
 
 def _counted(elements: DataFrame) -> DataFrame:
@@ -145,13 +147,9 @@ def _near(told: DataFrame, classes: DataFrame, k: float) -> tuple[DataFrame, Dat
     return apart(maybe, classes), _smaller(_first(plenty, F.size("e") - needed + 1, "s", "s_low"), 1)
 
 
-def _far(told: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _far(told: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b) and (bucket, id) as of ``_near``, for rows whose similarity to the leader is low."""
-    far = told.where("h is not null and size(h) > 0")
-    elements = _counted(far.select("g", "id", "n", F.explode("h").alias("h")))
-    # Elements that one row alone has come first, and are shared with none.
-    alone = F.col("n") - F.size("e")
-    first = cut(_first(elements, F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1 - alone, "n"), "near-first")
+    first = cut(_counted(told.where("h is not null").select("g", "id", F.explode("h").alias("h"))), "near-first")
     return apart(_pairs(first.where(F.col("rows") <= RARE)).select("a", "b").distinct(), classes), _smaller(first, 2)
 
 
@@ -203,27 +201,36 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Ca
         else:
             large = rest
         lead = cut(_leaders(large), "near-lead")
-        pairs = ordered(large.join(lead, "bucket").where("id <> lead"))
+        led = cut(large.join(lead, "bucket").where("id <> lead"), "near-led")
+        pairs = ordered(led)
         if again:
             every = small.join(small.withColumnRenamed("id", "lead"), "bucket").where("id < lead")
             pairs = apart(pairs.unionByName(ordered(every)).distinct(), classes)
+        else:  # each row with the leader of its largest bucket first: what these join needs no other comparison
+            joined(cut(ordered(led.join(sized, "bucket").groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))).distinct(), "near-pairs"))
+            pairs = apart(pairs.distinct(), classes)
         joined(cut(pairs.distinct(), "near-pairs"))
-        # At first the buckets of one leader are one group, for many hold the same rows; later ones are alike only if equal.
-        led = _open(large, classes).join(lead, "bucket").where("id <> lead").select(F.col("bucket" if again else "lead").alias("g"), "lead", "id")
-        led = cut(led.distinct(), "near-led")
+        free(led)
+        led = _open(large, classes).join(lead, "bucket")
+        if again:
+            led = led.select(F.col("bucket").alias("g"), "lead", "id")
+        else:  # many buckets hold the same rows, under leaders of one class: any row of the class may be what they differ from
+            led = led.join(classes.withColumnRenamed("id", "lead"), "lead", "left").select(F.coalesce("root", "lead").alias("g"), F.coalesce("root", "lead").alias("lead"), "id")
+        led = cut(led.where("id <> lead").distinct(), "near-led")
         for done in {rest, large, lead}:
             free(done)
         if not led.limit(1).count():
             return classes
         ids = led.select("id").unionByName(led.select(F.col("lead").alias("id"))).distinct()
         own = sets(ids)
-        told = cut(_told(led, own), "near-told")
+        told = cut(_told(led, own, threshold), "near-told")
         free(own)
         free(led)
+        known = apart(ordered(told.where(F.col("j") >= threshold)), classes)
         near_pairs, near_buckets = _near(told, classes, k)
-        far_pairs, far_buckets = _far(told, classes, threshold)
+        far_pairs, far_buckets = _far(told, classes)
         buckets = cut(near_buckets.unionByName(far_buckets).distinct(), "near-buckets")
-        joined(cut(near_pairs.unionByName(far_pairs).distinct(), "near-pairs"))
+        joined(cut(near_pairs.unionByName(far_pairs).unionByName(known).distinct(), "near-pairs"))
         rest = cut(_merged(_open(buckets, classes)), "near-members")
         free(buckets)
         free(told)
