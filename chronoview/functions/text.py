@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 import json
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -98,6 +100,52 @@ def parse_list(texts: pd.Series) -> pd.Series:
     return texts.map(_loads)
 
 
+_RESPONSE = re.compile(r"""\{\s*["']response["']\s*:""")
+
+
+def _closed(text: str) -> list[str]:
+    """An object from its first brace on as text that may be read: as far as its own end, or, where it is cut off, with what
+    is open closed. Of a cut-off one also the form without what follows its last comma."""
+    opened: list[str] = []
+    quote, escaped, comma = "", False, None
+    for i, c in enumerate(text):
+        if quote:
+            quote, escaped = ("" if c == quote and not escaped else quote), c == "\\" and not escaped
+        elif c in "\"'":
+            quote = c
+        elif c in "[{":
+            opened.append("]" if c == "[" else "}")
+        elif c in "]}":
+            if not opened or opened.pop() != c:
+                return []
+            if not opened:
+                return [text[: i + 1]]
+        elif c == ",":
+            comma = (i, "".join(reversed(opened)))
+    tail = text[:-1] if quote and escaped else text
+    forms = [(tail + quote if quote else tail.rstrip().rstrip(",")) + "".join(reversed(opened))]
+    return forms + ([text[: comma[0]] + comma[1]] if comma else [])
+
+
+def _embedded(text: str | None) -> list[str] | None:
+    for m in reversed(list(_RESPONSE.finditer(text or ""))):
+        for form in _closed(text[m.start() :]):
+            for read in (json.loads, ast.literal_eval):
+                try:
+                    found = read(form)["response"]
+                except (ValueError, SyntaxError, MemoryError, RecursionError, KeyError, TypeError):
+                    continue
+                return [str(x) for x in found] if isinstance(found, list) else [str(found)]
+    return None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def embedded_response(texts: pd.Series) -> pd.Series:
+    """The response of the last object ``{"response": ...}`` within each text that can be read, as JSON or Python,
+    also one cut off anywhere in its value; text that is no list counts as one item. Null without one."""
+    return texts.map(_embedded)
+
+
 def finish_response(messages: Column) -> Column:
     """The response argument of the last call named finish; null without one."""
     calls = F.flatten(F.transform(messages, lambda m: F.coalesce(m["tool_calls"], F.array().cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"))))
@@ -195,23 +243,42 @@ def name_overlap(pred: Column, gold: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(common / both)
 
 
-def _match(pred: str, gold: str) -> float:
-    """Best parameter agreement of calls of one name, taken greedily; 1 is full agreement."""
-    a, b = json.loads(pred or "[]"), json.loads(gold or "[]")
-    free, got, most = list(range(len(a))), 0.0, 0.0
-    for g in b:
-        most += 1 + 2 * len(g["arguments"])
-        worth = lambda i, g=g: (a[i]["name"] == g["name"]) * (1 + sum((k in a[i]["arguments"]) + (a[i]["arguments"].get(k) == v) for k, v in g["arguments"].items()))
-        if free and worth(best := max(free, key=worth)):
-            got += worth(best)
-            free.remove(best)
-    return got / most if most else float(not a)
+def _agreement(one: list, two: list) -> float:
+    """Multiset Jaccard of two lists of names; two empty ones agree."""
+    a, b = Counter(one), Counter(two)
+    return (a & b).total() / (a | b).total() if a or b else 1.0
+
+
+def _calls(text: str | None) -> list[tuple[str, dict]]:
+    return [(c["name"], c.get("arguments", c.get("parameters")) or {}) for c in json.loads(text or "[]")]
+
+
+def tool_call_score(pred: Column, gold: Column, low: float = -3.0, high: float = 3.0) -> Column:
+    """How well calls agree with the gold ones, from low to high; both are JSON lists of {name, arguments}.
+
+    Names count their multiset Jaccard. Each gold call in turn takes the unused call of its name that agrees best in argument
+    names (multiset Jaccard) and equal values (one each). What is reached is divided by what can be: one, and one
+    for each gold call and each of its arguments. Equal lists score high. Null counts as an empty list.
+    """
+
+    def one(p: str | None, g: str | None) -> float:
+        said, wanted = _calls(p), _calls(g)
+        if said == wanted:
+            return high
+        reached, most, free = _agreement([n for n, _ in said], [n for n, _ in wanted]), 1.0, list(said)
+        for name, arguments in wanted:
+            most += 1 + len(arguments)
+            worth = [_agreement(list(a), list(arguments)) + sum(k in a and a[k] == v for k, v in arguments.items()) if n == name else 0.0 for n, a in free]
+            if max(worth, default=0.0) > 0:
+                reached += max(worth)
+                del free[worth.index(max(worth))]
+        return (high - low) * reached / most + low
 
+    @F.pandas_udf(T.DoubleType())
+    def scored(preds: pd.Series, golds: pd.Series) -> pd.Series:
+        return pd.Series([one(p, g) for p, g in zip(preds, golds, strict=True)])
 
-@F.pandas_udf(T.DoubleType())
-def parameter_match(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    """Calls as JSON lists of {name, arguments}: share of names, keys and values that agree."""
-    return pd.Series([_match(p, g) for p, g in zip(pred, gold, strict=True)])
+    return scored(pred, gold)
 
 
 def parse_sections(df: DataFrame, key: str, text: str) -> DataFrame:

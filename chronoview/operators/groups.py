@@ -113,6 +113,18 @@ def order_statistics(df: DataFrame, n: int, key: Sequence[str], score: str = "sc
     return each.groupBy(*key).agg(F.sum("_b").alias("best"), F.sum("_w").alias("worst"))
 
 
+def order_statistics_of_all_sizes(df: DataFrame, key: Sequence[str], score: str = "score") -> DataFrame:
+    """(*key, n, best, worst): ``order_statistics`` for n = 2, 4, 8, .. below the number of a key's scores, and that
+    number itself; a key with one score has none. Rows grow by the logarithm of a key's size."""
+    w = Window.partitionBy(*key)
+    placed = df.withColumn("_i", F.row_number().over(w.orderBy(score))).withColumn("_size", F.count("*").over(w)).where("_size > 1")
+    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda p: F.pow(F.lit(2.0), p).cast("bigint")), lambda n: n < F.col("_size"))
+    each = placed.withColumn("n", F.explode(F.concat(powers, F.array("_size"))))
+    share = lambda x: F.pow(x / F.col("_size"), F.col("n"))
+    up, down = share(F.col("_i")) - share(F.col("_i") - 1), share(F.col("_size") - F.col("_i") + 1) - share(F.col("_size") - F.col("_i"))
+    return each.groupBy(*key, "n").agg(F.sum(F.col(score) * up).alias("best"), F.sum(F.col(score) * down).alias("worst"))
+
+
 def expected_best_at_k(df: DataFrame, k: int, key: Sequence[str], order: str, score: str = "score") -> DataFrame:
     """Unbiased expected best of k of n runs: the i-th lowest weighs C(i-1, k-1) / C(n, k), as a product. A
     key with fewer than k runs has k = n, which gives its maximum."""
@@ -167,6 +179,20 @@ def majority(df: DataFrame, key: Sequence[str], answer: str, order: str, score:
     return small.unionByName(won.groupBy(*key).agg(F.avg("_s").alias("majority")))
 
 
+def score_weights(df: DataFrame, score: str, method: str, key: Sequence[str], power: float = 2.0) -> DataFrame:
+    """``df`` with weight, for ``resample_by_score``. Fixed values: ``pow`` |score| to a power; ``max_min`` 1 for the highest
+    and the lowest of a key, else 0; ``max_random`` 0.4 for the highest, else 0.1; 1e-8 is added to each."""
+    if method not in ("pow", "max_min", "max_random"):
+        raise ValueError(f"unknown method {method}")
+    x = F.col(score)
+    if method == "pow":
+        return df.withColumn("weight", F.pow(F.abs(x), F.lit(power)) + 1e-8)
+    ends = df.groupBy(*key).agg(F.max(score).alias("_high"), F.min(score).alias("_low"))
+    top = x == F.col("_high")
+    own = F.when(top | (x == F.col("_low")), 1.0).otherwise(0.0) if method == "max_min" else F.when(top, 0.4).otherwise(0.1)
+    return df.join(ends, list(key)).withColumn("weight", own + 1e-8).drop("_high", "_low")
+
+
 def resample_by_score(df: DataFrame, weight: Column, n: int, seed: int, order: str, key: Sequence[str]) -> DataFrame:
     """n draws with replacement from each key's rows, by weight: cumulative weights met by seeded points."""
     w = Window.partitionBy(*key)

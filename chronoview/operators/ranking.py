@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +55,33 @@ def fit_to_budget(view: DataFrame, cost: Column, budget: int, time: str, key: st
     return view.join(start, key, "left").where(F.col(time).isNull() | (F.col(time) >= F.col("_start"))).drop("_start")
 
 
-def fit_to_budget_exact(view: DataFrame, measure: Callable[[pd.DataFrame], float], budget: float, time: str, key: str = "qid") -> DataFrame:
-    """As ``fit_to_budget`` with any measure of a whole rendering: one task per question bisects its times,
-    for measures that grow with the window. A question's record must fit a task."""
+def fit_to_budget_exact(view: DataFrame, cost: Column, budget: float, time: str, part: str, header: Column, whole: float = 0, key: str = "qid") -> DataFrame:
+    """As ``fit_to_budget`` for a rendering that has a header for each ``part`` (a table, say) with rows in the window,
+    and ``whole`` once where there is any row at all; costs are not negative. header depends on the part alone.
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        times = sorted(rows[time].dropna().unique(), reverse=True)
-        take = lambda n: rows[rows[time].isna() | (rows[time] >= times[n - 1])] if n else rows[rows[time].isna()]
-        low, high = 0, len(times)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if measure(take(mid)) <= budget else (low, mid - 1)
-        return take(low)
-
-    return view.groupBy(key).applyInPandas(fit, view.schema)
+    A window of latest times shows a part from that part's last time on, so each header is a cost of that time, and
+    the sums over times are those of the rendering itself. Times are summed by day first: the running sums go over the
+    days of a question, then over the times of the one day in which its budget runs out. Where the rows without time
+    (which always stay) cost too much by themselves, no row with a time stays.
+    """
+    priced = view.withColumn("_cost", cost.cast("double")).withColumn("_header", header.cast("double"))
+    parts = priced.groupBy(key, part).agg(F.max(time).alias("_t"), F.max("_header").alias("_header"), F.max(F.col(time).isNull()).alias("_always"))
+    fixed = priced.where(F.col(time).isNull()).groupBy(key).agg(F.sum("_cost").alias("_c")).unionByName(parts.where("_always").groupBy(key).agg(F.sum("_header").alias("_c")))
+    fixed = fixed.groupBy(key).agg(F.sum("_c").alias("_fixed"))
+    rows = priced.where(F.col(time).isNotNull()).groupBy(key, F.col(time).alias("_t")).agg(F.sum("_cost").alias("_c"))
+    heads = parts.where("not _always").groupBy(key, "_t").agg(F.sum("_header").alias("_c"))
+    per = rows.unionByName(heads).groupBy(key, "_t").agg(F.sum("_c").alias("_c")).withColumn("_day", F.date_trunc("day", "_t"))
+    days = per.groupBy(key, "_day").agg(F.sum("_c").alias("_c"))
+    left = F.lit(float(budget)) - F.lit(float(whole)) - F.coalesce("_fixed", F.lit(0.0))
+    down = Window.partitionBy(key).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = days.withColumn("_through", F.sum("_c").over(down)).join(fixed, key, "left").withColumn("_left", left)
+    full = summed.where(F.col("_through") <= F.col("_left")).groupBy(key).agg(F.min("_day").alias("_start"))
+    broken = summed.where((F.col("_through") > F.col("_left")) & (F.col("_through") - F.col("_c") <= F.col("_left")))
+    last = broken.groupBy(key).agg(F.max(F.struct("_day", (F.col("_left") - F.col("_through") + F.col("_c")).alias("_rest"))).alias("_b")).select(key, "_b.*")
+    within = Window.partitionBy(key).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    some = per.join(last, [key, "_day"]).withColumn("_through", F.sum("_c").over(within)).where(F.col("_through") <= F.col("_rest"))
+    start = full.unionByName(some.groupBy(key).agg(F.min("_t").alias("_start"))).groupBy(key).agg(F.min("_start").alias("_start"))
+    return view.join(start, key, "left").where(F.col(time).isNull() | (F.col(time) >= F.col("_start"))).drop("_start")
 
 
 def runs(events: DataFrame, source: str, order: Sequence[str], key: str = "qid") -> DataFrame:

@@ -83,3 +83,18 @@ MASKS = {
 DROPPED = ("cost",)
 EPISODE_TASKS = ("Readmission_30day", "Readmission_60day")
 EPISODE_TIME = "episode_available_time"
+
+
+#: Snapshots that are kept on disk are stricter: intervals show only once they have ended and been stored, deaths and ends of
+#: stays only once they have passed; codes, triage and the pharmacy's final states are not kept at all.
+STRICT_TABLES: dict[str, TablePolicy | ChildPolicy] = {name: p for name, p in TABLES.items() if isinstance(p, TablePolicy) and name != "pharmacy"} | {
+    "patients": TablePolicy(guards=_ends("dod")),
+    "icustays": TablePolicy(("intime",), guards=_ends("outtime", "los")),
+    **{name: TablePolicy(("endtime",), ("storetime",)) for name in ("inputevents", "ingredientevents", "procedureevents")},
+    "discharge_detail": ChildPolicy("discharge", ("note_id",)),
+    "radiology_detail": ChildPolicy("radiology", ("note_id",)),
+    "poe_detail": ChildPolicy("poe", ("poe_id", "poe_seq")),
+    "emar_detail": ChildPolicy("emar", ("emar_id",)),
+}
+STRICT_DROPPED = ("diagnoses_icd", "diagnosis", "procedures_icd", "hcpcsevents", "drgcodes", "pharmacy", "cost", "triage")
+STRICT_VERSION = "strict-snapshot-1"

@@ -120,12 +120,14 @@ def d12_link_reports(t):
     return linking.link_reports(t.benchmark.select("item_id", tokens), t.documents.select("doc_id", tokens), "item_id", "doc_id")
 
 
-@query(f"{BOTH} SELECT subject_id, CASE WHEN subject_id % 4 > 0 THEN 86400 * (subject_id % 11) END AS shift_seconds, count(*) AS witnesses FROM r WHERE subject_id % 4 > 0 GROUP BY 1")
+@query(f"""{BOTH}, d AS (SELECT subject_id, 86400 * (subject_id % 11 + CASE WHEN subject_id % 4 = 0 AND event_id % 50 = 0 THEN 1 ELSE 0 END) AS d FROM r)
+SELECT subject_id, min(d) AS shift_seconds, count(*) AS witnesses FROM d GROUP BY 1 HAVING min(d) = max(d)""")
 def d13_patient_offset(t):
+    """Of every fourth subject some witnesses disagree; those of which all agree stay."""
     r = t.records
-    extra = F.when((F.col("subject_id") % 4 == 0), F.col("event_id") % 2).otherwise(0)
+    extra = F.when((F.col("subject_id") % 4 == 0) & (F.col("event_id") % 50 == 0), 1).otherwise(0)
     moved = r.withColumn("event_time", F.col("event_time") + F.make_dt_interval((F.col("subject_id") % 11 + extra).cast("int")))
-    return joins.patient_offset(r, moved, ["event_id"], "subject_id", "event_time").where("subject_id % 4 > 0")
+    return joins.patient_offset(r, moved, ["event_id"], "subject_id", "event_time")
 
 
 @query("SELECT o_custkey, array_to_string(list_sort(list(o_orderkey) FILTER (o_orderpriority <> '1-URGENT')), ',') AS ids FROM orders GROUP BY 1")

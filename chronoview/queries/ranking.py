@@ -35,10 +35,12 @@ def f5_fit_to_budget(t):
     return rk.fit_to_budget(seen(t), F.length("props") + F.length("event_type"), 200, "event_time").select("qid", "event_id")
 
 
-@query(f"{SEEN} SELECT qid, event_id FROM (SELECT *, 20 + sum(length(props) + length(event_type)) OVER (PARTITION BY qid ORDER BY event_time DESC RANGE UNBOUNDED PRECEDING) AS c FROM v) WHERE c <= 200")
+@query(f"""{SEEN}, p AS (SELECT *, length(props) AS c FROM v), h AS (SELECT qid, event_type, max(event_time) AS t, 5 + length(event_type) AS c FROM p GROUP BY ALL),
+x AS (SELECT qid, event_time AS t, c FROM p UNION ALL SELECT qid, t, c FROM h), s AS (SELECT qid, t, 20 + sum(sum(c)) OVER (PARTITION BY qid ORDER BY t DESC) AS through FROM x GROUP BY qid, t),
+b AS (SELECT qid, min(t) AS start FROM s WHERE through <= 200 GROUP BY 1) SELECT p.qid, event_id FROM p JOIN b ON b.qid = p.qid WHERE event_time >= start""")
 def f5_fit_to_budget_exact(t):
-    measure = lambda rows: 20 + int(rows["props"].str.len().sum() + rows["event_type"].str.len().sum()) if len(rows) else 0
-    return rk.fit_to_budget_exact(seen(t).select("qid", "event_id", "event_time", "props", "event_type"), measure, 200, "event_time").select("qid", "event_id")
+    view = seen(t).select("qid", "event_id", "event_time", "props", "event_type")
+    return rk.fit_to_budget_exact(view, F.length("props"), 200, "event_time", "event_type", 5 + F.length("event_type"), 20).select("qid", "event_id")
 
 
 @query("""WITH RECURSIVE v AS (SELECT DISTINCT p_name AS candidate FROM part), k AS (SELECT unnest(['red widget', 'blue blot', 'ring']) AS keyword),

@@ -188,6 +188,22 @@ def e28_validation_metrics(t):
     return per.agg(F.count("*").alias("groups"), r("best", "best_4"), r("worst", "worst_4"), r("mean", "mean_n"), r(F.coalesce("dev", F.lit(0.0)), "std_n"))
 
 
+@query(f"""WITH {G}, k AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS i, count(*) OVER (PARTITION BY uid) AS s FROM g),
+e AS (SELECT *, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64], lambda x: x < s), s)) AS n FROM k WHERE s > 1)
+SELECT uid, n::BIGINT AS n, round(sum(score * ((i / s::DOUBLE) ** n - ((i - 1) / s::DOUBLE) ** n)), 6) AS best, round(sum(score * (((s - i + 1) / s::DOUBLE) ** n - ((s - i) / s::DOUBLE) ** n)), 6) AS worst FROM e GROUP BY 1, 2""")
+def e28_validation_all_n(t):
+    return gr.order_statistics_of_all_sizes(samples(t), ["uid"]).select("uid", "n", F.round("best", 6).alias("best"), F.round("worst", 6).alias("worst"))
+
+
+@query(f"""WITH {G}, m AS (SELECT uid, i, score, max(score) OVER (PARTITION BY uid) AS hi, min(score) OVER (PARTITION BY uid) AS lo FROM g)
+SELECT uid, i, round(score * score + 1e-8, 9) AS pow, CASE WHEN score IN (hi, lo) THEN 1.0::DOUBLE ELSE 0 END + 1e-8 AS max_min, CASE WHEN score = hi THEN 0.4::DOUBLE ELSE 0.1 END + 1e-8 AS max_random FROM m""")
+def e31_score_weights(t):
+    s = samples(t).select("uid", "i", "score")
+    for method in ("pow", "max_min", "max_random"):
+        s = gr.score_weights(s, "score", method, ["uid"]).withColumnRenamed("weight", method)
+    return s.select("uid", "i", F.round("pow", 9).alias("pow"), "max_min", "max_random")
+
+
 @query("""WITH g AS (SELECT l_orderkey AS uid, l_returnflag AS pred, l_quantity AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 w AS (SELECT DISTINCT uid, n, d, j FROM g, range(1000) a(d), range(4) b(j)), p AS (SELECT uid, d, j, ('0x' || substr(md5('3:' || uid || ':' || d || ':' || j), 1, 8))::BIGINT % n AS i FROM w),
 v AS (SELECT uid, d, pred, count(*) AS v, min(j) AS f, arg_min(score, j) AS s FROM p JOIN g USING (uid, i) GROUP BY ALL),

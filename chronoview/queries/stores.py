@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof
 from ..operators.scoring import score_sets
+from ..plans import policies as pol, record_policies as rp, snapshots as snap
 from ..plans.registry import BOTH, query, stamp
 from ..sources import io
 from ..streaming import streams as st
@@ -139,3 +140,68 @@ def s2_streak_stream(t):
 @query(f"{BOTH} SELECT strftime(date_trunc('day', event_time), '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (available_time > event_time + INTERVAL 1 HOUR) AS late FROM r GROUP BY 1")
 def s3_late_arrivals(t):
     return st.late_arrivals(t.records).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "late")
+
+
+#: Events as twelve record tables, by their number: what each has of an event, and what its policy leaves.
+RECORD = """e AS (SELECT event_id, user_id AS subject_id, date_trunc('second', ts) AS a, date_trunc('second', ts + to_seconds(round(value * 60))) AS b, (event_id % 12)::INTEGER AS k, event_id::VARCHAR AS x FROM events),
+q AS (SELECT e.*, m.qid, m.cutoff FROM e JOIN m USING (subject_id)),
+s AS (SELECT qid, ['labevents', 'chartevents', 'outputevents', 'datetimeevents', 'transfers', 'prescriptions', 'poe', 'omr', 'icustays', 'services', 'inputevents', 'pharmacy'][k + 1] AS table_name,
+  CASE WHEN k <= 3 OR k = 11 THEN a < cutoff AND b < cutoff WHEN k = 7 THEN date_trunc('day', a) + INTERVAL 1 DAY <= cutoff ELSE a < cutoff END AS seen, k NOT IN (4, 5, 8, 10) OR b < cutoff AS known FROM q)"""
+
+
+def record_tables(t):
+    """Text tables, as they come: times to the second, every column text."""
+    r = t.records.select(F.col("subject_id"), F.col("event_id").cast("string").alias("x"), stamp("event_time").alias("a"), stamp("available_time").alias("b"), (F.col("event_id") % 12).alias("k"))
+    names = {
+        "labevents": {"labevent_id": "x", "charttime": "a", "storetime": "b"}, "chartevents": {"itemid": "x", "charttime": "a", "storetime": "b"},
+        "outputevents": {"itemid": "x", "charttime": "a", "storetime": "b"}, "datetimeevents": {"itemid": "x", "charttime": "a", "storetime": "b"},
+        "transfers": {"transfer_id": "x", "intime": "a", "outtime": "b"}, "prescriptions": {"drug": "x", "starttime": "a", "stoptime": "b"},
+        "poe": {"poe_id": "x", "ordertime": "a", "order_status": "b"}, "omr": {"result_value": "x", "chartdate": "substring(a, 1, 10)"},
+        "icustays": {"stay_id": "x", "intime": "a", "outtime": "b", "los": "x"}, "services": {"curr_service": "x", "transfertime": "a"},
+        "inputevents": {"itemid": "x", "starttime": "a", "endtime": "b", "storetime": "b", "amount": "x"}, "pharmacy": {"pharmacy_id": "x", "entertime": "a", "verifiedtime": "b", "status": "x"},
+    }
+    tables = {n: r.where(F.col("k") == i).selectExpr("subject_id", *[f"{v} AS {c}" for c, v in columns.items()]) for i, (n, columns) in enumerate(names.items())}
+    return tables, {n: list(df.columns) for n, df in tables.items()}
+
+
+@query(f"{BOTH}, {RECORD} SELECT qid, table_name, count(*) AS n, count(*) FILTER (known) AS known FROM s WHERE seen GROUP BY ALL")
+def c5_record_tables(t):
+    tables, allowed = record_tables(t)
+    views = pol.point_in_time_view(tables, t.manifest, rp.TABLES, allowed)
+    guarded = {"transfers": "outtime", "prescriptions": "stoptime", "icustays": "los", "inputevents": "amount"}
+    out = None
+    for name, view in views.items():
+        own = view.groupBy("qid").agg(F.count("*").alias("n"), F.count(guarded.get(name, "subject_id")).alias("known")).withColumn("table_name", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""{BOTH}, {RECORD}, p AS (SELECT qid, a, b, cutoff FROM q WHERE k = 5) SELECT qid, count(*) AS input_rows, count(*) FILTER (a < cutoff) AS output_rows, count(*) FILTER (a >= cutoff) AS dropped_rows,
+  count(*) FILTER (a < cutoff AND b >= cutoff) AS redacted, count(*) FILTER (a < cutoff AND b >= cutoff) AS future, 0::BIGINT AS unparseable FROM p GROUP BY 1""")
+def e4_table_report(t):
+    return pol.table_report(record_tables(t)[0]["prescriptions"], t.manifest, rp.TABLES["prescriptions"])
+
+
+@query(f"""{BOTH}, {RECORD}, v AS (SELECT CASE k WHEN 0 THEN 'labevents' ELSE 'transfers' END AS table_name, unnest(CASE k WHEN 0 THEN ['charttime', 'storetime'] ELSE ['intime', 'outtime'] END) AS c, unnest([a, b]) AS x, cutoff FROM q WHERE k IN (0, 4))
+SELECT table_name, 'future ' || c AS rule, count(*) AS n FROM v WHERE x >= cutoff GROUP BY ALL""")
+def e6_audit_views(t):
+    """The audit of views that were never cut: all that a policy would have hidden."""
+    tables = record_tables(t)[0]
+    raw = {n: tables[n].join(t.manifest.select("qid", "subject_id", "cutoff"), "subject_id") for n in ("labevents", "transfers")}
+    return pol.audit_views(raw, rp.TABLES)
+
+
+#: The strict policies over subjects at their first question's cutoff.
+STRICT = f"{BOTH}, {RECORD}, z AS (SELECT * FROM q WHERE qid LIKE '%#_0' ESCAPE '#')"
+
+
+@query(f"""{STRICT} SELECT qid AS subject_id, table_name, n FROM (SELECT subject_id::VARCHAR AS qid, ['labevents', 'chartevents', 'outputevents', 'datetimeevents', 'transfers', 'prescriptions', 'poe', 'omr', 'icustays', 'services', 'inputevents', ''][k + 1] AS table_name, count(*) AS n FROM z
+WHERE k < 11 AND CASE WHEN k <= 3 THEN a < cutoff AND b < cutoff WHEN k = 7 THEN date_trunc('day', a) + INTERVAL 1 DAY <= cutoff WHEN k = 10 THEN b < cutoff ELSE a < cutoff END GROUP BY ALL)""")
+def c18_a13_snapshots(t):
+    """Built in two calls, the second of which finds all but a few subjects in place, then read back."""
+    tables, allowed = record_tables(t)
+    subjects = t.manifest.where("task = 'first'").select("subject_id", "cutoff")
+    path = io.work_path(t.spark, "snapshots")
+    snap.build_snapshots(tables, subjects.where("subject_id % 10 > 0"), allowed, path)
+    snap.build_snapshots(tables, subjects, allowed, path, anew=subjects.where("subject_id % 10 = 1"))
+    return snap.current(t.spark, path).where("n_rows > 0").select("subject_id", "table_name", F.col("n_rows").alias("n"))

@@ -5,17 +5,64 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import names
+from ..operators import asof, names, render as rd
 from ..plans.registry import BOTH, query, stamp
 
 
 @query("""WITH d AS (SELECT user_id, event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL)
 SELECT user_id, event_type AS label, day AS at, n AS rows FROM d""")
 def h5_parse_sections(t):
+    """One text for each user and day, so that none holds all of a user."""
     e = t.events.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.lit("| "), F.col("event_id").cast("string"), F.lit(" |")).alias("row"))
     block = e.groupBy("user_id", "event_type", "day").agg(F.concat(F.lit("## "), F.first("event_type"), F.lit(" ["), F.first("day"), F.lit("]\n| id |\n| --- |\n"), F.array_join(F.collect_list("row"), "\n")).alias("b"))
-    texts = block.groupBy("user_id").agg(F.array_join(F.collect_list("b"), "\n").alias("text"))
-    return tx.parse_sections(texts, "user_id", "text").select("user_id", "label", "at", "rows")
+    texts = block.groupBy(F.struct("user_id", "day").alias("part")).agg(F.array_join(F.collect_list("b"), "\n").alias("text"))
+    return tx.parse_sections(texts, "part", "text").select("part.user_id", "label", "at", "rows")
+
+
+#: Two tables with clocks and one without, as a question sees them.
+TIMELINE = f"""{BOTH}, v AS (SELECT m.qid, r.* FROM r JOIN m USING (subject_id) WHERE event_time < cutoff),
+a AS (SELECT qid, 'visits' AS t, event_time AS tm, event_id AS pos, [event_type, CASE WHEN event_id % 7 = 0 THEN 'a/b' ELSE '' END] AS c FROM v WHERE event_type IN ('view', 'click')
+  UNION ALL SELECT qid, 'acts', event_time, event_id, [event_id::VARCHAR, props] FROM v WHERE event_type NOT IN ('view', 'click')
+  UNION ALL SELECT qid, 'subjects', NULL, 0, [subject_id::VARCHAR] FROM m),
+l AS (SELECT *, CASE WHEN tm IS NULL OR t = lag(t) OVER (PARTITION BY qid, tm IS NULL ORDER BY tm, t, pos) THEN 0 ELSE 1 END AS s FROM a),
+n AS (SELECT *, CASE WHEN tm IS NULL THEN 0 ELSE sum(s) OVER (PARTITION BY qid, tm IS NULL ORDER BY tm, t, pos ROWS UNBOUNDED PRECEDING) END AS run FROM l),
+b AS (SELECT qid, run, t, count(*) AS rows, min(tm) AS start, list(c ORDER BY tm, pos) AS r FROM n GROUP BY ALL),
+k AS (SELECT *, CASE t WHEN 'visits' THEN ['What', 'Note'] WHEN 'acts' THEN ['Id', 'Props'] ELSE ['Subject'] END AS names FROM b),
+p AS (SELECT *, list_filter(range(1, len(names) + 1), lambda i: len(list_filter(r, lambda c: c[i] <> '')) > 0) AS keep FROM k),
+x AS (SELECT qid, run, t, rows, '## ' || CASE t WHEN 'visits' THEN 'Visits' WHEN 'acts' THEN 'Acts' ELSE 'Subject' END || ' [' || coalesce(strftime(start, '%Y-%m-%d %H:%M:%S'), 'None') || ']' || chr(10) ||
+  CASE WHEN rows = 1 THEN array_to_string(list_transform(keep, lambda i: '- ' || names[i] || ': ' || r[1][i]), chr(10))
+  ELSE '| ' || array_to_string(list_transform(keep, lambda i: names[i]), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(keep, lambda i: '---'), ' | ') || ' |' || chr(10) ||
+    array_to_string(list_transform(r, lambda c: '| ' || array_to_string(list_transform(keep, lambda i: c[i]), ' | ') || ' |'), chr(10)) END AS text FROM p)"""
+
+
+def shown_tables(t):
+    v = asof.as_of_event(t.records, t.manifest)
+    visits = v.where(F.col("event_type").isin("view", "click")).withColumn("note", F.when(F.col("event_id") % 7 == 0, " a|b\n").otherwise("nan"))
+    subjects = t.manifest.select("qid", "subject_id", F.lit(0).alias("n"))
+    return {
+        "visits": (visits, rd.Shown("Visits", [("event_type", "What"), ("event_time", "When"), ("note", "Note")], "event_time", "event_id")),
+        "acts": (v.where(~F.col("event_type").isin("view", "click")), rd.Shown("Acts", [("event_id", "Id"), ("props", "Props")], "event_time", "event_id")),
+        "subjects": (subjects, rd.Shown("Subject", [("subject_id", "Subject")], None, "n")),
+    }
+
+
+@query(f"{TIMELINE} SELECT qid, run::BIGINT AS run, t AS table_name, rows, text FROM x")
+def h6_timeline_blocks(t):
+    return rd.timeline_blocks(shown_tables(t))
+
+
+@query(f"{TIMELINE} SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY run, t) AS text FROM x GROUP BY 1")
+def h6_render_timeline(t):
+    return rd.render_timeline(shown_tables(t))
+
+
+@query(f"""{BOTH}, v AS (SELECT m.qid, r.* FROM r JOIN m USING (subject_id) WHERE event_time < cutoff),
+n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY event_time DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY qid) AS visible FROM v)
+SELECT qid, 'acts' AS table_name, visible, '### acts' || chr(10) || 'Visible rows: ' || visible || CASE WHEN visible > 5 THEN ' (latest 5 of ' || visible || ')' ELSE '' END || chr(10) || 'event_id,event_type' || chr(10)
+  || string_agg(event_id || ',' || event_type, chr(10) ORDER BY event_time, event_id) AS text FROM n WHERE k <= 5 GROUP BY qid, visible""")
+def h8_render_context(t):
+    v = asof.as_of_event(t.records, t.manifest)
+    return rd.render_context({"acts": (v, rd.Shown("Acts", [("event_id", "Id"), ("event_type", "What")], "event_time", "event_id"))}, 5)
 
 
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, string_agg(event_type || ' ' || event_id, chr(10) ORDER BY event_id) AS body FROM events GROUP BY ALL")
@@ -76,6 +123,16 @@ def h14_answer_items(t):
     return texts.select("l_orderkey", F.array_join(tx.answer_items(F.col("text")), ",").alias("items"))
 
 
+@query("SELECT l_orderkey, string_agg('P' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS items FROM lineitem GROUP BY 1")
+def h14_embedded_response(t):
+    """Answers that end whole, within their list, or within its last text."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda s: F.concat(F.lit('"P'), s["l_partkey"].cast("string")))
+    end = F.when(F.col("l_orderkey") % 3 == 0, '"]} and more').when(F.col("l_orderkey") % 3 == 1, '", ').otherwise("")
+    said = F.concat(F.lit('{"response": ["old"]} so: {"note": 1} {"response": ['), F.array_join(parts, '", '), end)
+    texts = t.lineitem.groupBy("l_orderkey").agg(said.alias("text"))
+    return texts.select("l_orderkey", F.array_join(tx.embedded_response("text"), ",").alias("items"))
+
+
 #: What lines say of their parts, a third of it not as the part list has it.
 SAID = """v AS (SELECT p_name || ' ' || p_brand AS name, min(p_partkey) AS position FROM part GROUP BY 1),
 a AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN ' ' || upper(p_name) || '  ' || p_brand WHEN 1 THEN 'the ' || p_name || ' ' || p_brand || ' of' WHEN 2 THEN p_name ELSE 'nothing of ' || p_type END AS said FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -155,14 +212,14 @@ def h27_h28_h30_h31_h32_rewards(t):
     return p.select("p_partkey", em.alias("em"), number.alias("number"), layout.alias("layout"), tx.overlong_penalty(F.col("p_size"), 20, 10, 0.5).alias("penalty"), tx.score_by_source(source, {"qa": em, "layout": layout}).alias("by_source"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, list(l_returnflag) AS g, coalesce(list(l_returnflag) FILTER (l_linenumber <= 3), []) AS p FROM lineitem GROUP BY 1)
-SELECT l_orderkey, round(list_sum(list_transform(['A', 'N', 'R'], lambda f: least(len(list_filter(p, lambda y: y = f)), len(list_filter(g, lambda y: y = f)))))::DOUBLE / list_sum(list_transform(['A', 'N', 'R'], lambda f: greatest(len(list_filter(p, lambda y: y = f)), len(list_filter(g, lambda y: y = f))))), 9) AS names, round(len(p)::DOUBLE / len(g), 9) AS parameters FROM x""")
+@query("""WITH x AS (SELECT l_orderkey, list(l_returnflag) AS g, coalesce(list(l_returnflag) FILTER (l_linenumber <= 3), []) AS p FROM lineitem GROUP BY 1),
+y AS (SELECT *, list_sum(list_transform(['A', 'N', 'R'], lambda f: least(len(list_filter(p, lambda y: y = f)), len(list_filter(g, lambda y: y = f)))))::DOUBLE / list_sum(list_transform(['A', 'N', 'R'], lambda f: greatest(len(list_filter(p, lambda y: y = f)), len(list_filter(g, lambda y: y = f))))) AS names FROM x) SELECT l_orderkey, round(names, 9) AS names, round(CASE WHEN len(p) = len(g) THEN 3.0 ELSE 6 * (names + 3 * len(p)) / (1 + 3 * len(g)) - 3 END, 9) AS score FROM y""")
 def h29_score_tool_calls(t):
     small = F.col("l_linenumber") <= 3
     call = F.struct(F.col("l_returnflag").alias("name"), F.struct(F.col("l_partkey").alias("k"), F.concat_ws("-", "l_linenumber", "l_suppkey").alias("line")).alias("arguments"))
     ordered = lambda c: F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", c.alias("c")))), lambda s: s["c"]))
     x = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("g"), F.collect_list(F.when(small, F.col("l_returnflag"))).alias("p"), F.to_json(ordered(call)).alias("gj"), F.to_json(ordered(F.when(small, call))).alias("pj"))
-    return x.select("l_orderkey", F.round(tx.name_overlap(F.col("p"), F.col("g")), 9).alias("names"), F.round(tx.parameter_match("pj", "gj"), 9).alias("parameters"))
+    return x.select("l_orderkey", F.round(tx.name_overlap(F.col("p"), F.col("g")), 9).alias("names"), F.round(tx.tool_call_score(F.col("pj"), F.col("gj")), 9).alias("score"))
 
 
 @query("SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 4 = 0 THEN 'prediction_time' END, CASE WHEN c_custkey % 3 = 0 THEN 'study_ids' END) AS problem FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 3 = 0")

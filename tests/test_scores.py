@@ -1,5 +1,6 @@
 """Small numeric cases of grouped scores, answers and streams."""
 
+import json
 from itertools import combinations
 from math import comb
 
@@ -49,8 +50,36 @@ def test_answers_and_lists(spark):
     assert [r[0] for r in df.select(tx.score_exact_match(F.col("t"), F.col("g"))).collect()] == [1.0, 0.0]
     lists = spark.createDataFrame([('say ["a", "b"]',), ("['a', 'b",), ("none",), (None,)], "t string")
     assert [r[0] for r in lists.select(tx.parse_list("t")).collect()] == [["a", "b"], ["a", "b"], None, None]
-    pairs = spark.createDataFrame([('[{"name":"f","arguments":{"x":1}}]', '[{"name":"f","arguments":{"x":2}}]')], "p string, g string")
-    assert pairs.select(tx.parameter_match("p", "g")).collect()[0][0] == pytest.approx(2 / 3)
+
+
+def test_embedded_responses_cut_off_anywhere(spark):
+    """Whatever is left of a list is read; of an item cut off, its beginning."""
+    whole = 'so {"response": ["a, b", "c\\"d]", "é"]}'
+    ends = [whole[:n] for n in range(len(whole) + 1)]
+    rows = [(i, x) for i, x in enumerate(ends)] + [(900, None), (901, "{'response': 'x'} tail"), (902, '{"response": ["a"], "more": {"k": [1'), (903, '{"response": {"a" 1}}'), (904, '{"response": [}')]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "i int, t string").select("i", tx.embedded_response("t")).collect()}
+    assert got[len(whole)] == ["a, b", 'c"d]', "é"] and got[901] == ["x"] and got[902] == ["a"] and got[900] is got[903] is got[904] is None
+    start = whole.index("[") + 1
+    for n in range(start, len(whole)):
+        assert got[n] is not None and all(full.startswith(part) for full, part in zip(["a, b", 'c"d]', "é"], got[n], strict=False)), (ends[n], got[n])
+
+
+def test_tool_calls_by_hand(spark):
+    """Names, argument names and values; a gold call takes the best unused call of its name."""
+    call = lambda n, **a: {"name": n, "arguments": a}
+    cases = [
+        ([call("f", x=1)], [call("f", x=1)], 3.0),
+        ([], [], 3.0),
+        ([], [call("f", x=1)], -3.0),
+        ([call("f", x=1)], [call("f", x=2)], 6 * (1 + 1) / 3 - 3),
+        ([call("f", x=1, y=2), call("g")], [call("f", x=1)], 6 * (0.5 + 0.5 + 1) / 3 - 3),
+        ([call("f", x=1), call("f", x=2)], [call("f", x=2), call("f", x=1)], 6 * (1 + 2 + 2) / 5 - 3),
+        ([call("f", x=2)], [call("f", x=2), call("f", x=2)], 6 * (0.5 + 2) / 5 - 3),
+        ([call("h", x=2)], [call("f", x=2)], -3.0),
+    ]
+    rows = [(i, json.dumps(p), json.dumps(g)) for i, (p, g, _) in enumerate(cases)] + [(99, None, None)]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "i int, p string, g string").select("i", tx.tool_call_score(F.col("p"), F.col("g"))).collect()}
+    assert got == pytest.approx({i: c[2] for i, c in enumerate(cases)} | {99: 3.0})
 
 
 def test_streak_over_batches(spark, tmp_path):
