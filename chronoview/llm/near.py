@@ -21,19 +21,23 @@ Scarce ones make pairs, the others are buckets.
 Jaccard distance is a metric: similar rows are at most 1 - t apart, so both are NEAR or both below FAR. A bucket of a turn
 holds only rows that share a scarce element of the bucket before and not its leader, so sizes fall by factors, not
 by rows; buckets that are down to SMALL rows have all their pairs compared.
+
+Smaller buckets hold a row several times. Most rows need none of them: in the first TURNS turns what is left stays in the
+buckets it is in, less their leaders, of which there are LEADERS more from the second turn on. Only then are buckets cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free
 
-#: Rows of one leader that have a rare element, at most; rows of a small bucket.
-RARE, SMALL = 8, 32
+#: Rows of one leader that have a rare element, at most; rows of a small bucket; further leaders of a bucket; turns
+#: before buckets are cut.
+RARE, SMALL, LEADERS, TURNS = 8, 128, 31, 3
 #: Similarity to the leader: of two rows that are at most 0.2 apart from each other, both are NEAR or both below FAR.
 NEAR, FAR = 0.3, 0.5
 
@@ -86,11 +90,18 @@ def _merged(rest: DataFrame) -> DataFrame:
     return rest.join(like, "bucket").select(F.col("_like").alias("bucket"), "id").distinct()
 
 
-def _leaders(rest: DataFrame) -> DataFrame:
-    """(bucket, lead): the row of each bucket that meets most others in its buckets, the least id of these."""
+def _leaders(rest: DataFrame, more_leaders: int) -> DataFrame:
+    """(bucket, lead, rank): first the row of each bucket that meets most others in its buckets (the least id of these), then
+    some by hash."""
     sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     fame = sized.groupBy("id").agg(F.sum("n").alias("fame"))
-    return rest.join(fame, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("lead"))
+    first = rest.join(fame, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("lead"))
+    first = cut(first, "near-first-leaders")
+    if not more_leaders:
+        return first.select("bucket", "lead", F.lit(0).alias("rank"))
+    by = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
+    more = rest.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= more_leaders).select("bucket", F.col("id").alias("lead"), "rank")
+    return first.select("bucket", "lead", F.lit(0).alias("rank")).unionByName(more.join(first, ["bucket", "lead"], "left_anti"))
 
 
 def _told(led: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -130,9 +141,9 @@ def _smaller(first: DataFrame, kind: int) -> DataFrame:
     return first.where(F.col("rows") > RARE).select(F.xxhash64("g", "h", F.lit(kind)).alias("bucket"), "id")
 
 
-def _near(told: DataFrame, classes: DataFrame, k: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b), pairs of different classes that share rare elements of their differences and may be similar; and
-    (bucket, id), smaller buckets for all other pairs that may be."""
+def _near(told: DataFrame, classes: DataFrame, k: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b), pairs of different classes that share rare elements of their differences and may be similar; (g, id, s),
+    rows that may be similar to others without; and the elements of all."""
     near = told.where(F.col("j") >= NEAR).withColumn("s", F.col("a") - F.lit(k) * F.col("n"))
     elements = cut(_counted(near.select("g", "id", F.explode("d").alias("h"))), "near-elements")
     common = elements.where(F.col("rows") > RARE).groupBy("g", "id").agg(F.count("*").alias("c"))
@@ -140,11 +151,15 @@ def _near(told: DataFrame, classes: DataFrame, k: float) -> tuple[DataFrame, Dat
     side = lambda x: sized.select("g", F.col("id").alias(x), F.col("s").alias(f"s_{x}"), F.col("c").alias(f"c_{x}"))
     maybe = _pairs(elements.where(F.col("rows") <= RARE)).join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
     maybe = maybe.where(2 * (F.least("c_a", "c_b") + F.col("r")) >= F.col("s_a") + F.col("s_b") - 1e-6).select("a", "b").distinct()
-    stay = _possible(sized, classes)
+    return apart(maybe, classes), _possible(sized, classes), elements
+
+
+def _cut_near(stay: DataFrame, elements: DataFrame) -> DataFrame:
+    """(bucket, id): smaller buckets of the rows that may be similar without a rare element in common."""
     lowest = stay.groupBy("g").agg(F.min("s").alias("s_low"))
     needed = F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("s_low")) / 2 - 1e-6))
     plenty = elements.where(F.col("rows") > RARE).join(stay.join(lowest, "g"), ["g", "id"])
-    return apart(maybe, classes), _smaller(_first(plenty, F.size("e") - needed + 1, "s", "s_low"), 1)
+    return _smaller(_first(plenty, F.size("e") - needed + 1, "s", "s_low"), 1)
 
 
 def _far(told: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,46 +207,46 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Ca
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
 
+    turn = 0
     while rest.limit(1).count():
-        again = classes is not None
+        turn += 1
+        again, cutting = turn > 1, turn > TURNS
         sized = rest.groupBy("bucket").agg(F.count("*").alias("n"))
         small = rest.join(sized.where(F.col("n") <= (SMALL if again else 0)), "bucket", "left_semi")
         if again:
             large = cut(rest.join(sized.where(F.col("n") > SMALL), "bucket", "left_semi"), "near-members")
         else:
             large = rest
-        lead = cut(_leaders(large), "near-lead")
-        led = cut(large.join(lead, "bucket").where("id <> lead"), "near-led")
-        pairs = ordered(led)
+        lead = cut(_leaders(large, LEADERS if again and not cutting else 0), "near-lead")
+        pairs = ordered(large.join(lead, "bucket").where("id <> lead"))
         if again:
             every = small.join(small.withColumnRenamed("id", "lead"), "bucket").where("id < lead")
             pairs = apart(pairs.unionByName(ordered(every)).distinct(), classes)
-        else:  # each row with the leader of its largest bucket first: what these join needs no other comparison
-            joined(cut(ordered(led.join(sized, "bucket").groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))).distinct(), "near-pairs"))
-            pairs = apart(pairs.distinct(), classes)
         joined(cut(pairs.distinct(), "near-pairs"))
-        free(led)
-        led = _open(large, classes).join(lead, "bucket")
-        if again:
-            led = led.select(F.col("bucket").alias("g"), "lead", "id")
-        else:  # many buckets hold the same rows, under leaders of one class: any row of the class may be what they differ from
-            led = led.join(classes.withColumnRenamed("id", "lead"), "lead", "left").select(F.coalesce("root", "lead").alias("g"), F.coalesce("root", "lead").alias("lead"), "id")
-        led = cut(led.where("id <> lead").distinct(), "near-led")
+        first, leaders = lead.where("rank = 0").select("bucket", "lead"), lead.select("bucket", F.col("lead").alias("id"))
+        led = _open(large.join(leaders, ["bucket", "id"], "left_anti"), classes).join(first, "bucket")
+        # The buckets of one leader are one group, for many hold the same rows; buckets that were cut are alike only if equal.
+        led = cut(led.select("bucket", F.col("bucket" if turn > TURNS + 1 else "lead").alias("g"), "lead", "id"), "near-led")
         for done in {rest, large, lead}:
             free(done)
         if not led.limit(1).count():
             return classes
         ids = led.select("id").unionByName(led.select(F.col("lead").alias("id"))).distinct()
         own = sets(ids)
-        told = cut(_told(led, own, threshold), "near-told")
+        told = cut(_told(led.select("g", "lead", "id").distinct(), own, threshold), "near-told")
         free(own)
-        free(led)
-        known = apart(ordered(told.where(F.col("j") >= threshold)), classes)
-        near_pairs, near_buckets = _near(told, classes, k)
-        far_pairs, far_buckets = _far(told, classes)
-        buckets = cut(near_buckets.unionByName(far_buckets).distinct(), "near-buckets")
-        joined(cut(near_pairs.unionByName(far_pairs).unionByName(known).distinct(), "near-pairs"))
-        rest = cut(_merged(_open(buckets, classes)), "near-members")
-        free(buckets)
-        free(told)
+        near_pairs, stay, elements = _near(told, classes, k)
+        stay = cut(stay, "near-stay")
+        if cutting:
+            far_pairs, far_buckets = _far(told, classes)
+            following = cut(_cut_near(stay, elements).unionByName(far_buckets).distinct(), "near-buckets")
+            near_pairs = near_pairs.unionByName(far_pairs)
+        else:
+            left = stay.select("g", "id").unionByName(told.where(F.col("j") < FAR).select("g", "id")).distinct()
+            following = cut(led.join(left, ["g", "id"], "left_semi").select("bucket", "id"), "near-buckets")
+        joined(cut(near_pairs.distinct(), "near-pairs"))
+        rest = _open(following, classes)
+        rest = cut(_merged(rest) if cutting else rest, "near-members")
+        for done in (led, told, stay, following):
+            free(done)
     return cut(components(members.sparkSession.createDataFrame([], "a bigint, b bigint")), "near-classes") if classes is None else classes

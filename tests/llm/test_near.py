@@ -49,9 +49,9 @@ def linked(spark, monkeypatch, members, sets):
 
     leaders = near._leaders
 
-    def counted(rest):
+    def counted(rest, more):
         counts["turns"] += 1
-        return leaders(rest)
+        return leaders(rest, more)
 
     monkeypatch.setattr(near, "_leaders", counted)
     out = near.link(spark.createDataFrame(members, "bucket bigint, id bigint"), compare, lambda ids: table.join(ids, "id", "left_semi"), THRESHOLD)
@@ -81,9 +81,12 @@ def families(rng):
     return sets + [{rng.randrange(300) for _ in range(20)} for _ in range(60)]
 
 
-@pytest.mark.parametrize("seed, small", [(1, 32), (2, 3)])
-def test_links_equal_all_pairs(spark, monkeypatch, seed, small):
+@pytest.mark.parametrize("seed, small, turns, more", [(1, 32, 0, 0), (2, 3, 1, 3)])
+def test_links_equal_all_pairs(spark, monkeypatch, seed, small, turns, more):
+    """Whether buckets are cut at once or after a turn."""
     monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "TURNS", turns)
+    monkeypatch.setattr(near, "LEADERS", more)
     rng = random.Random(seed)
     sets = {3 * i: s for i, s in enumerate(families(rng))}
     members = [(7, i) for i in sets] + [(8, i) for i in sets if rng.random() < 0.3] + [(100 + i, i) for i in sets]
@@ -101,7 +104,7 @@ def test_turns_do_not_grow_with_unlike_rows(spark, monkeypatch):
         assert got == {}, counts
         assert n < 1000 or counts["pairs"] < n * (n - 1) / 2, counts
         turns[n] = counts["turns"]
-    assert turns[2000] <= turns[200] + 2 <= 6
+    assert turns[2000] <= near.TURNS + 4
 
 
 def test_no_rows_and_lone_rows(spark, monkeypatch):
