@@ -37,7 +37,7 @@ from .common import cut, free
 
 #: Rows of one leader that have a rare element, at most; rows of a small bucket; further leaders of a bucket; turns
 #: before buckets are cut.
-RARE, SMALL, LEADERS, TURNS = 8, 128, 31, 3
+RARE, SMALL, LEADERS, TURNS = 8, 128, 31, 12
 #: Similarity to the leader: of two rows that are at most 0.2 apart from each other, both are NEAR or both below FAR.
 NEAR, FAR = 0.3, 0.5
 
@@ -104,16 +104,17 @@ def _leaders(rest: DataFrame, more_leaders: int) -> DataFrame:
     return first.select("bucket", "lead", F.lit(0).alias("rank")).unionByName(more.join(first, ["bucket", "lead"], "left_anti"))
 
 
-def _told(led: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _told(led: DataFrame, sets: DataFrame, threshold: float, cutting: bool) -> DataFrame:
     """(g, lead, id) -> (g, lead, id, n, a, j, d, h): elements of id and of the difference, similarity, the difference
-    of NEAR rows (inverted where only the leader has it) and the first elements of rows that may be FAR."""
+    of NEAR rows (inverted where only the leader has it) and, for ``cutting``, the first elements of rows that may be FAR."""
     both = led.join(sets.select(F.col("id").alias("lead"), F.col("h").alias("x")), "lead").join(sets.withColumnRenamed("h", "y"), "id")
     only = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), F.bitwise_not))
     known = both.select("g", "lead", "id", F.size("x").alias("m"), F.size("y").alias("n"), only.alias("d"), "x", "y")
     alike = (F.col("m") + F.col("n") - F.size("d")) / (F.col("m") + F.col("n") + F.size("d"))
     known = known.select("g", "lead", "id", "n", F.size("d").alias("a"), alike.alias("j"), "d", "x", "y")
     first = F.slice(F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_intersect("y", "x"))), F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1).cast("int"))
-    return known.select("g", "lead", "id", "n", "a", "j", F.when(F.col("j") >= NEAR, F.col("d")).alias("d"), F.when(F.col("j") < FAR + 0.2, first).alias("h"))
+    far = F.when(F.col("j") < FAR + 0.2, first) if cutting else F.lit(None).cast("array<bigint>")
+    return known.select("g", "lead", "id", "n", "a", "j", F.when(F.col("j") >= NEAR, F.col("d")).alias("d"), far.alias("h"))
 
 
 def _counted(elements: DataFrame) -> DataFrame:
@@ -233,7 +234,7 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Ca
             return classes
         ids = led.select("id").unionByName(led.select(F.col("lead").alias("id"))).distinct()
         own = sets(ids)
-        told = cut(_told(led.select("g", "lead", "id").distinct(), own, threshold), "near-told")
+        told = cut(_told(led.select("g", "lead", "id").distinct(), own, threshold, cutting), "near-told")
         free(own)
         near_pairs, stay, elements = _near(told, classes, k)
         stay = cut(stay, "near-stay")

@@ -96,6 +96,7 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, small, turns, more):
 
 def test_turns_do_not_grow_with_unlike_rows(spark, monkeypatch):
     """Rows of one bucket, all about 0.1 alike: ten times the rows take a turn or two more, and few pairs."""
+    monkeypatch.setattr(near, "TURNS", 2)
     turns = {}
     for n in (200, 2000):
         rng = random.Random(n)
