@@ -142,15 +142,23 @@ def _smaller(first: DataFrame, kind: int) -> DataFrame:
     return first.where(F.col("rows") > RARE).select(F.xxhash64("g", "h", F.lit(kind)).alias("bucket"), "id")
 
 
-def _near(told: DataFrame, classes: DataFrame, k: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near(told: DataFrame, classes: DataFrame, k: float, cutting: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a, b), pairs of different classes that share rare elements of their differences and may be similar; (g, id, s),
-    rows that may be similar to others without; and the elements of all."""
+    rows that may be similar to others without; and elements: all that are shared for ``cutting``, else the rare ones."""
     near = told.where(F.col("j") >= NEAR).withColumn("s", F.col("a") - F.lit(k) * F.col("n"))
-    elements = cut(_counted(near.select("g", "id", F.explode("d").alias("h"))), "near-elements")
-    common = elements.where(F.col("rows") > RARE).groupBy("g", "id").agg(F.count("*").alias("c"))
-    sized = cut(near.select("g", "lead", "id", "s").join(common, ["g", "id"], "left").na.fill(0, ["c"]), "near-sizes")
+    every = near.select("g", "id", F.explode("d").alias("h"))
+    if cutting:
+        elements = cut(_counted(every), "near-elements")
+        common = elements.where(F.col("rows") > RARE).groupBy("g", "id").agg(F.count("*").alias("c"))
+        sized = near.select("g", "lead", "id", "s").join(common, ["g", "id"], "left").na.fill(0, ["c"])
+    else:  # the many that are common are counted by what is left of the difference, not written
+        scarce = every.groupBy("g", "h").agg(F.count("*").alias("rows")).where(F.col("rows") <= RARE)
+        elements = cut(every.join(scarce, ["g", "h"]), "near-elements")
+        rare = elements.groupBy("g", "id").agg(F.count("*").alias("p"))
+        sized = near.select("g", "lead", "id", "s", "a").join(rare, ["g", "id"], "left").select("g", "lead", "id", "s", (F.col("a") - F.coalesce("p", F.lit(0))).alias("c"))
+    sized = cut(sized, "near-sizes")
     side = lambda x: sized.select("g", F.col("id").alias(x), F.col("s").alias(f"s_{x}"), F.col("c").alias(f"c_{x}"))
-    maybe = _pairs(elements.where(F.col("rows") <= RARE)).join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
+    maybe = _pairs(elements.where((F.col("rows") > 1) & (F.col("rows") <= RARE))).join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
     maybe = maybe.where(2 * (F.least("c_a", "c_b") + F.col("r")) >= F.col("s_a") + F.col("s_b") - 1e-6).select("a", "b").distinct()
     return apart(maybe, classes), _possible(sized, classes), elements
 
@@ -236,7 +244,7 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Ca
         own = sets(ids)
         told = cut(_told(led.select("g", "lead", "id").distinct(), own, threshold, cutting), "near-told")
         free(own)
-        near_pairs, stay, elements = _near(told, classes, k)
+        near_pairs, stay, elements = _near(told, classes, k, cutting)
         stay = cut(stay, "near-stay")
         if cutting:
             far_pairs, far_buckets = _far(told, classes)
@@ -248,6 +256,6 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Ca
         joined(cut(near_pairs.distinct(), "near-pairs"))
         rest = _open(following, classes)
         rest = cut(_merged(rest) if cutting else rest, "near-members")
-        for done in (led, told, stay, following):
+        for done in (led, told, stay, following, elements):
             free(done)
     return cut(components(members.sparkSession.createDataFrame([], "a bigint, b bigint")), "near-classes") if classes is None else classes
