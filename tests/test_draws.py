@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoview.functions import draws
-from chronoview.operators import groups as gr
+from chronoview.operators import groups as gr, scoring as sc
 
 
 def seeded(*keys):
@@ -43,3 +43,18 @@ def test_majority_draws_in_batches(spark):
             answers = [r[0] for r in drawn]
             won.append(drawn[answers.index(max(dict.fromkeys(answers), key=answers.count))][2])
         assert got[k] == pytest.approx(np.mean([s for s in won if s is not None]))
+
+
+@pytest.mark.parametrize("held, block", [(1 << 22, 1 << 16), (16, 8)])
+def test_paired_compare_sends_sums_only(spark, monkeypatch, held, block):
+    monkeypatch.setattr(sc, "HELD", held)
+    monkeypatch.setattr(sc, "BLOCK", block)
+    a = spark.range(90).selectExpr("id AS qid", "if(id < 50, 'x', 'y') AS category", "if(id = 7, null, cast(id * id % 31 as double)) AS score")
+    out = sc.paired_compare(a, a.selectExpr("qid", "cast(qid % 7 as double) AS score"), 200, 9)
+    assert "sequence(0, 199)" not in plan(out)
+    got = {r.category: r for r in out.collect()}
+    d = [None if i == 7 else i * i % 31 - float(i % 7) for i in range(90)]
+    for c, g in (("x", d[:50]), ("y", d[50:])):
+        drawn = [[g[seeded(9, c, rep, i) % len(g)] for i in range(len(g))] for rep in range(200)]
+        means = [np.mean([v for v in some if v is not None]) for some in drawn]
+        assert [got[c].low, got[c].high] == pytest.approx(np.percentile(means, [2.5, 97.5]).tolist())
