@@ -3,6 +3,7 @@
 import heapq
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -64,6 +65,17 @@ def test_mentions_equal_all_pairs(spark):
     assert {tuple(r) for r in got} == want and want
 
 
+def test_long_texts_take_linear_time(spark):
+    """Random letters have as many groups as places; rows of groups that carried their text would be gigabytes."""
+    rng = random.Random(6)
+    texts = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäö ", k=150_000)) + "|needle  in hay|") for k in (1, 1, 2)]
+    vocab = spark.createDataFrame([("Needle in Hay", 1), ("ne", 2), ("absent needle", 3)], "official string, p int")
+    began = time.time()
+    got = sorted(tuple(r) for r in names.mentions(spark.createDataFrame(texts, "k int, text string"), "k", "text", vocab, "official", "p").collect() if r.name != "ne")
+    assert time.time() - began < 60
+    assert {r[:3] for r in got} == {(k, "Needle in Hay", norm(t).index("needle in hay") + 1) for k, t in texts}
+
+
 def test_a_hundred_thousand_names(spark):
     vocab = spark.range(100_000).selectExpr("concat('disorder ', id, ' of organ ', id % 97) AS name", "id AS p")
     said = spark.range(0, 100_000, 50).selectExpr("id", "concat('a disorder ', id, ' of organ ', id % 97, ' seen') AS said")
