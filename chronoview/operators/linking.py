@@ -40,16 +40,16 @@ def _sets(texts: DataFrame, own: str, block: Sequence[str]) -> DataFrame:
     return each.where(F.size("tokens") > 0)
 
 
-def _ordered(sets: DataFrame, frequency: DataFrame, block: Sequence[str]) -> DataFrame:
-    """(*block, id, n, words, known, b0, b1, ...): words from the rarest on, how many of them no right text has, and
-    the bitmap of all."""
-    words = sets.select(*block, "id", F.explode("tokens").alias("t")).join(frequency, "t", "left")
+def _ordered(sets: DataFrame, frequency: DataFrame, block: Sequence[str], how: str = "left") -> DataFrame:
+    """(*block, id, n, m, words, unknown, b0, b1, ...): how many words a text has, and of those that are kept by the join
+    (``how``) with ``frequency`` the number m, the words from the rarest on, how many of them no right text has, and the bitmap."""
+    words = sets.select(*block, "id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(frequency, "t", how)
     bit = F.pmod(F.xxhash64("t"), F.lit(64 * LONGS))
     mask = [F.bit_or(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(LONGS)]
     listed = F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t")))
-    grouped = words.groupBy(*block, "id").agg(listed.alias("w"), *mask)
+    grouped = words.groupBy(*block, "id", "n").agg(listed.alias("w"), *mask)
     unknown = F.size(F.filter("w", lambda x: x.f == 0))
-    return grouped.select(*block, "id", F.size("w").alias("n"), F.transform("w", lambda x: x.t).alias("words"), unknown.alias("unknown"), *[f"b{i}" for i in range(LONGS)])
+    return grouped.select(*block, "id", "n", F.size("w").alias("m"), F.transform("w", lambda x: x.t).alias("words"), unknown.alias("unknown"), *[f"b{i}" for i in range(LONGS)])
 
 
 def _side(rows: DataFrame, x: str, block: Sequence[str], *more: str) -> DataFrame:
@@ -84,12 +84,12 @@ def candidates(left: DataFrame, right: DataFrame, bounds: DataFrame, block: Sequ
     bounded = left.join(bounds.withColumnRenamed("l", "id"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     first = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("bound") * F.col("n") - SLACK)) + 1 - F.col("unknown")
     prefix = bounded.where(first > 0).select(*block, F.col("id").alias("l"), F.col("n").alias("l_n"), "bound", F.col("unknown").alias("_from"), *[F.col(m).alias(f"l_{m}") for m in masks], F.posexplode(F.slice("words", F.col("unknown") + 1, first.cast("int"))).alias("_i", "t"))
-    postings = right.select(*block, F.col("id").alias("r"), F.col("n").alias("r_n"), *[F.col(m).alias(f"r_{m}") for m in masks], F.posexplode("words").alias("_j", "t"))
+    postings = right.select(*block, F.col("id").alias("r"), F.col("n").alias("r_n"), F.col("m").alias("r_m"), *[F.col(m).alias(f"r_{m}") for m in masks], F.posexplode("words").alias("_j", "t"))
     met = prefix.withColumn("_i", F.col("_i") + F.col("_from")).join(postings, [*block, "t"])
     needed = _needed(F.col("bound"))
     unlike = sum((F.bit_count(F.col(f"l_{m}").bitwiseXOR(F.col(f"r_{m}"))) for m in masks[1:]), F.bit_count(F.col("l_b0").bitwiseXOR(F.col("r_b0"))))
-    fits = (F.col("_i") + needed <= F.col("l_n")) & (F.col("_j") + needed <= F.col("r_n"))
-    fits &= (F.least("l_n", "r_n") >= needed) & (F.col("l_n") + F.col("r_n") - unlike >= 2 * needed)
+    fits = (F.col("_i") + needed <= F.col("l_n")) & (F.col("_j") + needed <= F.col("r_m"))
+    fits &= (F.least("l_n", "r_m") >= needed) & (F.col("l_n") + F.col("r_m") - unlike >= 2 * needed)
     return met.where(fits).select("l", "r").distinct()
 
 
@@ -101,8 +101,11 @@ def link_reports(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     where it is proven to be less similar than one that is compared.
     """
     l_sets, r_sets = _sets(left, left_id, block), _sets(right, right_id, block)
-    frequency = written(r_sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("f")), "link-frequency")
-    lefts, rights = (written(_ordered(s, frequency, block), f"link-{x}") for s, x in ((l_sets, "left"), (r_sets, "right")))
+    # Words that no left text has count for a right text's size alone: they are neither shuffled nor written.
+    asked = written(l_sets.select(F.explode("tokens").alias("t")).distinct(), "link-asked")
+    frequency = written(r_sets.select(F.explode("tokens").alias("t")).join(asked, "t", "left_semi").groupBy("t").agg(F.count("*").alias("f")), "link-frequency")
+    lefts, rights = (written(_ordered(s, frequency, block, how), f"link-{x}") for s, x, how in ((l_sets, "left", "left"), (r_sets, "right", "inner")))
+    freed(asked)
     freed(frequency)
     postings = rights.select(*block, F.col("id").alias("r"), F.col("n").alias("r_n"), F.explode("words").alias("t"))
     bounds = written(_bounds(lefts, postings, rights, block), "link-bounds")

@@ -74,3 +74,17 @@ def test_no_texts_no_links(spark):
     some = spark.createDataFrame([(1, ["a"])], "id int, tokens array<string>")
     for left, right in ((none, some), (some, none)):
         assert linking.link_reports(left.withColumnRenamed("id", "a"), right.withColumnRenamed("id", "b"), "a", "b").count() == 0
+
+
+def test_words_that_no_left_text_has_are_not_written(spark, monkeypatch):
+    kept, write = {}, linking.written
+
+    def written(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(linking, "written", written)
+    left = spark.createDataFrame([(1, ["a", "b", "z"])], "l int, tokens array<string>")
+    right = spark.createDataFrame([(7, ["a", "b", "x1", "x2", "x3"]), (8, ["a", "b", "x4"]), (9, ["x5"])], "r int, tokens array<string>")
+    assert [tuple(r) for r in linking.link_reports(left, right, "l", "r").collect()] == [(1, 8, 0.5)]
+    assert {w for r in kept["link-right"].collect() for w in r.words} == {"a", "b"}
