@@ -81,7 +81,9 @@ def _loads(text: str | None) -> list[str] | None:
     if not text or "[" not in text:
         return None
     start = text.index("[")
-    for end in (text.rfind("]") + 1, len(text)):
+    for end in sorted({text.rfind("]") + 1, len(text)}):
+        if end <= start:  # no bracket closes it: there is nothing to read yet
+            continue
         piece = text[start:end]
         for close in ("", "]", '"]', "']"):
             for read in (json.loads, ast.literal_eval):

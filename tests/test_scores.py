@@ -91,3 +91,11 @@ def test_streak_over_batches(spark, tmp_path):
         q = st.streak_stream(stream).writeStream.outputMode("update").foreachBatch(lambda b, e: out.extend((r["session"], r["streak"]) for r in b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(out) == [(1, 2), (1, 3), (2, 1)]
+
+
+def test_lists_that_nothing_closes_are_read_without_vain_attempts(monkeypatch):
+    tried = []
+    read = tx.ast.literal_eval
+    monkeypatch.setattr(tx.ast, "literal_eval", lambda x: tried.append(x) or read(x))
+    assert tx._loads("it is ['a', 'b'") == ["a", "b"] and tried == ["['a', 'b'", "['a', 'b']"]
+    assert tx._loads("it is ['a', 'b") == ["a", "b"] and tx._loads("[x]") is None and tried.count("[x]") == 1
