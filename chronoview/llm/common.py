@@ -76,6 +76,12 @@ def maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return marked.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).drop("_word", "_bit", "_map")
 
 
+def sided(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """Rows (id, ...) that may be on one side of the pairs, with id under the name of that side: what a join with the
+    pairs shuffles of a large table."""
+    return maybe(rows, pairs.select(F.col(side).alias("id")), "id").withColumnRenamed("id", side)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``limit`` bytes in ``column`` each, so that what a task
     holds in Python does not depend on the rows that happened to share an Arrow batch."""

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, maybe, without
+from .common import cut, free, maybe, sided, without
 from .near import apart, components, link
 
 WIDTH = 5
@@ -149,22 +149,20 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
     text = cut(maybe(lines.select("k1", "k2", "line"), wanted, "k1").join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("id", "line").distinct(), "line-text")
     free(wanted)
 
-    def texted(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        one = text.select(F.col("id").alias(x), F.col("line").alias("line_x"))
-        return pairs.join(one, x).join(text.select(F.col("id").alias(y), F.col("line").alias("line_y")), y)
-
     def verified(pairs: DataFrame) -> DataFrame:
-        return texted(pairs, "a", "b").where(similar(F.col("line_x"), F.col("line_y"), threshold)).select("a", "b")
+        one, two = (sided(text, pairs, x).withColumnRenamed("line", f"line_{x}") for x in "ab")
+        return pairs.join(one, "a").join(two, "b").where(similar(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        alike = pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_allowed(threshold)).select("a", "b")
+        one, two = (sided(known.select("id", "s1", "s2"), pairs, x).select(x, F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
+        alike = pairs.join(one, "a").join(two, "b").where(_allowed(threshold)).select("a", "b")
         return verified(cut(alike, "line-alike"))
 
     def sets(ids: DataFrame) -> DataFrame:
-        return cut(text.join(ids, "id", "left_semi").select("id", shingles(F.col("line")).alias("h")), "line-sets")
+        return cut(maybe(text, ids, "id").join(ids, "id", "left_semi").select("id", shingles(F.col("line")).alias("h")), "line-sets")
 
     # Each line with one partner first: what these join needs no other comparison.
-    links = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "line-links")
+    links = cut(verified(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "line-firsts")), "line-links")
     links = links.unionByName(verified(cut(apart(pairs, cut(components(links), "line-classes")), "line-apart")))
     if members.limit(1).count():
         joined = link(members, compare, sets, threshold)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, maybe, schema_of, slices, with_columns
+from .common import cut, free, maybe, schema_of, sided, slices, with_columns
 from .near import link
 from .words import U, Words, scramble
 
@@ -123,7 +123,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least threshold."""
-    one, two = (sets.select(F.col("id").alias(x), F.col("h").alias(f"h_{x}")) for x in "ab")
+    one, two = (sided(sets, pairs, x).withColumnRenamed("h", f"h_{x}") for x in "ab")
     sized = pairs.join(one, "a").join(two, "b").where(F.least(F.size("h_a"), F.size("h_b")) >= threshold * F.greatest(F.size("h_a"), F.size("h_b")))
     enough = F.transform(F.array(F.size(F.array_intersect("h_a", "h_b"))), lambda n: (n > 0) & (n >= threshold * (F.size("h_a") + F.size("h_b") - n)))
     return sized.where(F.element_at(enough, 1)).select("a", "b")
@@ -152,7 +152,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = cut(shingle_sets(texted.dropDuplicates(["key", "_doc"])), "near-sets")
     free(wanted)
 
-    roots = link(members, lambda pairs: similar(pairs, sets, threshold), lambda ids: sets.join(ids, "id", "left_semi"), threshold)
+    roots = link(members, lambda pairs: similar(pairs, sets, threshold), lambda ids: cut(maybe(sets, ids, "id").join(ids, "id", "left_semi"), "near-own"), threshold)
     of_text = texts.join(roots, "id", "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"))
     least = of_text.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.select("doc_id", "key").join(of_text.join(least, "root").select("key", "class_id"), "key").select("doc_id", "key", "class_id")

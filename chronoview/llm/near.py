@@ -71,10 +71,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of buckets whose rows are not all in one class."""
-    rooted = rest.join(classes, "id", "left").withColumn("_root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("bucket").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).where("x <> y").select("bucket")
-    return rest.join(mixed, "bucket", "left_semi")
+    """(bucket, id, root) of buckets whose rows are not all in one class; root: a row's class, or itself."""
+    rooted = rest.select("bucket", "id").join(classes, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    return rooted.join(mixed, "bucket", "left_semi")
 
 
 def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -87,34 +87,35 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _merged(rest: DataFrame) -> DataFrame:
     """The same buckets, those of the same rows once."""
     like = rest.groupBy("bucket").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("id")), F.sum(F.hash("id")), F.min("id"), F.max("id")).alias("_like"))
-    return rest.join(like, "bucket").select(F.col("_like").alias("bucket"), "id").distinct()
+    return rest.join(like, "bucket").select(F.col("_like").alias("bucket"), "id", "root").distinct()
 
 
 def _leaders(rest: DataFrame, more_leaders: int) -> DataFrame:
-    """(bucket, lead, rank): first the row of each bucket that meets most others in its buckets (the least id of these), then
-    some by hash."""
+    """(bucket, lead, lead_root, rank): first the row of each bucket that meets most others in its buckets (the least id of
+    these), then some by hash."""
     sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     fame = sized.groupBy("id").agg(F.sum("n").alias("fame"))
-    first = rest.join(fame, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("lead"))
+    most = F.max_by(F.struct("id", "root"), F.struct("fame", -F.col("id"))).alias("m")
+    first = rest.join(fame, "id").groupBy("bucket").agg(most).select("bucket", F.col("m.id").alias("lead"), F.col("m.root").alias("lead_root"))
     first = cut(first, "near-first-leaders")
     if not more_leaders:
-        return first.select("bucket", "lead", F.lit(0).alias("rank"))
+        return first.withColumn("rank", F.lit(0))
     by = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
-    more = rest.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= more_leaders).select("bucket", F.col("id").alias("lead"), "rank")
-    return first.select("bucket", "lead", F.lit(0).alias("rank")).unionByName(more.join(first, ["bucket", "lead"], "left_anti"))
+    more = rest.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= more_leaders).select("bucket", F.col("id").alias("lead"), F.col("root").alias("lead_root"), "rank")
+    return first.withColumn("rank", F.lit(0)).unionByName(more.join(first, ["bucket", "lead"], "left_anti"))
 
 
 def _told(led: DataFrame, sets: DataFrame, threshold: float, cutting: bool) -> DataFrame:
-    """(g, lead, id) -> (g, lead, id, n, a, j, d, h): elements of id and of the difference, similarity, the difference
+    """(g, lead, id, root) -> (g, lead, id, root, n, a, j, d, h): elements of id and of the difference, similarity, the difference
     of NEAR rows (inverted where only the leader has it) and, for ``cutting``, the first elements of rows that may be FAR."""
     both = led.join(sets.select(F.col("id").alias("lead"), F.col("h").alias("x")), "lead").join(sets.withColumnRenamed("h", "y"), "id")
     only = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), F.bitwise_not))
-    known = both.select("g", "lead", "id", F.size("x").alias("m"), F.size("y").alias("n"), only.alias("d"), "x", "y")
+    known = both.select("g", "lead", "id", "root", F.size("x").alias("m"), F.size("y").alias("n"), only.alias("d"), "x", "y")
     alike = (F.col("m") + F.col("n") - F.size("d")) / (F.col("m") + F.col("n") + F.size("d"))
-    known = known.select("g", "lead", "id", "n", F.size("d").alias("a"), alike.alias("j"), "d", "x", "y")
+    known = known.select("g", "lead", "id", "root", "n", F.size("d").alias("a"), alike.alias("j"), "d", "x", "y")
     first = F.slice(F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_intersect("y", "x"))), F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1).cast("int"))
     far = F.when(F.col("j") < FAR + 0.2, first) if cutting else F.lit(None).cast("array<bigint>")
-    return known.select("g", "lead", "id", "n", "a", "j", F.when(F.col("j") >= NEAR, F.col("d")).alias("d"), far.alias("h"))
+    return known.select("g", "lead", "id", "root", "n", "a", "j", F.when(F.col("j") >= NEAR, F.col("d")).alias("d"), far.alias("h"))
 
 
 def _counted(elements: DataFrame) -> DataFrame:
@@ -131,9 +132,9 @@ def _first(elements: DataFrame, kept: Column, *more: str) -> DataFrame:
 
 
 def _pairs(scarce: DataFrame) -> DataFrame:
-    """(g, a, b, r): rows of a group that share scarce elements, and how many."""
-    some = scarce.select("g", "h", "id")
-    shared = some.withColumnRenamed("id", "a").join(some.withColumnRenamed("id", "b"), ["g", "h"]).where("a < b")
+    """(g, a, b, r): rows of a group and of different classes that share scarce elements, and how many."""
+    one, two = (scarce.select("g", "h", F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    shared = one.join(two, ["g", "h"]).where("a < b and root_a <> root_b")
     return shared.groupBy("g", "a", "b").agg(F.count("*").alias("r"))
 
 
@@ -146,7 +147,7 @@ def _near(told: DataFrame, classes: DataFrame, k: float, cutting: bool) -> tuple
     """(a, b), pairs of different classes that share rare elements of their differences and may be similar; (g, id, s),
     rows that may be similar to others without; and elements: all that are shared for ``cutting``, else the rare ones."""
     near = told.where(F.col("j") >= NEAR).withColumn("s", F.col("a") - F.lit(k) * F.col("n"))
-    every = near.select("g", "id", F.explode("d").alias("h"))
+    every = near.select("g", "id", "root", F.explode("d").alias("h"))
     if cutting:
         elements = cut(_counted(every), "near-elements")
         common = elements.where(F.col("rows") > RARE).groupBy("g", "id").agg(F.count("*").alias("c"))
@@ -160,7 +161,7 @@ def _near(told: DataFrame, classes: DataFrame, k: float, cutting: bool) -> tuple
     side = lambda x: sized.select("g", F.col("id").alias(x), F.col("s").alias(f"s_{x}"), F.col("c").alias(f"c_{x}"))
     maybe = _pairs(elements.where((F.col("rows") > 1) & (F.col("rows") <= RARE))).join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
     maybe = maybe.where(2 * (F.least("c_a", "c_b") + F.col("r")) >= F.col("s_a") + F.col("s_b") - 1e-6).select("a", "b").distinct()
-    return apart(maybe, classes), _possible(sized, classes), elements
+    return maybe, _possible(sized, classes), elements
 
 
 def _cut_near(stay: DataFrame, elements: DataFrame) -> DataFrame:
@@ -171,10 +172,10 @@ def _cut_near(stay: DataFrame, elements: DataFrame) -> DataFrame:
     return _smaller(_first(plenty, F.size("e") - needed + 1, "s", "s_low"), 1)
 
 
-def _far(told: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _far(told: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b) and (bucket, id) as of ``_near``, for rows whose similarity to the leader is low."""
-    first = cut(_counted(told.where("h is not null").select("g", "id", F.explode("h").alias("h"))), "near-first")
-    return apart(_pairs(first.where(F.col("rows") <= RARE)).select("a", "b").distinct(), classes), _smaller(first, 2)
+    first = cut(_counted(told.where("h is not null").select("g", "id", "root", F.explode("h").alias("h"))), "near-first")
+    return _pairs(first.where(F.col("rows") <= RARE)).select("a", "b").distinct(), _smaller(first, 2)
 
 
 def _possible(sized: DataFrame, classes: DataFrame) -> DataFrame:
@@ -199,11 +200,13 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Ca
     ids with a near-duplicate. ``threshold`` is 0.8 or more, which NEAR and FAR are made for."""
     k = (1 - threshold) / (1 + threshold)
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rest = cut(members.join(shared, "bucket", "left_semi").select("bucket", "id"), "near-members")
+    rest = cut(members.join(shared, "bucket", "left_semi").select("bucket", "id", F.col("id").alias("root")), "near-members")
     classes = None
 
     def joined(pairs: DataFrame) -> None:
         nonlocal classes
+        if classes is not None and not pairs.limit(1).count():
+            return free(pairs)
         found = cut(compare(pairs), "near-links")
         if classes is None or found.limit(1).count():
             before = classes
@@ -227,34 +230,34 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Ca
         else:
             large = rest
         lead = cut(_leaders(large, LEADERS if again and not cutting else 0), "near-lead")
-        pairs = ordered(large.join(lead, "bucket").where("id <> lead"))
+        pairs = ordered(large.join(lead, "bucket").where("root <> lead_root"))
         if again:
-            every = small.join(small.withColumnRenamed("id", "lead"), "bucket").where("id < lead")
-            pairs = apart(pairs.unionByName(ordered(every)).distinct(), classes)
+            every = small.join(small.select("bucket", F.col("id").alias("lead"), F.col("root").alias("lead_root")), "bucket").where("id < lead and root <> lead_root")
+            pairs = pairs.unionByName(ordered(every))
         joined(cut(pairs.distinct(), "near-pairs"))
         first, leaders = lead.where("rank = 0").select("bucket", "lead"), lead.select("bucket", F.col("lead").alias("id"))
         led = _open(large.join(leaders, ["bucket", "id"], "left_anti"), classes).join(first, "bucket")
         # The buckets of one leader are one group, for many hold the same rows; buckets that were cut are alike only if equal.
-        led = cut(led.select("bucket", F.col("bucket" if turn > TURNS + 1 else "lead").alias("g"), "lead", "id"), "near-led")
+        led = cut(led.select("bucket", F.col("bucket" if turn > TURNS + 1 else "lead").alias("g"), "lead", "id", "root"), "near-led")
         for done in {rest, large, lead}:
             free(done)
         if not led.limit(1).count():
             return classes
         ids = led.select("id").unionByName(led.select(F.col("lead").alias("id"))).distinct()
         own = sets(ids)
-        told = cut(_told(led.select("g", "lead", "id").distinct(), own, threshold, cutting), "near-told")
+        told = cut(_told(led.select("g", "lead", "id", "root").distinct(), own, threshold, cutting), "near-told")
         free(own)
         near_pairs, stay, elements = _near(told, classes, k, cutting)
         stay = cut(stay, "near-stay")
         if cutting:
-            far_pairs, far_buckets = _far(told, classes)
+            far_pairs, far_buckets = _far(told)
             following = cut(_cut_near(stay, elements).unionByName(far_buckets).distinct(), "near-buckets")
             near_pairs = near_pairs.unionByName(far_pairs)
         else:
             left = stay.select("g", "id").unionByName(told.where(F.col("j") < FAR).select("g", "id")).distinct()
             following = cut(led.join(left, ["g", "id"], "left_semi").select("bucket", "id"), "near-buckets")
         joined(cut(near_pairs.distinct(), "near-pairs"))
-        rest = _open(following, classes)
+        rest = _open(following, classes)  # classes may have grown since their roots were joined
         rest = cut(_merged(rest) if cutting else rest, "near-members")
         for done in (led, told, stay, following, elements):
             free(done)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoview.llm import near
+from chronoview.llm import minhash, near
 
 THRESHOLD = 0.8
 
@@ -111,3 +111,26 @@ def test_turns_do_not_grow_with_unlike_rows(spark, monkeypatch):
 def test_no_rows_and_lone_rows(spark, monkeypatch):
     assert linked(spark, monkeypatch, [], {1: {1}})[0] == {}
     assert linked(spark, monkeypatch, [(1, 1), (2, 2)], {1: {1}, 2: {1}})[0] == {}
+
+
+def shuffled(spark):
+    """Bytes that this session has written for shuffles."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_a_few_pairs_do_not_move_all_sets(spark, tmp_path):
+    """Comparing three pairs of 40,000 sets shuffles the sets of these, not the table."""
+    spark.range(40_000).select("id", F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.xxhash64("id", i)).alias("h")).write.parquet(f"{tmp_path}/sets")
+    spark.createDataFrame([(1, 2), (5, 9), (7, 7)], "a bigint, b bigint").write.parquet(f"{tmp_path}/pairs")
+    sets, pairs = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("sets", "pairs"))
+    before = shuffled(spark)
+    assert [tuple(r) for r in minhash.similar(pairs, sets, THRESHOLD).collect()] == [(7, 7)]
+    assert shuffled(spark) - before < 1_000_000
+
+
+def test_pairs_of_one_class_are_not_made(spark):
+    """Rows that share scarce elements are pairs only if they are in different classes."""
+    rows = [(1, 5, i, i % 2) for i in range(6)]
+    got = near._pairs(spark.createDataFrame(rows, "g bigint, h bigint, id bigint, root bigint")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(a, b) for a in range(6) for b in range(a + 1, 6) if (b - a) % 2]
