@@ -94,6 +94,11 @@ def _late(view: DataFrame, table: str, policies: Mapping[str, TablePolicy | Chil
     return view.where(late)
 
 
+def _gathered(rows: DataFrame, subjects: int) -> DataFrame:
+    """Manifest rows in a few files. They are shuffled, for coalesce would have the joins of all tables run in as few tasks."""
+    return rows.repartition(max(1, subjects // 100_000), "subject_id")
+
+
 def build_snapshots(tables: Mapping[str, DataFrame], subjects: DataFrame, allowed: Mapping[str, Sequence[str]], path: str, anew: DataFrame | None = None, version: str = rp.STRICT_VERSION) -> int:
     """Builds the snapshots of ``subjects`` (subject_id, cutoff) that are not there yet and returns how many it built.
 
@@ -130,5 +135,5 @@ def build_snapshots(tables: Mapping[str, DataFrame], subjects: DataFrame, allowe
         own = stored.groupBy(F.col("subject_id").cast("string").alias("qid")).agg(F.count("*").alias("n_rows"), _checksum(stored.columns))
         each = todo.join(own, "qid", "left").select(F.col("qid").alias("subject_id"), "cutoff", F.lit(version).alias("version"), F.lit(build).alias("build"), F.current_timestamp().alias("built_at"), F.lit(name).alias("table_name"), F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"), "checksum")
         rows = each if rows is None else rows.unionByName(each)
-    rows.coalesce(1 if count < 10_000 else max(1, count // 100_000)).write.mode("append").parquet(f"{path}/manifest")
+    _gathered(rows, count).write.mode("append").parquet(f"{path}/manifest")
     return count

@@ -80,3 +80,10 @@ def test_late_values_are_found_whatever_the_manifest_says(spark, tables, tmp_pat
     now.write.mode("append").parquet(f"{path}/manifest")
     found = {r["problem"] for r in snap.audit_snapshots(spark, path, {"labevents": LABS}).collect()}
     assert "labevents: late" in found
+
+
+def test_manifest_rows_are_made_in_many_tasks(spark):
+    """Few files, but what makes the rows of the manifest stays in its own tasks."""
+    rows = spark.range(0, 1000, 1, 8).select(F.col("id").alias("subject_id"), F.spark_partition_id().alias("task"))
+    out = snap._gathered(rows, 1000)
+    assert out.rdd.getNumPartitions() == 1 and out.select("task").distinct().count() == 8
