@@ -159,7 +159,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
         return verified(cut(alike, "line-alike"))
 
     def sets(ids: DataFrame) -> DataFrame:
-        return cut(maybe(text, ids, "id").join(ids, "id", "left_semi").select("id", shingles(F.col("line")).alias("h")), "line-sets")
+        return maybe(text, ids, "id").join(ids, "id", "left_semi").select("id", shingles(F.col("line")).alias("h"))
 
     # Each line with one partner first: what these join needs no other comparison.
     links = cut(verified(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "line-firsts")), "line-links")

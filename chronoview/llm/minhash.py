@@ -152,7 +152,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = cut(shingle_sets(texted.dropDuplicates(["key", "_doc"])), "near-sets")
     free(wanted)
 
-    roots = link(members, lambda pairs: similar(pairs, sets, threshold), lambda ids: cut(maybe(sets, ids, "id").join(ids, "id", "left_semi"), "near-own"), threshold)
+    roots = link(members, lambda pairs: similar(pairs, sets, threshold), lambda ids: maybe(sets, ids, "id").join(ids, "id", "left_semi"), threshold)
     of_text = texts.join(roots, "id", "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"))
     least = of_text.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.select("doc_id", "key").join(of_text.join(least, "root").select("key", "class_id"), "key").select("doc_id", "key", "class_id")

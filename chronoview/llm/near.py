@@ -20,15 +20,20 @@ Scarce ones make pairs, the others are buckets.
 
 Jaccard distance is a metric: similar rows are at most 1 - t apart, so both are NEAR or both below FAR. A bucket of a turn
 holds only rows that share a scarce element of the bucket before and not its leader, so sizes fall by factors, not
-by rows; buckets that are down to SMALL rows have all their pairs compared.
+by rows.
 
 Smaller buckets hold a row several times. Most rows need none of them: in the first TURNS turns what is left stays in the
 buckets it is in, less their leaders, of which there are LEADERS more from the second turn on. Only then are buckets cut.
+
+Nor are elements needed while buckets have SMALL rows or less. There each row is known by BITS parity bits: an element
+turns one over. Two rows differ in no more bits than elements, so pairs of classes whose bits differ in more than
+k (x + y) places are out, exactly and within the join that meets them, in the first bucket they share. The others are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +42,9 @@ from .common import cut, free
 
 #: Rows of one leader that have a rare element, at most; rows of a small bucket; further leaders of a bucket; turns
 #: before buckets are cut.
-RARE, SMALL, LEADERS, TURNS = 8, 128, 31, 12
+RARE, SMALL, LEADERS, TURNS = 8, 1 << 13, 31, 12
+#: Parity bits of a row, 64 to a number.
+BITS = 2048
 #: Similarity to the leader: of two rows that are at most 0.2 apart from each other, both are NEAR or both below FAR.
 NEAR, FAR = 0.3, 0.5
 
@@ -105,6 +112,29 @@ def _leaders(rest: DataFrame, more_leaders: int) -> DataFrame:
     return first.withColumn("rank", F.lit(0)).unionByName(more.join(first, ["bucket", "lead"], "left_anti"))
 
 
+def _parities(sets: DataFrame) -> DataFrame:
+    """(id, n, p0, p1, ...): elements of each set and the parities of those that fall on each of BITS bits."""
+    each = sets.select("id", F.size("h").alias("n"), F.explode("h").alias("h")).withColumn("h", F.xxhash64("h"))
+    bit = each.select("id", "n", F.pmod("h", F.lit(BITS // 64)).cast("int").alias("word"), F.expr("shiftleft(1L, int(shiftrightunsigned(h, 58)))").alias("bit"))
+    own = lambda j: F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("bigint")))
+    return bit.groupBy("id").agg(F.max("n").alias("n"), *[own(j).alias(f"p{j}") for j in range(BITS // 64)])
+
+
+def _close(rest: DataFrame, sets: DataFrame, k: float) -> DataFrame:
+    """(a, b), each once: rows of one bucket and of different classes that differ in no more parity bits than similar ones may
+    in elements."""
+    buckets = rest.groupBy("id").agg(F.collect_list("bucket").alias("all"))
+    rows = cut(rest.join(buckets.join(_parities(sets), "id"), "id"), "near-parities")
+    numbers = [c for c in rows.columns if c not in ("bucket", "all")]  # never null, which the code made for a pair need not ask
+    one, two = (rows.select("bucket", F.col("all").alias(f"all_{x}"), *[F.coalesce(c, F.lit(0)).alias(f"{c}_{x}") for c in numbers]) for x in "ab")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"p{j}_a").bitwiseXOR(F.col(f"p{j}_b"))) for j in range(BITS // 64)])
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (differ <= F.lit(k) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+    met = (one["bucket"] == two["bucket"]) & apart & (F.array_min(F.array_intersect("all_a", "all_b")) == one["bucket"])
+    pairs = cut(one.join(two, met).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "near-close")
+    free(rows)
+    return pairs
+
+
 def _told(led: DataFrame, sets: DataFrame, threshold: float, cutting: bool) -> DataFrame:
     """(g, lead, id, root) -> (g, lead, id, root, n, a, j, d, h): elements of id and of the difference, similarity, the difference
     of NEAR rows (inverted where only the leader has it) and, for ``cutting``, the first elements of rows that may be FAR."""
@@ -223,28 +253,35 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], sets: Ca
     while rest.limit(1).count():
         turn += 1
         again, cutting = turn > 1, turn > TURNS
-        sized = rest.groupBy("bucket").agg(F.count("*").alias("n"))
-        small = rest.join(sized.where(F.col("n") <= (SMALL if again else 0)), "bucket", "left_semi")
         if again:
-            large = cut(rest.join(sized.where(F.col("n") > SMALL), "bucket", "left_semi"), "near-members")
+            sized = rest.groupBy("bucket").agg(F.count("*").alias("n"))
+            small, large = (cut(rest.join(sized.where(x), "bucket", "left_semi"), "near-members") for x in (F.col("n") <= SMALL, F.col("n") > SMALL))
+            if small.limit(1).count():
+                joined(_close(small, sets(small.select("id").distinct()), k))
+            free(small)
+            if not large.limit(1).count():
+                break
         else:
             large = rest
         lead = cut(_leaders(large, LEADERS if again and not cutting else 0), "near-lead")
-        pairs = ordered(large.join(lead, "bucket").where("root <> lead_root"))
-        if again:
-            every = small.join(small.select("bucket", F.col("id").alias("lead"), F.col("root").alias("lead_root")), "bucket").where("id < lead and root <> lead_root")
-            pairs = pairs.unionByName(ordered(every))
-        joined(cut(pairs.distinct(), "near-pairs"))
+        joined(cut(ordered(large.join(lead, "bucket").where("root <> lead_root")).distinct(), "near-pairs"))
         first, leaders = lead.where("rank = 0").select("bucket", "lead"), lead.select("bucket", F.col("lead").alias("id"))
-        led = _open(large.join(leaders, ["bucket", "id"], "left_anti"), classes).join(first, "bucket")
+        left = _open(large.join(leaders, ["bucket", "id"], "left_anti"), classes)
+        if not again:  # most buckets are small, and need no elements
+            following = cut(left, "near-members")
+            for done in {rest, lead}:
+                free(done)
+            rest = following
+            continue
+        led = left.join(first, "bucket")
         # The buckets of one leader are one group, for many hold the same rows; buckets that were cut are alike only if equal.
-        led = cut(led.select("bucket", F.col("bucket" if turn > TURNS + 1 else "lead").alias("g"), "lead", "id", "root"), "near-led")
+        led = cut(led.select("bucket", F.col("bucket" if turn > max(TURNS, 1) + 1 else "lead").alias("g"), "lead", "id", "root"), "near-led")
         for done in {rest, large, lead}:
             free(done)
         if not led.limit(1).count():
             return classes
         ids = led.select("id").unionByName(led.select(F.col("lead").alias("id"))).distinct()
-        own = sets(ids)
+        own = cut(sets(ids), "near-own")
         told = cut(_told(led.select("g", "lead", "id", "root").distinct(), own, threshold, cutting), "near-told")
         free(own)
         near_pairs, stay, elements = _near(told, classes, k, cutting)

@@ -134,3 +134,30 @@ def test_pairs_of_one_class_are_not_made(spark):
     rows = [(1, 5, i, i % 2) for i in range(6)]
     got = near._pairs(spark.createDataFrame(rows, "g bigint, h bigint, id bigint, root bigint")).collect()
     assert sorted((r["a"], r["b"]) for r in got) == [(a, b) for a in range(6) for b in range(a + 1, 6) if (b - a) % 2]
+
+
+def test_unlike_rows_of_a_bucket_are_no_pairs(spark, monkeypatch):
+    """400 rows about 0.6 alike and 100 near copies: beside leaders, comparisons are those of rows that may be similar, once each,
+    though every row is in three buckets, and no turn but the second is needed."""
+    rng = random.Random(5)
+    shared, first = set(range(300)), {rng.randrange(10**6) for _ in range(400)}
+    sets = {i: shared | {rng.randrange(10**6) for _ in range(100)} for i in range(400)}
+    sets |= {i: varied(rng, first, 0.08, 0.08) for i in range(400, 500)}
+    members = [(bucket, i) for bucket in (1, 2, 3) for i in sets]
+    got, counts = linked(spark, monkeypatch, members, sets)
+    assert got == brute(members[: len(sets)], sets)
+    alike = sum(jaccard(sets[a], sets[b]) >= 0.75 for a in sets for b in sets if a < b)
+    assert counts["pairs"] <= len(sets) + alike and counts["turns"] == 1, counts
+
+
+def test_parity_bits_differ_in_no_more_places_than_sets(spark):
+    rng = random.Random(6)
+    first = {rng.randrange(10**6) for _ in range(400)}
+    sets = [varied(rng, first, rng.random() * 0.4, rng.random() * 0.4) for _ in range(30)] + [{7}, {rng.randrange(10**6) for _ in range(5000)}]
+    rows = near._parities(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id bigint, h array<bigint>")).collect()
+    bits = {r["id"]: [r[f"p{j}"] & (1 << 64) - 1 for j in range(near.BITS // 64)] for r in rows}
+    assert {r["id"]: r["n"] for r in rows} == {i: len(s) for i, s in enumerate(sets)}
+    for a, x in bits.items():
+        for b, y in bits.items():
+            n, most = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)), len(sets[a] ^ sets[b])
+            assert n <= most and (n - most) % 2 == 0 and (most > 200 or n >= 0.8 * most)
