@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoview.llm import minhash, near
+from chronoview.llm import common, minhash, near
 
 THRESHOLD = 0.8
 
@@ -161,3 +161,17 @@ def test_parity_bits_differ_in_no_more_places_than_sets(spark):
         for b, y in bits.items():
             n, most = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)), len(sets[a] ^ sets[b])
             assert n <= most and (n - most) % 2 == 0 and (most > 200 or n >= 0.8 * most)
+
+
+@pytest.mark.parametrize("wanted", [100, 1_500_000])
+def test_filter_lets_few_others_through_however_many_are_wanted(spark, tmp_path, wanted):
+    """All wanted rows pass; of others fewer than a tenth, for ids as well, which are dense in their lower bits (before: a bitmap
+    of fixed size let 16 % through for 1,500,000 hashed keys)."""
+    for name, key in (("hashed", F.xxhash64("id")), ("ids", F.col("id") * 2 + F.shiftleft(F.col("id") % 40, 33))):
+        spark.range(wanted).select(key.alias("id")).write.parquet(f"{tmp_path}/{name}")
+        keys = spark.read.parquet(f"{tmp_path}/{name}")
+        other = spark.range(200_000).select(F.col("id"), F.lit(0).alias("own"), (F.col("id") * 2 + 1 + F.shiftleft(F.col("id") % 50, 33)).alias("key"))
+        rows = other.unionByName(keys.sample(0.1, 1).select(F.lit(0).cast("bigint").alias("id"), F.lit(1).alias("own"), F.col("id").alias("key")))
+        passed = common.maybe(rows.select("own", "key"), keys.select(F.col("id").alias("key")), "key").groupBy("own").count()
+        got, all_own = {r["own"]: r["count"] for r in passed.collect()}, rows.where("own = 1").count()
+        assert got.get(1, 0) == all_own and got.get(0, 0) < 20_000, (name, got, all_own)
