@@ -134,7 +134,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, fan_in: int =
         found = merged()
         yield from out()
 
-    tiles = q.join(c, ["row", "column"])
+    # Spark's sizes don't count the copies, so it would send all those of the queries through the driver.
+    tiles = q.hint("merge").join(c, ["row", "column"])
     lists = tiles.select("q_width", "q_ids", "q_data", "c_width", "c_ids", "c_data").mapInArrow(run, LIST)
     by = Window.partitionBy("query_id", "_group").orderBy(F.desc("score"), "vec_id")
     grouped = lists.withColumn("_group", (F.spark_partition_id() / fan_in).cast("int")).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= k)
